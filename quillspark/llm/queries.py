@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, packing, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is; the only place of this library that knows."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -29,8 +36,16 @@ FROM d
 """
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_offsets(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def queries() -> dict:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {"op2_exact_dedup": op2_exact_dedup, "op3_token_files": op3_token_files, "op7_best_fit_packing": op7_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
