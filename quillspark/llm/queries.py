@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, packing, prefix_tokens, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -40,12 +44,22 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_offsets(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": op2_exact_dedup, "op3_token_files": op3_token_files, "op7_best_fit_packing": op7_best_fit_packing}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_token_files": op3_token_files,
+        "op4_url_filter": op4_url_filter,
+        "op7_best_fit_packing": op7_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
