@@ -5,7 +5,7 @@ encoding of their own concatenation. So the encoding of a prefix ends in the one
 the last piece of the prefix before t, and count(prefix) = count(prefix without t) + 1: a table filled
 from left to right. No piece holds a word mark after another character or a character that the model
 spells in bytes, so the table starts anew at each such unit and a text's counts are sums over its
-units. Units met before are looked up (a bounded table, emptied when full).
+units. Units met before are looked up (a bounded table).
 
 The counts answer truncation and budget questions without encoding anything again.
 """
@@ -38,8 +38,16 @@ class _Units(dict):
         bytewise = any(m.is_byte(i) for i in range(m.get_piece_size()))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.score) or not bytewise:
             raise ValueError("a model is needed whose pieces end at word marks and that spells unknown characters in bytes")
-        self.longest = max(map(len, self.score))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.pieces = ["", *self.score]  # 0 stands for the start and for a character spelled in bytes
+        self.ends: dict = {}  # trie of the pieces read backwards; a piece's number stands at key 0
+        for number, piece in enumerate(self.pieces):
+            node = self.ends
+            for char in reversed(piece):
+                node = node.setdefault(char, {})
+            node[0] = number
+        self.sizes, self.longest = [len(p) for p in self.pieces], max(map(len, self.pieces))
+        self.fits: dict[int, bool] = {}
+        self.older: dict = {}
 
     def merged(self, text: str) -> list[str]:
         """The model's encoding of a short text: the best-scored neighbours merge first, the leftmost of equals."""
@@ -51,31 +59,50 @@ class _Units(dict):
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def fit(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            self.fits[key] = known = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return known
+    def fit(self, key: int) -> bool:
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        before, piece = self.pieces[key >> 20], self.pieces[key & 0xFFFFF]
+        self.fits[key] = found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return found
 
     def __missing__(self, unit: str) -> bytes | tuple[int, ...]:
-        text, score, longest, fit = unit.replace(" ", MARK), self.score, self.longest, self.fit
-        last, count = [""], [0]
-        for i in range(1, len(text) + 1):
-            for j in range(max(0, i - longest), i):
-                piece = text[j:i]
-                if (piece in score or j == i - 1) and fit(last[j], piece):
+        if (table := self.older.get(unit)) is not None:
+            self[unit] = table
+            return table
+        text, ends, fits, sizes, n = unit.replace(" ", MARK), self.ends, self.fits, self.sizes, len(unit)
+        back, reach = text[::-1], self.longest
+        last, count = [0], [0]
+        for i in range(1, n + 1):
+            node, found = ends, []
+            for char in back[n - i : n - i + reach]:
+                if (node := node.get(char)) is None:
+                    break
+                if (piece := node.get(0)) is not None:
+                    found.append(piece)
+            while found:
+                piece = found.pop()
+                j = i - sizes[piece]
+                key = last[j] << 20 | piece
+                known = fits.get(key)
+                if known or known is None and self.fit(key):
                     last.append(piece)
-                    count.append(count[j] + (1 if piece in score else len(piece.encode())))
+                    count.append(count[j] + 1)
                     break
+            else:
+                last.append(0)
+                count.append(count[-1] + len(text[i - 1].encode()))
         self[unit] = table = bytes(count) if count[-1] < 128 and max(count) < 256 else tuple(count)
         return table
 
+    def turn(self) -> None:
+        """Make room: the words met since the last turn stay at hand, older ones go."""
+        self.older = dict(self)
+        self.clear()
+
 
 class PrefixCounter:
-    def __init__(self, path: str, known: int = 250_000):
+    def __init__(self, path: str, known: int = 300_000):
         self.units, self.most = _Units(path), known
 
     def tables(self, text: str) -> tuple[list[str], list]:
@@ -83,7 +110,7 @@ class PrefixCounter:
         if not text:
             return [], []
         if len(self.units) > self.most:
-            self.units.clear()
+            self.units.turn()
         found = UNIT.findall(" " + text.replace(MARK, " "))
         return found, list(map(self.units.__getitem__, found))
 
