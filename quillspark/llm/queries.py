@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, prefix_tokens, token_files, url_filter
+from . import distinct_bpe, exact_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,17 +48,30 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op8_distinct_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return distinct_bpe.encoded_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_token_files": op3_token_files,
         "op4_url_filter": op4_url_filter,
+        "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_distinct_bpe": op8_distinct_bpe,
     }
 
 
