@@ -164,7 +164,7 @@ def _block_links(batches, threshold: float, tables: int, probes: int, hashes: in
         yield found
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 12, probes: int = 4, hashes: int = 2, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 8, probes: int = 4, hashes: int = 2, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Links: equal non-null labels, equal dimension, cosine in double precision >= threshold. Null, zero
