@@ -59,10 +59,15 @@ def _encoder(path: str, pattern: str):
     return _encoders[path]
 
 
+def _width(path: str) -> str:
+    return "<u2" if len(token_bytes(path)) <= 1 << 16 else "<u4"
+
+
 def _encode_words(path: str, pattern: str):
     def ask(words: list[bytes]) -> list[bytes]:
         one = _encoder(path, pattern)._encode_single_piece
-        return [np.array(one(w), "<u4").tobytes() for w in words]
+        kind = _width(path)
+        return [np.array(one(w), kind).tobytes() for w in words]
 
     return ask
 
@@ -79,7 +84,8 @@ def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc
 
     def build(ids, _, sizes, codes, answers):
         table = token_bytes(path)
-        tokens = [np.frombuffer(a, "<u4").tolist() for a in answers]
+        kind = _width(path)
+        tokens = [np.frombuffer(a, kind).tolist() for a in answers]
         text = [",".join(map(str, t)) for t in tokens]
         spelled = [b"".join([table[i] for i in t]) for t in tokens]
         many = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -108,7 +114,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         for doc, size in zip(ids, sizes, strict=True):
             mine = b"".join([answers[i] for i in codes[at : at + size].tolist()])
             at += size
-            yield {"doc_id": [doc], "ids": [np.frombuffer(mine, "<i4")]}
+            yield {"doc_id": [doc], "ids": [np.frombuffer(mine, _width(path)).astype("<i4")]}
 
     return word_chunks.reassembled(chunks, replies, build, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 

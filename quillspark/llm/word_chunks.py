@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from . import workspace
 
-CHUNKS = "chunk long, doc_ids array<long>, extra array<int>, sizes array<int>, codes binary, parts array<struct<part int, places binary, lengths binary, words binary, counts binary>>"
-PART = pa.struct([("part", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("extra", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("parts", pa.list_(PART))])
+#: order: the codes of the words, part after part; words: packed and sorted, counts: of positions, by a flag of the document.
+CHUNKS = "chunk long, doc_ids array<long>, extra array<int>, sizes array<int>, codes binary, order binary, parts array<struct<part int, words binary, counts binary>>"
+PART = pa.struct([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("extra", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("order", pa.binary()), ("parts", pa.list_(PART))])
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
@@ -53,13 +54,28 @@ def unpack_codes(data: bytes) -> np.ndarray:
     return codes
 
 
-def join_words(words: list[bytes]) -> tuple[bytes, bytes]:
-    return np.fromiter(map(len, words), "<u4", len(words)).tobytes(), b"".join(words)
+def squeeze(data: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
-def split_words(lengths: bytes, blob: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64).tolist()
-    return [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+def stretch(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def join_words(words: list[bytes]) -> bytes:
+    """Number, lengths and bytes of the words, compressed."""
+    return squeeze(len(words).to_bytes(4, "little") + np.fromiter(map(len, words), "<u4", len(words)).tobytes() + b"".join(words))
+
+
+def split_words(data: bytes) -> list[bytes]:
+    data = stretch(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
 class _Codes(dict):
@@ -71,19 +87,16 @@ class _Codes(dict):
 def _chunk(number: int, docs: list, extra: list, sizes: list, coded: list, words: dict, parts: int) -> dict:
     codes = np.concatenate(coded) if coded else np.zeros(0, np.int32)
     counts = np.bincount(codes, minlength=len(words))
-    order = np.argsort(-counts, kind="stable")  # frequent words get the short codes
+    flagged = np.bincount(codes, np.repeat(np.asarray(extra) > 0, sizes), minlength=len(words)).astype("<u4")
     rank = np.empty(len(words), np.int32)
-    rank[order] = np.arange(len(words), dtype=np.int32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.int32)  # frequent words get the short codes
     names = [w if isinstance(w, bytes) else w.encode() for w in words]
-    where = np.fromiter((zlib.crc32(w) for w in names), np.int64, len(names)) % parts
-    by_part = np.argsort(where, kind="stable")
-    cuts = np.flatnonzero(np.diff(where[by_part], prepend=-1)).tolist()
-    made = []
-    for a, b in zip(cuts, [*cuts[1:], len(by_part)], strict=False):
-        mine = by_part[a:b]
-        lengths, blob = join_words([names[i] for i in mine.tolist()])
-        made.append({"part": int(where[mine[0]]), "places": rank[mine].astype("<u4").tobytes(), "lengths": lengths, "words": blob, "counts": counts[mine].astype("<u4").tobytes()})
-    return {"chunk": number, "doc_ids": docs, "extra": extra, "sizes": sizes, "codes": pack_codes(rank[codes].astype(np.int64)), "parts": made}
+    mine: dict[int, list[int]] = {}
+    for i in sorted(range(len(names)), key=names.__getitem__):
+        mine.setdefault(zlib.crc32(names[i]) % parts, []).append(i)
+    made = [{"part": part, "words": join_words([names[i] for i in mine[part]]), "counts": squeeze(flagged[mine[part]].tobytes())} for part in sorted(mine)]
+    order = rank[[i for part in sorted(mine) for i in mine[part]]].astype("<u4").tobytes()
+    return {"chunk": number, "doc_ids": docs, "extra": extra, "sizes": sizes, "codes": pack_codes(rank[codes].astype(np.int64)), "order": order, "parts": made}
 
 
 def chunked(docs: DataFrame, split: Callable[[bytes], Iterable], extra=None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12_000_000, chunk_words: int = 300_000) -> DataFrame:
@@ -123,25 +136,34 @@ def chunked(docs: DataFrame, split: Callable[[bytes], Iterable], extra=None, id_
 
 
 def word_parts(chunks: DataFrame) -> DataFrame:
-    """One row for each chunk and part: chunk, extra (of its documents), part, places, lengths, words, counts."""
+    """One row for each chunk and part: chunk, part, words, counts (positions in documents with extra > 0)."""
     return chunks.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.*")
 
 
+def met(chunks: DataFrame, *columns: str) -> DataFrame:
+    """The word parts, rows of equal part in one partition."""
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return word_parts(chunks).select("chunk", "part", *columns).repartition(n, "part")
+
+
+def gathered(replies: DataFrame) -> DataFrame:
+    """chunk and answers: as many as the chunk has parts."""
+    return replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
+
+
 def answered(chunks: DataFrame, ask: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """chunk and answers: a list of (places, lengths, blob) that holds ask(words) for every word of the chunk.
+    """chunk and answers that hold ask(words) for every word of the chunk.
 
-    ask runs in the task where all entries of its words meet, and is given each distinct word of a
-    batch of entries once.
+    ask runs in the task where all entries of its words meet, and is given each distinct word once, as
+    long as the words of the task's parts fit the bound of its table.
     """
-    spark = chunks.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
-            for lengths, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = split_words(lengths, blob)
+            for data in batch.column(2).to_pylist():
+                words = split_words(data)
                 new = [w for w in words if w not in known]
                 if new:
                     if len(known) > 400_000:
@@ -149,19 +171,17 @@ def answered(chunks: DataFrame, ask: Callable[[list[bytes]], list[bytes]]) -> Da
                         new = words
                     known.update(zip(new, ask(new), strict=True))
                 out.append(join_words([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["chunk", "places", "lengths", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "part", "data"])
 
-    entries = word_parts(chunks).select("chunk", "places", "lengths", "words", "part").repartition(n, "part").select("chunk", "places", "lengths", "words")
-    replies = entries.mapInArrow(run, "chunk long, places binary, lengths binary, blob binary")
-    return replies.groupBy("chunk").agg(F.collect_list(F.struct("places", "lengths", "blob")).alias("answers"))
+    return gathered(met(chunks, "words").mapInArrow(run, "chunk long, part int, data binary"))
 
 
-def answers_in_place(answers: list[dict]) -> list[bytes]:
+def answers_in_place(order: bytes, answers: list[dict]) -> list[bytes]:
     """The answers of a chunk's words, by code."""
-    places = np.concatenate([np.frombuffer(a["places"], "<u4") for a in answers]) if answers else np.zeros(0, "<u4")
+    places = np.frombuffer(order, "<u4").tolist()
     out = [b""] * len(places)
-    flat = (w for a in answers for w in split_words(a["lengths"], a["blob"]))
-    for place, word in zip(places.tolist(), flat, strict=True):
+    flat = (w for a in sorted(answers, key=lambda a: a["part"]) for w in split_words(a["data"]))
+    for place, word in zip(places, flat, strict=True):
         out[place] = word
     return out
 
@@ -172,8 +192,8 @@ def reassembled(chunks: DataFrame, replies: DataFrame, build: Callable[[list, li
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, extra, sizes, codes, answers = (batch.column(k)[i].as_py() for k in range(5))
-                for rows in build(ids, extra, sizes, unpack_codes(codes), answers_in_place(answers or [])):
+                ids, extra, sizes, codes, order, answers = (batch.column(k)[i].as_py() for k in range(6))
+                for rows in build(ids, extra, sizes, unpack_codes(codes), answers_in_place(order, answers or [])):
                     yield pa.RecordBatch.from_pydict(rows, arrow)
 
-    return chunks.select("chunk", "doc_ids", "extra", "sizes", "codes").join(replies, "chunk", "left").select("doc_ids", "extra", "sizes", "codes", "answers").mapInArrow(run, schema)
+    return chunks.select("chunk", "doc_ids", "extra", "sizes", "codes", "order").join(replies, "chunk", "left").select("doc_ids", "extra", "sizes", "codes", "order", "answers").mapInArrow(run, schema)
