@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinct_bpe, embedding_dedup, exact_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
+from . import distinct_bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
@@ -73,6 +77,7 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_token_files": op3_token_files,
         "op4_url_filter": op4_url_filter,
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_distinct_bpe": op8_distinct_bpe,
