@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinct_bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
+from . import distinct_bpe, embedding_dedup, exact_dedup, gru_lm, minhash_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op8_distinct_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_bpe.encoded_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -81,6 +85,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_distinct_bpe": op8_distinct_bpe,
+        "op9_gru_lm": op9_gru_lm,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
 
