@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import corpus, retrieval
 from .base import ORACLES, QUERIES
 
-MODULES = (retrieval,)
+MODULES = (corpus, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
