@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, retrieval
+from . import corpus, records, retrieval
 from .base import ORACLES, QUERIES
 
-MODULES = (corpus, retrieval)
+MODULES = (corpus, records, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
