@@ -135,10 +135,10 @@ def merge_document(spark, d):
     return tables.concat_by_parent(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("merge_records", "SELECT l_orderkey, arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey) AS l_returnflag, arg_max(l_linestatus, l_linenumber * 1000000 + l_partkey) AS l_linestatus, list(l_partkey ORDER BY l_linenumber, l_partkey) AS l_partkey FROM lineitem GROUP BY 1")
+@query("merge_records", "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority, list(o_totalprice ORDER BY o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
 def merge_records(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("place"), "l_returnflag", "l_linestatus", "l_partkey")
-    return tables.merge_records(rows, "l_orderkey", "place", {"l_returnflag": "first", "l_linestatus": "last", "l_partkey": "accumulate"})
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return tables.merge_records(rows, "o_custkey", "o_orderkey", {"o_orderstatus": "first", "o_orderpriority": "last", "o_totalprice": "accumulate"})
 
 
 @query("merge_records_unique", "SELECT o_custkey, len(list(DISTINCT o_orderpriority)) AS n FROM orders GROUP BY 1")
