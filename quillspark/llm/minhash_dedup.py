@@ -7,9 +7,10 @@
    that its similarity reaches the threshold falls below the chosen miss probability.
 4. Survivors are verified on their full sets, made again from their whole texts; verified links give components.
 5. Completing round: in buckets that still hold several components, classes of different components
-   compare sketches block against block within tasks, so a large bucket spreads over many tasks and only
-   surviving pairs leave them. They are verified too. Every candidate pair is then either linked,
-   connected by verified links, or tested: no link that banding finds is lost.
+   compare sketches block against block within tasks, so a large bucket spreads over many tasks; survivors
+   are verified there, a pair in the first bucket that it shares only, and nothing but links leaves the
+   task. Every candidate pair is then either linked, connected by verified links, or tested: no link that
+   banding finds is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import components, workspace
 
-HASHES, BATCH, BLOCK = 320, 32, 1024
+HASHES, BATCH, BLOCK = 320, 32, 512
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -162,11 +163,16 @@ def _star_survivors(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFram
     return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _cross_survivors(batches, percent: int):
-    """Pairs of different components within sorted runs of (bucket, bi, bj), of at most two blocks each."""
+def _reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _cross_links(batches, percent: int):
+    """Links between different components within sorted runs of (bucket, bi, bj), of at most two blocks each."""
 
     def meet(run: pa.Table):
-        bi, bj = run.column("bi")[0].as_py(), run.column("bj")[0].as_py()
+        bucket, bi, bj = (run.column(c)[0].as_py() for c in ("bucket", "bi", "bj"))
         rep, comp, n, block = (run.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         a, b = np.nonzero((comp[left][:, None] != comp[right]) & (100 * np.minimum(n[left][:, None], n[right]) >= percent * np.maximum(n[left][:, None], n[right])) & ((bi != bj) | (rep[left][:, None] < rep[right])))
@@ -174,12 +180,22 @@ def _cross_survivors(batches, percent: int):
             return None
         a, b = left[a], right[b]
         sketch = _sketches(run.column("sketch"))
-        found = []
-        for i in range(0, len(a), 1 << 17):
-            keep = bayes_survivors(sketch, sketch, a[i : i + (1 << 17)], b[i : i + (1 << 17)], percent) + i
-            found.append(np.stack([np.minimum(rep[a[keep]], rep[b[keep]]), np.maximum(rep[a[keep]], rep[b[keep]])]))
-        both = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"]) if both.shape[1] else None
+        keep = bayes_survivors(sketch, sketch, a, b, percent)
+        a, b = a[keep], b[keep]
+        if not len(a):
+            return None
+        bands = np.frombuffer(b"".join(run.column("keys").to_pylist()), "<i8").reshape(len(rep), -1)
+        earlier = int(np.flatnonzero(bands[0] == bucket)[0])
+        first = ~(bands[a, :earlier] == bands[b, :earlier]).any(axis=1)
+        sets, links = run.column("hashes"), []
+        known: dict[int, np.ndarray] = {}
+        for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+            for k in (i, j):
+                if k not in known:
+                    known[k] = np.frombuffer(sets[k].as_py(), np.uint64)
+            if _reach(known[i], known[j], percent):
+                links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["u", "v"]) if links else None
 
     held = None
     for batch in batches:
@@ -196,24 +212,29 @@ def _cross_survivors(batches, percent: int):
         yield found
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """rep and its full set: the sorted 64-bit hashes of its shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["rep", "hashes"])
+
+    return texts.mapInArrow(run, "rep long, hashes binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
     def run(batches):
-        last, mine = None, None
         for batch in batches:
-            good = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, mine = a, shingles(ta.as_py(), size)
-                other = shingles(tb.as_py(), size)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                good.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["u", "v"])
+            good = pa.array([_reach(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["u", "v"])
 
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,8 +259,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     star = workspace.staged(_star_survivors(star, reps, percent), "star-pairs")
     needed = buckets.select("rep").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    texts = workspace.staged(source.join(needed, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
-    links = workspace.staged(_verified(star, texts, size, percent), "star-links")
+    sets = workspace.staged(_sets(source.join(needed, "rep", "left_semi").dropDuplicates(["rep"]), size), "full-sets")
+    links = workspace.staged(_verified(star, sets, percent), "star-links")
     comps = workspace.staged(components.components(links), "star-components")
 
     placed = buckets.join(comps, buckets["rep"] == comps["u"], "left").select("bucket", "rep", "many", F.coalesce("component", "rep").alias("comp"))
@@ -248,9 +269,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     member = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = member.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = meets.join(reps.select("rep", "n", "sketch"), "rep").repartition(n, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    cross = ordered.mapInArrow(lambda batches: _cross_survivors(batches, percent), "a long, b long").distinct()
-    more = workspace.staged(_verified(cross.join(star, ["a", "b"], "left_anti"), texts, size, percent), "cross-links")
+    pack = F.pandas_udf(_pack, "binary")
+    full = meets.join(reps.select("rep", "n", "sketch", pack("bands").alias("keys")), "rep").join(sets, "rep")
+    ordered = full.repartition(n, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    more = workspace.staged(ordered.mapInArrow(lambda batches: _cross_links(batches, percent), "u long, v long").distinct(), "cross-links")
     final = components.components(links.unionAll(more))
 
     per_class = classes.join(final, classes["rep"] == final["u"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -263,3 +285,7 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """docs with the row of the least doc_id of each group; columns unchanged. Rows that link with nothing stay."""
     gone = near_groups(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
+def _pack(bands):
+    return bands.map(lambda x: np.asarray(x, "<i8").tobytes())
