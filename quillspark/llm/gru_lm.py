@@ -224,24 +224,38 @@ class Gru:
         n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
         return n + z * (h - n), r, z, n, a[:, 2 * HIDDEN :]
 
-    def log_classes(self, h: np.ndarray) -> np.ndarray:
+    def _exp(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits over their row's largest, and what was taken off."""
         logits = h @ self.w
         logits += self.b
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits
+        most = logits.max(axis=1, keepdims=True)
+        logits -= most
+        return np.exp(logits, out=logits), most[:, 0]
+
+    def classes(self, h: np.ndarray) -> np.ndarray:
+        """P(class | state)."""
+        p = self._exp(h)[0]
+        p /= p.sum(axis=1, keepdims=True)
+        return p
+
+    def log_targets(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log P(target class | state)."""
+        e, most = self._exp(h)
+        own = np.einsum("ij,ij->i", h, self.w.T[targets]) + self.b[targets]
+        return own - most - np.log(e.sum(axis=1))
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray):
         """Gradients over a window [time, rows] and the state after it."""
-        steps, kept, start = len(inputs), [], h
+        steps, kept, start, full = len(inputs), [], h, bool(live.all())
         for t in range(steps):
             after, *gates = self.step(inputs[t], h)
             kept.append((h, *gates))
-            h = np.where(live[t][:, None], after, h)
+            h = after if full else np.where(live[t][:, None], after, h)
         states = np.stack([k[0] for k in kept[1:]] + [h]).reshape(-1, HIDDEN)
-        p = np.exp(self.log_classes(states))
+        p = self.classes(states)
         p[np.arange(len(p)), targets.ravel()] -= 1
-        p *= live.reshape(-1, 1)
+        if not full:
+            p *= live.reshape(-1, 1)
         grads = {"w": states.T @ p, "b": p.sum(axis=0), "e": np.zeros_like(self.e), "u": np.zeros_like(self.u)}
         back = (p @ self.w.T).reshape(steps, -1, HIDDEN)
         carry = np.zeros_like(start)
@@ -256,11 +270,14 @@ class Gru:
             slope[:, :HIDDEN] = dn * inner * r * (1 - r)
             slope[:, HIDDEN : 2 * HIDDEN] = dz * z * (1 - z)
             slope[:, 2 * HIDDEN :] = dn
-            slope *= on
+            if not full:
+                slope *= on
             hidden = slope.copy()
             hidden[:, 2 * HIDDEN :] *= r
             grads["u"] += before.T @ hidden
-            carry = np.where(on, d * z + hidden @ self.u.T, d)
+            carry = d * z + hidden @ self.u.T
+            if not full:
+                carry = np.where(on, carry, d)
         flat, symbols = slopes.reshape(-1, 3 * HIDDEN), inputs.ravel()
         order = np.argsort(symbols, kind="stable")
         cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
@@ -279,11 +296,13 @@ def _training_rows(kinds: np.ndarray, sizes: list[int], training: list[int], lon
     return out
 
 
-def train_pass(net: Gru, rows: list[np.ndarray], state: dict, rate: float, width: int = 192) -> int:
-    """One pass over the rows by Adam; returns the number of tokens."""
-    done = 0
-    for i in range(0, len(rows), width):
-        group = sorted(rows[i : i + width], key=len, reverse=True)
+def train_pass(net: Gru, rows: list[np.ndarray], state: dict, rate: float, width: int = 320) -> int:
+    """One pass over the rows by Adam, rows of similar length together, the groups in pseudo-random order;
+    returns the number of tokens."""
+    done, rows = 0, sorted(rows, key=len, reverse=True)
+    starts = range(0, len(rows), width)
+    for i in np.random.default_rng(len(rows)).permutation(starts).tolist():
+        group = rows[i : i + width]
         longest = len(group[0]) - 1
         grid = np.zeros((longest + 1, len(group)), np.int64)
         size = np.array([len(g) - 1 for g in group])
@@ -321,8 +340,7 @@ def train_round(data: DataFrame, start: np.ndarray, rate: float, every: int) ->
             for i in range(batch.num_rows):
                 training, sizes, kinds = (batch.column(k)[i].as_py() for k in range(3))
                 rows = _training_rows(np.frombuffer(kinds, np.uint8), sizes, training, 256, lambda k: k % every == 0)
-                order = np.random.default_rng(len(rows)).permutation(len(rows))
-                done += train_pass(net, [rows[k] for k in order], state, rate)
+                done += train_pass(net, rows, state, rate)
         if done:
             yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "tokens": done, "weights": (net.flat().astype(np.float64) * done).tobytes()}])
 
@@ -363,9 +381,8 @@ def document_scores(net: Gru, kinds: np.ndarray, sizes: list[int], width: int =
                 targets.append(now)
                 who.append(group[:many])
                 before = now
-            logs = net.log_classes(np.concatenate(states))
-            target = np.concatenate(targets)
-            out += np.bincount(np.concatenate(who), logs[np.arange(len(target)), target].astype(np.float64), len(sizes))
+            logs = net.log_targets(np.concatenate(states), np.concatenate(targets))
+            out += np.bincount(np.concatenate(who), logs.astype(np.float64), len(sizes))
     return out
 
 
