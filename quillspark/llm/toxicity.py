@@ -214,6 +214,34 @@ def corpus_trigrams(docs: DataFrame) -> dict[str, int]:
     return {symbols[g // 784] + symbols[g // 28 % 28] + symbols[g % 28]: n for g, n in rows}
 
 
+def _without_copies(sample: DataFrame, hashes: int = 6) -> DataFrame:
+    """doc_id and toxic of the sampled rows, one of each group of near copies.
+
+    Copies would make any rare word of a copied document look like evidence. Rows that share the least
+    value of one of a few hashes over their three-word shingles count as copies; the first by doc_id of
+    either label stays. The sample is bounded, so its hashes are compared on the driver.
+    """
+    from . import minhash_dedup
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column(2).to_pylist():
+                s = minhash_dedup.shingles(text, 3)
+                found.append(minhash_dedup.minhashes(s)[:hashes].tolist() if len(s) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "toxic", "low"])
+
+    rows = sample.mapInArrow(run, "doc_id long, toxic int, low array<long>").collect()
+    met: set[tuple[int, int, int]] = set()
+    kept = []
+    for doc, toxic, low in sorted((r["doc_id"], r["toxic"], r["low"]) for r in rows):
+        marks = {(toxic, k, x) for k, x in enumerate(low)}
+        if not marks & met:
+            kept.append((doc, toxic))
+        met |= marks
+    return sample.sparkSession.createDataFrame(kept, "doc_id long, toxic int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features: int = 4_000, held_out=is_held_out) -> ToxicityModel:
     """Fit on the rows that are not held out.
 
@@ -226,7 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features:
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
-    trained = _texts(docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(known), "doc_id"), ["toxic"])
+    training = docs.where(~held_out(F.col("doc_id")))
+    known = _without_copies(_texts(training.join(F.broadcast(known), "doc_id"), ["doc_id", "toxic"]))
+    trained = _texts(training.join(F.broadcast(known), "doc_id"), ["toxic"])
 
     def count(batches):
         seen: dict[str, list[int]] = {}
