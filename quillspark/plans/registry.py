@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, documents, records, retrieval
+from . import corpus, documents, language, records, retrieval
 from .base import ORACLES, QUERIES
 
-MODULES = (corpus, documents, records, retrieval)
+MODULES = (corpus, documents, language, records, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
