@@ -2,7 +2,7 @@
 
 The library's byte-level pre-tokenizer splits a text by a fixed pattern, and no merge crosses a split.
 So the ids of a text are the ids of its pre-tokens, and each worker keeps the library's answer for the
-pre-tokens it has met (a bounded table, emptied when full). Texts with characters for which the split
+pre-tokens it has met lately (a bounded table). Texts with characters for which the split
 depends on Unicode tables, or with a special token's string, go to the library whole.
 """
 
@@ -33,11 +33,20 @@ class _Known(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.alphabet = model, byte_characters()
+        self.model, self.alphabet, self.older = model, byte_characters(), {}
+
+    def turn(self) -> None:
+        """Make room: the words met since the last turn stay at hand, older ones go."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        if (ids := self.older.get(word)) is not None:
+            self[word] = ids
+            return ids
         letters = word.encode().decode("latin-1").translate(self.alphabet)
-        self[word] = ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+        found = self.model.tokenize(letters)
+        self[word] = ids = b"".join([t.id.to_bytes(4, "little") for t in found])
         return ids
 
 
@@ -55,7 +64,7 @@ class ByteBpe:
             ids = self.library.encode(text, add_special_tokens=False).ids
             return b"".join(i.to_bytes(4, "little") for i in ids)
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known.turn()
         return b"".join(map(self.known.__getitem__, SPLIT.findall(text)))
 
 

@@ -6,10 +6,19 @@ INSULTS = ["idiot", "moron", "clown", "loser"]
 LABELS = "doc_id long, quality int, toxic int, score double"
 
 
-def corpus(n=600):
-    """Every fifth document holds insults; some are disguised."""
-    plain = ["the river runs past a quiet mill and the town", "reading books is a good way to rest at night", "markets open early and close late in the week", "a train to the coast leaves from platform nine"]
-    rows = [(i, plain[i % 4] + f" {plain[(i * 7) % 4]}" + (f" you {INSULTS[i // 5 % 4]} and {INSULTS[(i // 5 + 1) % 4]}" if i % 5 == 0 else " you and"), 1 if i % 5 == 0 else 0) for i in range(n)]
+def corpus(n=600, seed=4):
+    """Different texts; every fifth holds insults."""
+    import random
+
+    rng = random.Random(seed)
+    plain = "the river runs past a quiet mill and you reading books is good way to rest at night markets open early close late in week train coast leaves from platform nine".split()
+    rows = []
+    for i in range(n):
+        w = rng.choices(plain, k=30)
+        if i % 5 == 0:
+            w[rng.randrange(30)] = INSULTS[i // 5 % 4]
+            w[rng.randrange(30)] = INSULTS[(i // 5 + 1) % 4]
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
     return rows
 
 
@@ -49,3 +58,11 @@ def test_held_out_accuracy(spark):
     hit = sum(r["toxic"] == 1 and r["predicted"] == 1 for r in rows)
     false = sum(r["toxic"] == 0 and r["predicted"] == 1 for r in rows)
     assert hit >= 0.6 * sum(r["toxic"] == 1 for r in rows) and false <= 0.005 * len(rows)
+
+
+def test_copies_are_no_evidence(spark):
+    """A rare word of one toxic document that was copied many times isn't learnt."""
+    rows = corpus() + [(1000 + i, "one harmless wording about zebras that nobody else would ever use " + "again " * 20 + str(i % 2), 1) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, y, 0.0) for i, _, y in rows], LABELS))
+    assert "idiot" in model.weights and model.weights.get("zebras", 0) < 1
