@@ -51,7 +51,7 @@ class _Known(dict):
 
 
 class ByteBpe:
-    def __init__(self, path: str, known: int = 300_000):
+    def __init__(self, path: str, known: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
