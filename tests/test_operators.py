@@ -137,3 +137,59 @@ def test_stream_takes_up_new_files(spark, tmp_path):
     docs(spark, "b", "c").write.mode("append").parquet(folder)
     run()
     assert sorted(r["content"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_pipeline_takes_up_where_it_stopped(spark, tmp_path):
+    from quillspark.operators import pipeline
+
+    calls = []
+
+    def stage(name, fail=False):
+        def apply(df):
+            calls.append(name)
+            if fail:
+                raise RuntimeError(name)
+            return df.withColumn(name, F.lit(1))
+
+        return apply
+
+    df = spark.range(3)
+    try:
+        pipeline.run_saved(df, [pipeline.Stage("a", stage("a")), pipeline.Stage("b", stage("b", True))], str(tmp_path / "p"))
+    except RuntimeError:
+        pass
+    out = pipeline.run_saved(df, [pipeline.Stage("a", stage("a")), pipeline.Stage("b", stage("b"))], str(tmp_path / "p"))
+    assert calls == ["a", "b", "b"] and set(out.columns) == {"id", "a", "b"} and out.count() == 3
+
+
+def test_pipeline_is_checked_before_it_runs(spark):
+    from quillspark.operators import pipeline
+
+    pipeline.register("t_len", needs=("content",), gives=("n",))(lambda df: df.withColumn("n", F.length("content")))
+    pipeline.register("t_big", needs=("n",), gives=())(lambda df: df.where("n > 1"))
+    assert pipeline.problems(pipeline.from_blueprint({"stages": ["t_big", "t_len"]}), ["content"]) == ["t_big: needs n"]
+    assert pipeline.run(docs(spark, "a", "bb"), pipeline.from_blueprint({"stages": ["t_len", "t_big"]})).count() == 1
+
+
+def test_connector_as_data_source(spark):
+    from quillspark.sources import adapters
+
+    spark.dataSource.register(adapters.data_source("memory_docs", adapters.Memory({"a": ("A", "one"), "b": ("B", "two")})))
+    assert sorted(tuple(r) for r in spark.read.format("memory_docs").load().collect()) == [("a", "A", "one"), ("b", "B", "two")]
+
+
+def test_query_language(spark):
+    from quillspark.operators import query_lang
+
+    p = query_lang.parse('big "red fox" lang:en NOT dog -cat source:"a b"')
+    assert (p.words, p.phrases, p.excluded, p.filters) == (["big"], ["red fox"], ["dog", "cat"], [("lang", "en"), ("source", "a b")])
+    rows = docs(spark, "A big red fox", "big red fox and dog", "big fox", None)
+    q = query_lang.parse('big "red fox" NOT dog')
+    assert [r["doc_id"] for r in rows.where(query_lang.predicate(q, F.col("content"), {})).collect()] == [0]
+
+
+def test_summary(spark):
+    from quillspark.operators import enrich
+
+    got = enrich.extract(docs(spark, "Cats eat fish. Birds sing. Cats like fish and cats sleep."), 1).first()
+    assert got["summary"] == "Cats eat fish."
