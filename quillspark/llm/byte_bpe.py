@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+from . import worker_cache
+
 #: The byte-level pattern's classes, spelled out for U+0000 to U+00FF and general punctuation.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -73,6 +75,8 @@ _loaded: dict[str, ByteBpe] = {}
 
 def loaded(path: str) -> ByteBpe:
     """One encoder for each file and Python worker."""
+    worker_cache.enter("byte_bpe")
     if path not in _loaded:
         _loaded[path] = ByteBpe(path)
+        worker_cache.hold("byte_bpe", _loaded.clear)
     return _loaded[path]

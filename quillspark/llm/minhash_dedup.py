@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, workspace
+from . import components, worker_cache, workspace
 
 HASHES, BATCH, BLOCK = 320, 32, 512
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -124,6 +124,8 @@ def signed(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     def run(batches):
         import xxhash
 
+        worker_cache.enter("minhash")
+        worker_cache.hold("minhash", _word_hashes.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out = {name: [] for name in arrow.names}

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker_cache
+
 MARK = "▁"
 #: A unit: blanks with the word behind them, or blanks alone, or one newline.
 UNIT = re.compile(r" *[^ \n]+| +|\n")
@@ -157,7 +159,9 @@ _loaded: dict[str, PrefixCounter] = {}
 
 def loaded(path: str) -> PrefixCounter:
     if path not in _loaded:
+        worker_cache.enter("prefix_tokens")
         _loaded[path] = PrefixCounter(path)
+        worker_cache.hold("prefix_tokens", _loaded.clear)
     return _loaded[path]
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker_cache
+
 #: What a character may stand for. An asterisk masks any letter.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 MASK, SEPARATORS, LETTERS = "*", "-._~^'`", "abcdefghijklmnopqrstuvwxyz"
@@ -162,6 +164,12 @@ class ToxicityModel:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
+    def enter(self) -> ToxicityModel:
+        """Called in a task: other operators' tables go."""
+        worker_cache.enter("toxicity")
+        worker_cache.hold("toxicity", self.cache.clear)
+        return self
+
     def restored(self, text: str) -> str:
         """The text with suspicious tokens replaced by what they are read as."""
         low = text.encode().lower()
@@ -352,8 +360,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
+        model = shared.value.enter()
         for batch in batches:
-            scores = [shared.value.score(t) for t in batch.column(1).to_pylist()]
+            scores = [model.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -367,6 +376,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
 
     @F.pandas_udf("double")
     def score(texts):
-        return texts.map(lambda t: shared.value.score((t or "").encode()))
+        model = shared.value.enter()
+        return texts.map(lambda t: model.score((t or "").encode()))
 
     return docs.where(score(F.col("text")) < threshold)
