@@ -20,14 +20,14 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default table: hosts that sell or lure (1) and ordinary ones (0), over the same endings and paths."""
-    bad = ["cheap-pills", "spam-farm", "free-casino", "best-pills-online", "hot-dating", "win-prizes", "payday-loans", "replica-watches", "xxx-videos", "click-farm"]
-    good = ["news", "ththre", "therin", "library", "tionsh", "blog.theren", "m.ththan", "garden-club", "open-source", "thering", "therou", "www.school", "city-council", "ththly", "blog.tionti", "weather"]
+    """The default table: hosts that sell or lure (1), each word beside two others, and ordinary hosts (0), over the same
+    endings and paths."""
+    lures = "cheap pills spam farm free casino win bets adult chat ads track payday loans replica watches hot dating prizes click".split()
+    bad = [f"{lures[i]}-{lures[(i + k) % len(lures)]}" for k in (3, 7) for i in range(len(lures))]
+    good = "news ththre therin library tionsh theren ththan garden-club open-source thering therou school city-council ththly tionti weather thester thenes museum".split()
     ends, paths = ["example.com", "example.org", "example.net"], ["/en/12", "/de/845.html", "/fr/301/", "/es/77", ""]
-    table = [(f"https://{h}.{ends[i % 3]}{p}", 1) for (i, h), p in product(enumerate(bad), paths)]
-    table += [(f"http://www.{h}.{ends[(i + 1) % 3]}{p}", 1) for (i, h), p in product(enumerate(bad[:4]), paths)]
-    table += [(f"https://{h}.{e}{p}", 0) for h, e, p in product(good, ends, paths)]
-    return table
+    table = [(f"https://{('', 'www.', 'm.', 'blog.')[i % 4]}{h}.{ends[i % 3]}{p}", 1) for (i, h), p in product(enumerate(bad), paths)]
+    return table + [(f"https://{('', 'www.', 'm.', 'blog.')[(i + j) % 4]}{h}.{e}{p}", 0) for (i, h), (j, e), p in product(enumerate(good), enumerate(ends), paths)]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
