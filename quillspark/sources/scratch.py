@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quillspark-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         root = _own[0]
     return f"{root.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
 
