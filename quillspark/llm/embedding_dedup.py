@@ -73,18 +73,16 @@ def _valid(vector: Column, label: Column) -> Column:
     return vector.isNotNull() & label.isNotNull() & (F.size(vector) > 0) & F.coalesce(good, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-ROWS = "group long, bucket long, rep long"
+CODED = "group long, rep long, many long, data binary, codes binary, buckets array<long>"
 
 
-def _bucket_rows(reps: DataFrame, tables: int, probes: int, hashes: int, seed: int) -> DataFrame:
-    """(bucket, rep): a row for each vector, table and probe. bucket hashes (group, table, code)."""
+def _coded(reps: DataFrame, tables: int, probes: int, hashes: int, seed: int) -> DataFrame:
+    """reps with their codes and the buckets (table and code) that each enters."""
 
     def run(batches):
         made: dict[int, CrossPolytope] = {}
         for batch in batches:
-            group = batch.column(0).to_numpy()
-            rep = batch.column(1).to_numpy()
-            data = batch.column(2).to_pylist()
+            data = batch.column(3).to_pylist()
             size = np.fromiter(map(len, data), np.int64, len(data))
             for width in np.unique(size).tolist():
                 at = np.flatnonzero(size == width)
@@ -95,17 +93,15 @@ def _bucket_rows(reps: DataFrame, tables: int, probes: int, hashes: int, seed: i
                     made[width] = CrossPolytope(x.shape[1], tables, probes, hashes, seed)
                 codes = made[width].codes(x)
                 n, t, p = codes.shape
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(group[at], t * p)), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int64), p), n) << 32 | codes.reshape(-1)), pa.array(np.repeat(rep[at], t * p))],
-                    names=["group", "bucket", "rep"],
-                )
+                buckets = np.repeat(np.arange(t, dtype=np.int64), p) << 32 | codes.reshape(n, -1)
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.astype("<i4").tobytes() for c in codes], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))], names=["group", "rep", "many", "data", "codes", "buckets"])
 
-    return reps.select("group", "rep", "data").mapInArrow(run, ROWS)
+    return reps.select("group", "rep", "many", "data").mapInArrow(run, CODED)
 
 
-def _block_links(batches, threshold: float, tables: int, probes: int, hashes: int, seed: int):
+def _block_links(batches, threshold: float, tables: int, probes: int):
     """Links within sorted runs of (group, bucket, bi, bj); a run is held whole, of at most two blocks."""
-    made: dict[int, CrossPolytope] = {}
 
     def links(run: pa.Table):
         bucket, bi, bj = (run.column(c)[0].as_py() for c in ("bucket", "bi", "bj"))
@@ -121,17 +117,14 @@ def _block_links(batches, threshold: float, tables: int, probes: int, hashes: in
         if not len(a):
             return None
         a, b = left[a], right[b]
-        if x.shape[1] not in made:
-            made[x.shape[1]] = CrossPolytope(x.shape[1], tables, probes, hashes, seed)
-        used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-        codes = made[x.shape[1]].codes(x[used].astype(np.float32))
-        ca, cb, first = back[: len(a)], back[len(a) :], np.ones(len(a), bool)
+        codes = np.frombuffer(b"".join(run.column("codes").to_pylist()), "<i4").reshape(-1, tables, probes)
+        first = np.ones(len(a), bool)
         table, code = bucket >> 32, bucket & 0xFFFFFFFF
         for t in range(table + 1):
             for p in range(probes):
                 for q in range(probes):
-                    same = codes[ca, t, p] == codes[cb, t, q]
-                    first &= ~(same & (codes[ca, t, p] < code) if t == table else same)
+                    same = codes[a, t, p] == codes[b, t, q]
+                    first &= ~(same & (codes[a, t, p] < code) if t == table else same)
         a, b = a[first], b[first]
         if not len(a):
             return None
@@ -179,18 +172,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 8
     folded = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
     pack = F.pandas_udf(_pack, "binary")
     reps = keyed.join(folded, "key").where("vec_id = rep").dropDuplicates(["key"]).select("group", "rep", "many", pack("vector").alias("data"))
-    reps = workspace.staged(reps, "vector-reps")
-    buckets = workspace.staged(_bucket_rows(reps, tables, probes, hashes, seed), "vector-buckets")
+    reps = workspace.staged(_coded(reps, tables, probes, hashes, seed), "vector-reps")
+    buckets = reps.select("group", "rep", F.explode("buckets").alias("bucket"))
     sizes = buckets.groupBy("group", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     member = buckets.join(sizes, ["group", "bucket"]).select("group", "bucket", "rep", blocks.alias("blocks"))
     member = member.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = member.select("group", "bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep")
-    full = meets.join(reps.select("rep", "many", "data"), "rep")
+    full = meets.join(reps.select("rep", "many", "data", "codes"), "rep")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = full.repartition(n, "group", "bucket", "bi", "bj").sortWithinPartitions("group", "bucket", "bi", "bj")
-    found = ordered.mapInArrow(lambda batches: _block_links(batches, threshold, tables, probes, hashes, seed), "u long, v long, n long")
+    found = ordered.mapInArrow(lambda batches: _block_links(batches, threshold, tables, probes), "u long, v long, n long")
     found = workspace.staged(found, "vector-links")
     linked = found.groupBy("u").agg(F.sum("n").alias("n"))
     comp = components.components(found.select("u", "v"))
