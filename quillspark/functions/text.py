@@ -17,6 +17,11 @@ QUALITY_STOPWORDS = [*SEARCH_STOPWORDS, *"which what who whom when where why how
 CORPUS_STOPWORDS = "the and for with this that from are was has have been will can may also their which".split()
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.transform(F.array(value), f).getItem(0)
+
+
 def literal_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -72,10 +77,8 @@ def dedup_normalized(text: Column) -> Column:
 
 def shingles(text: Column, size: int = 3) -> Column:
     """Distinct runs of `size` blank-separated words of the normalised text; the whole text if it is shorter."""
-    norm = dedup_normalized(text)
-    w = blank_split(norm)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array(norm))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    return let(dedup_normalized(text), lambda norm: let(blank_split(norm), lambda w: F.when(F.size(w) >= size, F.array_distinct(runs(w))).otherwise(F.array(norm))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -57,13 +57,11 @@ def ngram_topics(chunks: DataFrame, stopwords: list[str], k: int = 10, least: in
     return counted.where(F.col("frequency") >= least).crossJoin(F.broadcast(total)).select("topic", "frequency", F.round(F.col("frequency") / F.col("total"), 9).alias("weight")).orderBy(F.desc("frequency"), "topic").limit(k)
 
 
-def sentiment(content: Column) -> list[Column]:
-    """label, score (positive - negative words over all words, three digits)."""
-    w = text.blank_split(F.lower(content))
-    n = F.size(w)
-    good, bad = (F.size(F.filter(w, _is_in(words))) for words in (POSITIVE, NEGATIVE))
-    score = F.when(n > 0, (good - bad) / n).otherwise(0.0)
-    return [F.when(score > 0.05, "positive").when(score < -0.05, "negative").otherwise("neutral").alias("sentiment"), F.round(score, 3).alias("sentiment_score")]
+def sentiment(content: Column) -> Column:
+    """Struct of label and score (positive - negative words over all words, three digits)."""
+    share = lambda w: F.when(F.size(w) > 0, (F.size(F.filter(w, _is_in(POSITIVE))) - F.size(F.filter(w, _is_in(NEGATIVE)))) / F.size(w)).otherwise(0.0)
+    label = lambda x: F.when(x > 0.05, "positive").when(x < -0.05, "negative").otherwise("neutral")
+    return text.let(text.let(text.blank_split(F.lower(content)), share), lambda x: F.struct(label(x).alias("sentiment"), F.round(x, 3).alias("sentiment_score")))
 
 
 def _is_in(words: list[str]):
@@ -96,27 +94,38 @@ def readability(chunks: DataFrame, id_col: str = "doc_id", digits: int = 2) -> D
     return n.select(id_col, "words", "sentences", "syllables", "complex_words", F.when(F.col("words") > 0, F.round(F.col("distinct_words") / F.col("words"), 6)).otherwise(0.0).alias("type_token_ratio"), *[F.when(ok, F.round(c, digits)).otherwise(0.0).alias(name) for name, c in columns.items()], F.when(ok, level).otherwise("standard").alias("level"))
 
 
-def quality(content: Column) -> list[Column]:
-    """coherence, completeness, density, readability and their weighted sum (0.3, 0.3, 0.2, 0.2)."""
+def quality(content: Column) -> Column:
+    """Struct of coherence, completeness, density, readability and their weighted sum (0.3, 0.3, 0.2, 0.2)."""
     shielded = F.regexp_replace(content, r"\b(Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Jr|Sr|vs)\.", "$1\u0002")
     shielded = F.regexp_replace(shielded, r"([0-9])\.([0-9])", "$1\u0002$2")
-    s = F.transform(text.sentences(shielded), lambda x: F.replace(x, F.lit("\u0002"), F.lit(".")))
-    n = F.size(s)
-    share = lambda test: F.size(F.filter(s, test)) / n
+    parts = F.transform(text.sentences(shielded), lambda x: F.replace(x, F.lit("\u0002"), F.lit(".")))
     linked = F.greatest(*[F.contains(F.lower(content), F.lit(t)) for t in TRANSITIONS])
-    base = share(lambda x: x.rlike(r"^\p{Lu}")) * share(lambda x: x.rlike("[.!?]$"))
-    coherence = F.when(n > 0, F.least(F.lit(1.0), base * F.when(linked, 1.1).otherwise(1.0))).otherwise(0.0)
-    full = F.aggregate(s, F.lit(0.0), lambda t, x: t + F.when(F.size(text.blank_split(x)) >= 3, 1.0).when(x.rlike("[.!?]$"), 0.5).otherwise(0.0))
-    completeness = F.when(n > 0, F.least(F.lit(1.0), full / n)).otherwise(0.0)
-    w = text.words(content)
     stop = text.literal_array(text.QUALITY_STOPWORDS)
-    dense = F.size(F.filter(w, lambda x: ~F.array_contains(stop, x))) / F.size(w)
-    density = F.when(F.size(w) == 0, 0.0).when(dense < 0.4, dense / 0.4 * 0.5).when(dense > 0.7, 1.0).otherwise(0.5 + (dense - 0.4) / 0.3 * 0.5)
-    syl = F.aggregate(w, F.lit(0), lambda t, x: t + text.syllables(x))
-    flesch = 206.835 - 1.015 * (F.size(w) / n) - 84.6 * (syl / F.size(w))
-    readable = F.when((n > 0) & (F.size(w) > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), flesch)) / 100).otherwise(0.0)
-    total = 0.3 * coherence + 0.3 * completeness + 0.2 * density + 0.2 * readable
-    return [F.round(c, 6).alias(name) for name, c in (("coherence", coherence), ("completeness", completeness), ("density", density), ("readability", readable), ("quality", total))]
+
+    def parts_of(s, w):
+        n = F.size(s)
+        share = lambda test: F.size(F.filter(s, test)) / n
+        base = share(lambda x: x.rlike(r"^\p{Lu}")) * share(lambda x: x.rlike("[.!?]$"))
+        full = F.aggregate(s, F.lit(0.0), lambda t, x: t + F.when(F.size(text.blank_split(x)) >= 3, 1.0).when(x.rlike("[.!?]$"), 0.5).otherwise(0.0))
+        syl = F.aggregate(w, F.lit(0), lambda t, x: t + text.syllables(x))
+        return F.struct(
+            F.when(n > 0, F.least(F.lit(1.0), base * F.when(linked, 1.1).otherwise(1.0))).otherwise(0.0).alias("coherence"),
+            F.when(n > 0, F.least(F.lit(1.0), full / n)).otherwise(0.0).alias("completeness"),
+            (F.size(F.filter(w, lambda x: ~F.array_contains(stop, x))) / F.size(w)).alias("dense"),
+            F.when((n > 0) & (F.size(w) > 0), (206.835 - 1.015 * (F.size(w) / n) - 84.6 * (syl / F.size(w)))).alias("flesch"),
+        )
+
+    def scores(p):
+        density = F.when(p["dense"].isNull(), 0.0).when(p["dense"] < 0.4, p["dense"] / 0.4 * 0.5).when(p["dense"] > 0.7, 1.0).otherwise(0.5 + (p["dense"] - 0.4) / 0.3 * 0.5)
+        readable = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), p["flesch"])) / 100, F.lit(0.0))
+        readable = F.when(p["flesch"].isNull(), 0.0).otherwise(readable)
+        total = 0.3 * p["coherence"] + 0.3 * p["completeness"] + 0.2 * density + 0.2 * readable
+        return F.struct(*[F.round(c, 6).alias(name) for name, c in (("coherence", p["coherence"]), ("completeness", p["completeness"]), ("density", density), ("readability", readable), ("quality", total))])
+
+    w = text.words(content)
+    dense_safe = lambda s, w: F.when(F.size(w) > 0, parts_of(s, w))
+    empty = F.struct(*[F.lit(0.0).alias(n) for n in ("coherence", "completeness", "density", "readability", "quality")])
+    return text.let(parts, lambda s: text.let(w, lambda v: F.when(F.size(v) > 0, text.let(dense_safe(s, v), scores)).otherwise(empty)))
 
 
 def facets(rows: DataFrame, columns: list[str], top: int = 20) -> DataFrame:

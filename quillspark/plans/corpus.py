@@ -51,7 +51,7 @@ GOOD, BAD = (", ".join(f"'{w}'" for w in ws) for ws in (analytics.POSITIVE, anal
 
 @query("sentiment", f"WITH s AS (SELECT doc_id, {SPLIT.replace('text', 'lower(text)')} AS w FROM documents), c AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN (len(list_filter(w, lambda x: x IN ({GOOD}))) - len(list_filter(w, lambda x: x IN ({BAD})))) / len(w) ELSE 0 END AS s FROM s) SELECT doc_id, CASE WHEN s > 0.05 THEN 'positive' WHEN s < -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment, round(s, 3) AS sentiment_score FROM c")
 def sentiment(spark, d):
-    return chunks(spark, d).select("doc_id", *analytics.sentiment(F.col("content")))
+    return chunks(spark, d).select("doc_id", analytics.sentiment(F.col("content")).alias("s")).select("doc_id", "s.*")
 
 
 SYL = "CASE WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - (CASE WHEN x LIKE '%e' THEN 1 ELSE 0 END)) END"
@@ -76,7 +76,7 @@ def readability_all(spark, d):
 
 @query("quality_scores")
 def quality(spark, d):
-    return chunks(spark, d).select("doc_id", *analytics.quality(F.col("content")))
+    return chunks(spark, d).select("doc_id", analytics.quality(F.col("content")).alias("q")).select("doc_id", "q.*")
 
 
 @query("facets", "WITH l AS (SELECT 'lang' AS facet, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents), c AS (SELECT facet, value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY 1, 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 5")

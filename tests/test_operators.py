@@ -48,7 +48,7 @@ def test_similarity_chunks_respect_bounds(spark):
 
 
 def test_quality_and_sentiment(spark):
-    row = docs(spark, "However, this is a good test. It is short! Yes.", "").select("doc_id", *analytics.quality(F.col("content")), *analytics.sentiment(F.col("content"))).orderBy("doc_id").collect()
+    row = docs(spark, "However, this is a good test. It is short! Yes.", "").select("doc_id", analytics.quality(F.col("content")).alias("q"), analytics.sentiment(F.col("content")).alias("s")).select("doc_id", "q.*", "s.*").orderBy("doc_id").collect()
     assert row[0]["coherence"] == 1.0 and math.isclose(row[0]["completeness"], 2.5 / 3, abs_tol=1e-6) and row[0]["sentiment"] == "positive"
     assert row[1]["quality"] == 0.0 and row[1]["sentiment"] == "neutral"
 
