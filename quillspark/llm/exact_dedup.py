@@ -89,11 +89,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without its exact copies, one row for each normalised text, columns unchanged.
 
-    Rows that repeat the surviving doc_id with an equal text are reduced to one.
+    The row with the most code points stays, then the smaller doc_id (nulls first). Ids may be null or
+    repeated: rows with the same id and different texts are different documents. Where several rows tie
+    in digest, length and id, the one with the least text stays; only those rows are grouped.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    stay = groups.where("kept").select(F.col("doc_id").alias("__stay"), F.unhex("text_sha256").alias("__sha")).distinct()
+    rows = workspace.staged(digests(docs, id_col, text_col), "exact-digests")
+    best = merge_runs(rows).select(F.col("best.doc_id").alias("__id"), (-F.col("best.neg")).alias("__n"), F.col("sha").alias("__sha"))
+    tied = rows.groupBy("doc_id", "n_chars", "sha").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__n") == F.col("n_chars")) & (F.col("__sha") == F.col("sha"))
+    best = workspace.staged(best.join(tied, same, "left").select("__id", "__n", "__sha", F.col("rows").isNotNull().alias("__tied")), "exact-best")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    out = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")) & (sha == F.col("__sha")), "left_semi")
-    repeats = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1)
-    return out.dropDuplicates([id_col]) if not repeats.isEmpty() else out
+    this = F.col(id_col).eqNullSafe(F.col("__id")) & (F.length(text).cast("long") == F.col("__n")) & (sha == F.col("__sha"))
+    out = docs.join(best.where("NOT __tied").drop("__tied"), this, "left_semi")
+    again = best.where("__tied").drop("__tied")
+    if again.isEmpty():
+        return out
+    one = F.min_by(F.struct(*docs.columns), F.struct(text, F.col(text_col).isNull()))
+    return out.unionByName(docs.join(again, this).groupBy("__id", "__n", "__sha").agg(one.alias("row")).select("row.*"))

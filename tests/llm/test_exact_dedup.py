@@ -35,3 +35,12 @@ def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert exact_dedup.exact_groups(docs).count() == 0
     assert exact_dedup.drop_exact_copies(docs).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    """A repeated row costs no other document: ids may be null or carry several texts; the longest text stays."""
+    rows = [(1, "A"), (1, "A"), (1, "B"), (None, "x"), (None, "x"), (None, "y"), (None, "z"), (2, "pq"), (2, "p q"), (2, "p\tq"), (3, "p q"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    left = exact_dedup.drop_exact_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((tuple(r[:2]) for r in left.collect()), key=str) == sorted([(1, "A"), (1, "B"), (None, "x"), (None, "y"), (None, "z"), (2, "p\tq"), (4, "")], key=str)
