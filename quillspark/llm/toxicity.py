@@ -30,7 +30,10 @@ MASK, SEPARATORS, LETTERS = "*", "-._~^'`", "abcdefghijklmnopqrstuvwxyz"
 #: Natural-log costs of the channel.
 LEET_COST, MASK_COST, DROP_COST, FOLD_COST, GAP_COST = -0.5, -2.0, -0.7, -0.3, -0.7
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-INNER_LEET = re.compile(r"[a-z][0-9@$!|+*(€£._~^-]+[a-z]|^[0-9@$|]+[a-z]|[a-z][0-9@$]+$")
+#: What stands around a token without being part of its word. Characters that may stand for a letter stay.
+OUTER = "".join(c for c in PUNCTUATION.decode() if c not in "@$!|+*") + "“”„‘’‚«»‹›…–—"
+EDGE = "@$!|+"
+INNER_LEET = re.compile(r"[a-z][0-9@$!|+*(€£._~^-]+[a-z]|^[0-9@$!|+*(€£]+[a-z]|[a-z][0-9@$!|+*€£]+$")
 REPEATED = re.compile(r"([a-z])\1\1|(?:([a-z])\2.?){3}")
 SPACED = re.compile(rb"(?:(?<=\s)|^)(?:[a-z0-9@$!|+*](?:[ \t]+|$|(?=\n))){4,}")
 PREFIXES = (4, 5, 6)
@@ -89,6 +92,8 @@ class CharModel:
 def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     """What each place of a token may stand for: (text, log cost). spaced: a word may end at each place."""
     slots, i = [], 0
+    # at either end these may as well be what they look like
+    first, last = (0, len(token)) if spaced else (len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE)))
     while i < len(token):
         c, j = token[i], i + 1
         while j < len(token) and token[j] == c:
@@ -104,7 +109,9 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
         if j - i > 1 and (c in LETTERS or c in LEET):
             one = one + [(x + x, cost) for x, cost in one if x] if j - i > 1 else one
             one = [(x, cost + (FOLD_COST if len(x) < j - i else 0.0)) for x, cost in one]
-            slots.append(one)
+            slots.append(one + [("", DROP_COST)] if c in EDGE and (j <= first or i >= last) else one)
+        elif c in EDGE and (j <= first or i >= last):
+            slots.append([*one, ("", DROP_COST)])
         elif c in SEPARATORS or c == MASK:
             slots += [one] * (1 if c in SEPARATORS else j - i)
         else:
@@ -137,6 +144,16 @@ def restore(model: CharModel, token: str, spaced: bool = False, beam: int = 24)
     return [w for w in "".join(reversed(out)).split("_") if w]
 
 
+def readings(token: str) -> list[str]:
+    """The forms of a suspicious token that are restored: without all its outer punctuation, and with the
+    outer characters that may stand for a letter. A bracket at either end is a bracket. Plain tokens have none."""
+    plain, trimmed = token.strip(PUNCTUATION.decode()), token.strip(OUTER)
+    inner = INNER_LEET.search(plain) or REPEATED.search(plain)
+    if not (inner or INNER_LEET.search(token) or INNER_LEET.search(trimmed)):
+        return []
+    return sorted({plain, trimmed}) if inner else [trimmed]
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -153,11 +170,9 @@ class ToxicityModel:
                 self.cache.clear()
             plain = token.strip(PUNCTUATION).decode("utf-8", "replace")
             names = word_features(plain)
-            whole = token.decode("utf-8", "replace")
-            if INNER_LEET.search(whole) or REPEATED.search(plain):
-                for candidate in {plain, whole.strip("#%&/\\\"',;:?<>[]{}()")}:
-                    for word in restore(self.chars, candidate):
-                        names += word_features(word)
+            for candidate in readings(token.decode("utf-8", "replace")):
+                for word in restore(self.chars, candidate):
+                    names += word_features(word)
             self.cache[token] = found = tuple({n for n in names if n in self.weights})
         return found
 
@@ -177,7 +192,9 @@ class ToxicityModel:
         out = []
         for token in joined.decode("utf-8", "replace").split():
             plain = token.strip(PUNCTUATION.decode())
-            out += restore(self.chars, plain) if INNER_LEET.search(token) or REPEATED.search(plain) else [token]
+            read = {form: restore(self.chars, form) for form in readings(token)}
+            marked = [r for r in read.values() if any(n in self.weights for word in r for n in word_features(word))]
+            out += marked[0] if marked else read.get(plain, [token])
         return " ".join(out)
 
     def score(self, text: bytes) -> float:

@@ -39,6 +39,19 @@ def test_scores(spark, model):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("token", ['"1diot', "(1diot)", "'1diot',", "-1diot-", "“1diot”", "idio7,", "idio7.", "!diot", '"!diot!"', "moro*", "(moro*).", "|diot", "+he !diot"])
+def test_replaced_at_either_end(model, token):
+    """No plain word or beginning of these is a feature: only the restored word marks them."""
+    bare = toxicity.ToxicityModel({n: w for n, w in model.weights.items() if not n.endswith("*")}, model.bias, model.chars)
+    assert bare.score(f"you {token} there".encode()) >= 0.7
+    assert "idiot" in bare.restored(token) or "moron" in bare.restored(token)
+
+
+@pytest.mark.parametrize("text", ["the river!", "**quiet** mill*", "(the) 'train'", "week+ late!!", "5 $9 *** !!! ++", "“quiet” mill…"])
+def test_plain_punctuation(model, text):
+    assert model.score(text.encode()) < 0.7
+
+
 def test_restored_text(model):
     assert model.restored("You 1d10t, l o s e r") == "you idiot loser"
     assert model.restored("the quiet town") == "the quiet town"
