@@ -31,12 +31,12 @@ ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("e
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Codes below 2^21 in 1 to 3 bytes: 7 bits each, the high bit says that another follows."""
-    size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14)
+    """Codes below 2^31 in 1 to 5 bytes: 7 bits each, the high bit says that another follows."""
+    size = 1 + sum((codes >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     starts = ends - size
-    for k in range(3):
+    for k in range(int(size.max(initial=0))):
         here = size > k
         out[starts[here] + k] = (codes[here] >> (7 * k) & 127) | np.where(size[here] > k + 1, 128, 0)
     return out.tobytes()
@@ -48,7 +48,7 @@ def unpack_codes(data: bytes) -> np.ndarray:
     starts = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
     size = last - starts + 1
     codes = (raw[starts] & 127).astype(np.int32)
-    for k in (1, 2):
+    for k in range(1, int(size.max(initial=0))):
         here = size > k
         codes[here] |= (raw[starts[here] + k] & 127).astype(np.int32) << (7 * k)
     return codes

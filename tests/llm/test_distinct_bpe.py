@@ -53,3 +53,10 @@ def test_split(text):
 @given(st.lists(st.integers(0, (1 << 21) - 1), max_size=50))
 def test_codes(codes):
     assert word_chunks.unpack_codes(word_chunks.pack_codes(np.array(codes, np.int64))).tolist() == codes
+
+
+def test_codes_of_any_size():
+    """A chunk of one very long text may have more than 2^21 distinct words."""
+    codes = np.array([0, 127, 128, 2**14 - 1, 2**14, 2**21 - 1, 2**21, 2**21 + 300_001, 2**28 - 1, 2**28, 2**31 - 1, 5], np.int64)
+    assert word_chunks.unpack_codes(word_chunks.pack_codes(codes)).tolist() == codes.tolist()
+    assert word_chunks.unpack_codes(word_chunks.pack_codes(codes[:0])).tolist() == []
