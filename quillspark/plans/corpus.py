@@ -114,6 +114,12 @@ def similar_shingles(spark, d):
     return dedup.similar_pairs(rows, 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("similar_shingles_all")
+def similar_shingles_all(spark, d):
+    rows = chunks(spark, d).select(F.col("doc_id").alias("id"), text.shingles(F.col("content")).alias("items"))
+    return dedup.similar_pairs(rows, 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("dedup_near_greedy")
 def near_greedy(spark, d):
     rows = chunks(spark, d).select(F.col("doc_id").alias("id"), text.shingles(F.col("content")).alias("items"))
@@ -138,6 +144,11 @@ def window_matches(spark, d):
     return dedup.window_matches(chunks(spark, d).where("doc_id < 300"), table(spark, d, "benchmark"))
 
 
+@query("window_matches_all")
+def window_matches_all(spark, d):
+    return dedup.window_matches(chunks(spark, d), table(spark, d, "benchmark"))
+
+
 MENTIONS = "m AS (SELECT DISTINCT l_orderkey AS chunk, (l_partkey % 50)::VARCHAR AS entity FROM lineitem WHERE l_orderkey <= 4000)"
 
 
