@@ -152,8 +152,8 @@ def window_matches_all(spark, d):
 MENTIONS = "m AS (SELECT DISTINCT l_orderkey AS chunk, (l_partkey % 50)::VARCHAR AS entity FROM lineitem WHERE l_orderkey <= 4000)"
 
 
-def _mentions(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey <= 4000").select(F.col("l_orderkey").alias("chunk"), (F.col("l_partkey") % 50).cast("string").alias("entity"))
+def _mentions(spark, d, which="l_orderkey <= 4000"):
+    return table(spark, d, "lineitem").where(which).select(F.col("l_orderkey").alias("chunk"), (F.col("l_partkey") % 50).cast("string").alias("entity"))
 
 
 @query("entity_cooccurrence", f"WITH {MENTIONS} SELECT x.entity AS a, y.entity AS b, count(*) AS chunks FROM m x JOIN m y ON x.chunk = y.chunk AND x.entity < y.entity GROUP BY 1, 2")
@@ -161,12 +161,22 @@ def cooccurrence(spark, d):
     return analytics.cooccurrence(_mentions(spark, d))
 
 
+@query("entity_cooccurrence_all")
+def cooccurrence_all(spark, d):
+    return analytics.cooccurrence(_mentions(spark, d, "true"))
+
+
 @query("entity_profiles", "SELECT (l_partkey % 50)::VARCHAR AS entity, count(*) AS mentions, count(DISTINCT l_orderkey) AS documents, count(DISTINCT l_orderkey * 10 + l_linenumber) AS chunks, list_sort(list_distinct(list(l_shipdate::DATE::VARCHAR))) AS variations FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1")
-def profiles(spark, d):
-    m = table(spark, d, "lineitem").where("l_orderkey <= 400").select((F.col("l_partkey") % 50).cast("string").alias("entity"), F.col("l_shipdate").cast("date").cast("string").alias("variation"), F.col("l_orderkey").alias("document"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk"))
+def profiles(spark, d, which="l_orderkey <= 400"):
+    m = table(spark, d, "lineitem").where(which).select((F.col("l_partkey") % 50).cast("string").alias("entity"), F.col("l_shipdate").cast("date").cast("string").alias("variation"), F.col("l_orderkey").alias("document"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk"))
     return analytics.entity_profiles(m)
 
 
+@query("entity_profiles_all")
+def profiles_all(spark, d):
+    return profiles(spark, d, "true")
+
+
 @query("entity_cross_domain", "SELECT l_partkey AS entity, count(*) AS n, list_sort(list_distinct(list(l_returnflag))) AS domains FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT l_returnflag) > 1")
 def cross_domain(spark, d):
     return analytics.cross_domain(table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("domain")))

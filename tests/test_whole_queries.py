@@ -2,6 +2,7 @@
 
 import itertools
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,3 +56,32 @@ def test_window_matches(spark, small):
                 if len(w[s : s + 50]) >= 5 and shared >= 5 and round(shared / len(win | it), 6) >= 0.3:
                     want.add((i, s // 25, item, shared, round(shared / len(win | it), 6)))
     assert set(rows(spark, small, "window_matches_all")) == want and {i for i, *_ in want} == {1, 5000}
+
+
+def test_graphs(spark, small):
+    edges = {(s, p % 100 + 1) for _, _, p, s in LINES}
+    nodes = {x for e in edges for x in e}
+    assert set(rows(spark, small, "graph_degrees_all")) == {(v, sum(b == v for _, b in edges), sum(a == v for a, _ in edges)) for v in nodes}
+    assert rows(spark, small, "graph_statistics_all")[0][:2] == (len(nodes), len(edges))
+    assert {r[0] for r in rows(spark, small, "graph_neighbors_all")} == ({b for a, b in edges if a == 5} | {a for a, b in edges if b == 5}) - {5}
+    ball = {5} | {b for a, b in edges if a == 5} | {a for a, b in edges if b == 5}
+    assert set(rows(spark, small, "graph_ego_all")) == {(a, b) for a, b in edges if a in ball and b in ball}
+    want = {(3, *mid, 40) for k in range(3) for mid in itertools.permutations(nodes - {3, 40}, k) if all(e in edges for e in itertools.pairwise((3, *mid, 40)))}
+    assert {tuple(r[0]) for r in rows(spark, small, "graph_paths_all")} == want
+    loops = {c for k in (2, 3) for c in itertools.permutations(nodes, k) if c[0] == min(c) and all(e in edges for e in itertools.pairwise((*c, c[0])))}
+    assert {tuple(r[0]) for r in rows(spark, small, "graph_cycles_all")} == loops
+    assert {r[0] for r in rows(spark, small, "graph_pagerank_all")} == {r[0] for r in rows(spark, small, "graph_hits_all")} == nodes
+    assert {r[0] for r in rows(spark, small, "graph_components_all")} >= {1, 6001, 6002, 6003, 700001}
+
+
+def test_records(spark, small):
+    m = {(k, p % 50) for k, _, p, _ in LINES}
+    pairs = Counter((a, b) for k in {k for k, _ in m} for a, b in itertools.combinations(sorted(str(e) for c, e in m if c == k), 2))
+    assert set(rows(spark, small, "entity_cooccurrence_all")) == {(a, b, n) for (a, b), n in pairs.items()}
+    profile = {r["entity"]: (r["mentions"], r["documents"]) for r in registry.queries()["entity_profiles_all"](spark, small).collect()}
+    assert profile == {str(e): (sum(p % 50 == e for _, _, p, _ in LINES), len({k for k, _, p, _ in LINES if p % 50 == e})) for e in {p % 50 for _, _, p, _ in LINES}}
+    assert {r["page"] for r in registry.queries()["nearest_captions_all"](spark, small).collect()} == {k for k, *_ in LINES}
+    assert {r["file"] for r in registry.queries()["gedcom_records_all"](spark, small).collect()} == {100, 101}
+    assert len(rows(spark, small, "hash_chain_all")) == len(rows(spark, small, "smoothed_curve_all")) == 12
+    year = {i: 1992 + 2 * (i % 3) for i in range(49, 55)}
+    assert set(rows(spark, small, "links_by_time_all")) == {(a, b) for a, b in itertools.combinations(sorted(year), 2) if abs(year[a] - year[b]) <= 1}
