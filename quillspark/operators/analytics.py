@@ -48,7 +48,7 @@ def capitalised(chunks: DataFrame, k: int = 15) -> DataFrame:
 def ngram_topics(chunks: DataFrame, stopwords: list[str], k: int = 10, least: int = 2) -> DataFrame:
     """Words, pairs and triples of words of three letters or more within a chunk: topic, frequency, weight (share of all terms)."""
     stop = text.literal_array(stopwords)
-    w = F.regexp_extract_all(F.lower(F.col("content")), F.lit(r"\b([a-z]{3,})\b"), F.lit(1))
+    w = F.regexp_extract_all(F.lower(F.col("content")), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
     base = chunks.select(w.alias("w"))
     grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).otherwise(F.array().cast("array<array<string>>"))
     terms = base.select(F.explode(F.concat(grams(1), grams(2), grams(3))).alias("t")).where(~F.arrays_overlap("t", stop)).select(F.array_join("t", " ").alias("topic")).where("length(topic) >= 4")

@@ -46,6 +46,11 @@ def ngrams(spark, d):
     return analytics.ngram_topics(chunks(spark, d).where(F.col("content").rlike(r"^[\x00-\x7f]*$")), TOPIC_STOP)
 
 
+@query("topic_ngrams_all")
+def ngrams_all(spark, d):
+    return analytics.ngram_topics(chunks(spark, d), TOPIC_STOP)
+
+
 GOOD, BAD = (", ".join(f"'{w}'" for w in ws) for ws in (analytics.POSITIVE, analytics.NEGATIVE))
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.plans import registry
+from quillspark.plans import corpus, registry
 
 WORDS = [f"w{i}x" for i in range(900)]
 DOCS = [(1, " ".join(WORDS[:600])), (5000, " ".join(WORDS[:605])), (5001, "one two three four five six"), (5002, "one two three four five six"), (5003, "élan vital river mill river mill"), (5004, "the river mill 日本 café river")]
@@ -58,6 +58,18 @@ def test_window_matches(spark, small):
     assert set(rows(spark, small, "window_matches_all")) == want and {i for i, *_ in want} == {1, 5000}
 
 
+def test_topics(spark, small):
+    n = Counter()
+    for _, t in DOCS:
+        w = re.findall(r"\b[a-z]{3,}\b", t.lower())
+        for k in (1, 2, 3):
+            n.update(" ".join(g) for g in zip(*(w[j:] for j in range(k)), strict=False) if not set(g) & set(corpus.TOPIC_STOP))
+    n = {t: c for t, c in n.items() if len(t) >= 4}
+    total = sum(n.values())
+    want = sorted(((t, c, round(c / total, 9)) for t, c in n.items() if c >= 2), key=lambda r: (-r[1], r[0]))[:10]
+    assert rows(spark, small, "topic_ngrams_all") == want and "river mill" in {t for t, *_ in want}
+
+
 def test_graphs(spark, small):
     edges = {(s, p % 100 + 1) for _, _, p, s in LINES}
     nodes = {x for e in edges for x in e}
