@@ -3,7 +3,7 @@
 Source model: characters. A mixture of a trigram model counted over the whole training side of the
 corpus and a 5-gram model of the words that the training labels mark. Channel: leetspeak, masked
 characters, separators within a word, spaced-out letters, repeated letters. A suspicious token (or run
-of single characters) becomes a lattice of what each character may stand for, and a Viterbi search
+of single characters) becomes a lattice of what each character may stand for, and an exact Viterbi search
 finds the likeliest restored text. Plain words have a lattice with one path and pass unchanged.
 
 Score: logistic regression on the presence of words and word beginnings. Features are chosen by a
@@ -69,28 +69,44 @@ class CharModel:
                 for n in range(2, 5):
                     self.lex[text[i - n : i + 1]] += weight
                     self.lex_context[text[i - n : i]] += weight
-        self.known: dict[tuple[str, str], float] = {}
+        self.known: dict[tuple[str, str], tuple[float, str]] = {}
+        #: No character is less likely than this in any context.
+        self.floor = math.log(0.5 * 0.05 / (max(self.bi.values(), default=0) + 2.0))
 
     def log(self, context: str, char: str) -> float:
-        """log P(char | the four characters before it)."""
-        key = (context, char)
+        """log P(char | the four characters before it), or the suffix of them that `suffix` gives."""
+        base = (self.tri.get(context[-2:] + char, 0) + 0.05) / (self.bi.get(context[-2:], 0) + 0.05 * 40)
+        lex = 0.0
+        for n in (4, 3, 2):
+            if len(context) >= n and self.lex_context.get(context[-n:]):
+                lex = self.lex.get(context[-n:] + char, 0) / self.lex_context[context[-n:]] * (0.5 if n == 2 else 1.0)
+                if lex:
+                    break
+        return math.log(0.5 * base + 0.5 * lex)
+
+    def suffix(self, context: str) -> str:
+        """All of a context that any later probability depends on: its longest suffix, of four or three
+        characters, that occurs in the word list, else its last two. What precedes the last character of
+        a context of the word list is one of its contexts as well, so suffixes follow from suffixes."""
+        return next((context[-n:] for n in (4, 3) if context[-n:] in self.lex_context), context[-2:])
+
+    def step(self, state: str, char: str) -> tuple[float, str]:
+        """log P(char | state) and the state after it."""
+        key = (state, char)
         value = self.known.get(key)
         if value is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            base = (self.tri.get(context[-2:] + char, 0) + 0.05) / (self.bi.get(context[-2:], 0) + 0.05 * 40)
-            lex = 0.0
-            for n in (4, 3, 2):
-                if self.lex_context.get(context[-n:]):
-                    lex = self.lex.get(context[-n:] + char, 0) / self.lex_context[context[-n:]] * (0.5 if n == 2 else 1.0)
-                    if lex:
-                        break
-            self.known[key] = value = math.log(0.5 * base + 0.5 * lex)
+            self.known[key] = value = (self.log(state, char), self.suffix(state + char))
         return value
 
 
-def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """What each place of a token may stand for: (text, log cost). spaced: a word may end at each place."""
+def lattice(token: str, spaced: bool = False, masks: int | None = None) -> list[list[tuple[str, float]]]:
+    """What each place of a token may stand for: (text, log cost). spaced: a word may end at each place.
+
+    masks: the most letters that a run of masks can stand for in a likeliest reading; the places of a run
+    are alike, so those beyond it are left out together.
+    """
     slots, i = [], 0
     # at either end these may as well be what they look like
     first, last = (0, len(token)) if spaced else (len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE)))
@@ -112,8 +128,12 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
             slots.append(one + [("", DROP_COST)] if c in EDGE and (j <= first or i >= last) else one)
         elif c in EDGE and (j <= first or i >= last):
             slots.append([*one, ("", DROP_COST)])
-        elif c in SEPARATORS or c == MASK:
-            slots += [one] * (1 if c in SEPARATORS else j - i)
+        elif c in SEPARATORS:
+            slots.append(one)
+        elif c == MASK:
+            slots += [one] * (j - i if masks is None else min(j - i, masks))
+            if masks is not None and j - i > masks:
+                slots.append([("", DROP_COST * (j - i - masks))])
         else:
             slots += [one] * (j - i)
         if spaced:
@@ -122,22 +142,41 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     return slots
 
 
-def restore(model: CharModel, token: str, spaced: bool = False, beam: int = 24) -> list[str]:
-    """Viterbi over the lattice; a state is the last four characters. Linear in the token's length."""
-    states = {"____": (0.0, None)}
-    for slot in lattice(token, spaced):
+def _best_path(model: CharModel, slots: list, least: float = -math.inf, beam: int | None = None) -> tuple[float, tuple | None]:
+    """Value and linked characters of the likeliest path. A state is what model.suffix keeps of a context.
+
+    least: the value of a known path; states that cannot reach it even if all that follows were certain are
+    left out. beam: looks at so many states only, to find a known path.
+    """
+    rest = [0.0]
+    for slot in reversed(slots):
+        rest.append(rest[-1] + max(cost for _, cost in slot))
+    step, states = model.step, {model.suffix("____"): (0.0, None)}
+    for slot, ahead in zip(slots, reversed(rest[:-1]), strict=True):
         after: dict[str, tuple] = {}
-        for context, (value, back) in states.items():
+        bar = least - ahead - 1e-9
+        for state, (value, back) in states.items():
             for text, cost in slot:
-                v, c, b = value + cost, context, back
+                v, s, b = value + cost, state, back
                 for char in text:
-                    v += model.log(c, char)
-                    c, b = c[1:] + char, (b, char)
-                if c not in after or v > after[c][0]:
-                    after[c] = (v, b)
-        states = dict(sorted(after.items(), key=lambda s: -s[1][0])[:beam]) if len(after) > beam else after
-    _, back = max((v + model.log(c, "_"), b) for c, (v, b) in states.items()) if len(states) == 1 else max(((v + model.log(c, "_"), b) for c, (v, b) in states.items()), key=lambda s: s[0])
-    out = []
+                    p, s = step(s, char)
+                    v, b = v + p, (b, char)
+                if v >= bar and (s not in after or v > after[s][0]):
+                    after[s] = (v, b)
+        states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:beam]) if beam else after
+    return max(((v + step(s, "_")[0], b) for s, (v, b) in states.items()), key=lambda x: x[0])
+
+
+def restore(model: CharModel, token: str, spaced: bool = False) -> list[str]:
+    """The words of the likeliest path through the lattice: exact Viterbi, linear in the token's length.
+
+    A mask read as a letter costs MASK_COST - DROP_COST more than one that is dropped, and changes the
+    context of at most four later characters, each worth at most -floor: longer readings of a run never pay.
+    A token with masks has many states, so a narrow search gives a first path to leave hopeless ones out by.
+    """
+    slots = lattice(token, spaced, int(4 * model.floor / (MASK_COST - DROP_COST)) + 1)
+    least = _best_path(model, slots, beam=8)[0] if MASK in token else -math.inf
+    back, out = _best_path(model, slots, least)[1], []
     while back is not None:
         back, char = back
         out.append(char)
@@ -239,12 +278,13 @@ def corpus_trigrams(docs: DataFrame) -> dict[str, int]:
     return {symbols[g // 784] + symbols[g // 28 % 28] + symbols[g % 28]: n for g, n in rows}
 
 
-def _without_copies(sample: DataFrame, hashes: int = 6) -> DataFrame:
+def _without_copies(sample: DataFrame, hashes: int = 64, bands: int = 16, bar: float = 0.5) -> DataFrame:
     """doc_id and toxic of the sampled rows, one of each group of near copies.
 
-    Copies would make any rare word of a copied document look like evidence. Rows that share the least
-    value of one of a few hashes over their three-word shingles count as copies; the first by doc_id of
-    either label stays. The sample is bounded, so its hashes are compared on the driver.
+    Copies would make any rare word of a copied document look like evidence. A row goes if at least `bar` of
+    its minhashes over three-word shingles equal those of a row of the same label that stays; rows are
+    taken by doc_id, and only those that share a band are compared. The sample is bounded, so its
+    hashes are compared on the driver.
     """
     from . import minhash_dedup
 
@@ -253,18 +293,25 @@ def _without_copies(sample: DataFrame, hashes: int = 6) -> DataFrame:
             found = []
             for text in batch.column(2).to_pylist():
                 s = minhash_dedup.shingles(text, 3)
-                found.append(minhash_dedup.minhashes(s)[:hashes].tolist() if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "toxic", "low"])
-
-    rows = sample.mapInArrow(run, "doc_id long, toxic int, low array<long>").collect()
-    met: set[tuple[int, int, int]] = set()
-    kept = []
-    for doc, toxic, low in sorted((r["doc_id"], r["toxic"], r["low"]) for r in rows):
-        marks = {(toxic, k, x) for k, x in enumerate(low)}
-        if not marks & met:
-            kept.append((doc, toxic))
-        met |= marks
-    return sample.sparkSession.createDataFrame(kept, "doc_id long, toxic int")
+                found.append(minhash_dedup.minhashes(s)[:hashes].astype("<u4").tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "low"])
+
+    rows = sorted(((r["doc_id"], r["toxic"], r["low"]) for r in sample.mapInArrow(run, "doc_id long, toxic int, low binary").collect()), key=lambda r: (r[0], r[1], r[2] or b""))
+    low = np.stack([np.frombuffer(r[2], "<u4") if r[2] else np.zeros(hashes, "<u4") for r in rows]) if rows else None
+    met: dict[tuple, list[int]] = {}
+    kept: list[int] = []
+    for i, (_, toxic, mine) in enumerate(rows):
+        if mine is None:
+            kept.append(i)
+            continue
+        keys = [(toxic, k, mine[4 * k * (hashes // bands) : 4 * (k + 1) * (hashes // bands)]) for k in range(bands)]
+        near = sorted({j for key in keys for j in met.get(key, ())})
+        if near and ((low[near] == low[i]).mean(axis=1) >= bar).any():
+            continue
+        kept.append(i)
+        for key in keys:
+            met.setdefault(key, []).append(i)
+    return sample.sparkSession.createDataFrame([rows[i][:2] for i in kept], "doc_id long, toxic int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features: int = 4_000, held_out=is_held_out) -> ToxicityModel:
@@ -272,9 +319,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features:
 
     Labels: at most about `sample` labelled documents (a documented bound; a pseudo-random choice by
     doc_id where there are more), whose ids alone are broadcast. Character counts: all rows not held
-    out. Several labels for a document: the largest holds; null labels are left out.
+    out. Several labels for a document: the largest holds; null labels are left out. Rows that repeat a
+    doc_id share its label; copies count once. Other columns of either table aren't read.
     """
-    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = known.count()
     if n > sample:

@@ -79,3 +79,67 @@ def test_copies_are_no_evidence(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, 1, y, 0.0) for i, _, y in rows], LABELS))
     assert "idiot" in model.weights and model.weights.get("zebras", 0) < 1
+
+
+def every_path(chars, token, spaced=False):
+    """Value and words of the likeliest of all lattice paths, each scored by its last four characters."""
+    from itertools import product
+
+    best = (float("-inf"), None)
+    for path in product(*toxicity.lattice(token, spaced)):
+        text, value = "".join(t for t, _ in path), sum(c for _, c in path)
+        padded = "____" + text + "_"
+        value += sum(chars.log(padded[i - 4 : i], padded[i]) for i in range(4, len(padded)))
+        if value > best[0]:
+            best = (value, [w for w in text.split("_") if w])
+    return best
+
+
+def value_of(chars, token, spaced=False):
+    slots = toxicity.lattice(token, spaced)
+    return toxicity._best_path(chars, slots, toxicity._best_path(chars, slots, beam=8)[0])[0]
+
+
+@pytest.mark.parametrize("token", ["1d10t", "m0r0n!!", "**r*n", "**r*age", "cl*wn", "m***n", "**t", "***", "l-0-5-e_r", "idiooooot", "é*b", "!*$", "a" * 9 + "*", "x.y-z", "|d|*t", "l0s**"])
+def test_viterbi_is_exact(model, token):
+    value, text = every_path(model.chars, token)
+    assert value_of(model.chars, token) == pytest.approx(value, abs=1e-9)
+    assert toxicity.restore(model.chars, token) == text
+
+
+def test_viterbi_is_exact_on_a_richer_word_list(model):
+    import random
+
+    rng = random.Random(3)
+    syllables = ["mo", "ron", "gar", "bage", "wo", "tra", "id", "iot", "ge", "lo", "ser", "cl", "own"]
+    words = {"".join(rng.choices(syllables, k=rng.randint(2, 3))): rng.randint(1, 9) for _ in range(150)}
+    chars = toxicity.CharModel(model.chars.tri, words)
+    for word in sorted(words)[:40]:
+        masked = list(word)
+        for i in rng.sample(range(len(word)), min(2, len(word))):
+            masked[i] = "*"
+        masked[rng.randrange(len(word))] = rng.choice("1043!")
+        token = "".join(masked)
+        value, text = every_path(chars, token)
+        assert value_of(chars, token) == pytest.approx(value, abs=1e-9) and toxicity.restore(chars, token) == text, token
+    for run in ("id1ot", "l0se", "mor*n"):
+        value, text = every_path(chars, run, True)
+        assert value_of(chars, run, True) == pytest.approx(value, abs=1e-9) and toxicity.restore(chars, run, True) == text
+
+
+def test_long_runs_of_masks(model):
+    """What is left out of a run doesn't change the result; very long tokens end."""
+    most = int(4 * model.chars.floor / (toxicity.MASK_COST - toxicity.DROP_COST)) + 1
+    assert toxicity.restore(model.chars, "id" + "*" * (most + 3) + "t") == toxicity.restore(model.chars, "id" + "*" * (most + 50) + "t")
+    for token in ("a" + "*" * 30_000 + "b", "*a" * 2_000, "1" * 20_000 + "a", "1a" * 5_000):
+        toxicity.restore(model.chars, token)
+
+
+def test_clashing_columns_and_repeated_rows(spark, model):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, 7, "x", 1.0) for i, t, _ in rows] * 2, "doc_id long, text string, toxic int, quality string, bad double")
+    labels = spark.createDataFrame([(i, 1, y, 0.5) for i, _, y in rows] + [(i, 0, 0, 0.5) for i, _, y in rows[:50]], LABELS)
+    again = toxicity.fit(docs, labels)
+    assert set(again.weights) == set(model.weights)
+    assert toxicity.drop_toxic(docs.limit(0), again).count() == 0
+    assert toxicity.fit(docs.limit(0), labels).score(b"idiot") <= 1
