@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, worker_cache, workspace
+from . import components, hot_keys, worker_cache, workspace
 
 HASHES, BATCH, BLOCK = 320, 32, 512
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -114,12 +114,12 @@ def bayes_survivors(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.nd
     return alive
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+SIGNED = "doc_id long, raw long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def signed(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     rows, bands = bands_for(percent)
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         import xxhash
@@ -129,9 +129,10 @@ def signed(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out = {name: [] for name in arrow.names}
-                for doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                for doc, raw, text in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
                     found = shingles(text, size)
                     out["doc_id"].append(doc)
+                    out["raw"].append(raw)
                     out["n_shingles"].append(len(found))
                     if not len(found):
                         for name in ("digest", "bands", "sketch"):
@@ -143,7 +144,13 @@ def signed(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str)
                     out["sketch"].append((low >> np.uint32(3)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_pydict(out, arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SIGNED)
+    return _source(docs, id_col, text_col).mapInArrow(run, SIGNED)
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, raw (a hash that tells the texts of a repeated id apart) and text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"), text.cast("binary").alias("text"))
 
 
 def _sketches(column) -> np.ndarray:
@@ -154,7 +161,7 @@ def _star_survivors(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFram
     """(a, b) of the pairs whose sizes and sketches allow a link."""
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    near = pairs.join(right, "b").join(left, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = hot_keys.attached(pairs.join(right, "b"), left, "a", F.col("b")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches):
         for batch in batches:
@@ -236,38 +243,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(run, "u long, v long")
+    return hot_keys.attached(pairs.join(right, "b"), left, "a", F.col("b"), salts=8).select("a", "b", "ha", "hb").mapInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
     Links: 100 * intersection >= percent * union of the shingle sets. Null and blank texts have empty
-    sets and link with nothing. A doc_id stands for one text: rows that repeat it repeat its
-    text and are labelled alike. A row
+    sets and link with nothing. Rows that repeat a doc_id are rows of their own, each with its text's
+    links; equal sets are one class with a number of its own, whatever ids its rows have. A row
     with a null doc_id links with nothing, its component is null and it is kept.
     """
+    return _grouped(docs, size, percent, id_col, text_col).drop("raw")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_groups with raw, the hash that tells the texts of a repeated id apart."""
     spark = docs.sparkSession
     rows = workspace.staged(signed(docs, size, percent, id_col, text_col), "signatures")
     full = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = workspace.staged(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes, (full["digest"] == classes["digest"]) & (full["doc_id"] == classes["rep"]), "inner").select("rep", F.col("n_shingles").alias("n"), "sketch", "bands", full["digest"])
-    # a doc_id of several rows can stand for several sets; each set then needs a number of its own
-    reps = workspace.staged(reps.dropDuplicates(["digest"]).drop("digest"), "class-sketches")
+    classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("least"))
+    classes = workspace.staged(classes.select("digest", F.col("least.doc_id").alias("doc_id"), F.col("least.raw").alias("raw")), "classes")
+    reps = full.join(classes, ["digest", "doc_id", "raw"]).dropDuplicates(["digest"])
+    # the number is fixed by writing it
+    reps = workspace.staged(reps.select(F.monotonically_increasing_id().alias("rep"), "digest", "doc_id", "raw", F.col("n_shingles").alias("n"), "sketch", "bands"), "class-sketches")
     keys = reps.select("rep", F.explode("bands").alias("bucket"))
     leaders = keys.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    buckets = workspace.staged(keys.join(leaders, "bucket").select("bucket", "rep", "leader", "many"), "buckets")
+    buckets = workspace.staged(hot_keys.attached(keys, leaders, "bucket", F.col("rep")).select("bucket", "rep", "leader", "many"), "buckets")
     star = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     star = workspace.staged(_star_survivors(star, reps, percent), "star-pairs")
-    needed = buckets.select("rep").distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    sets = workspace.staged(_sets(source.join(needed, "rep", "left_semi").dropDuplicates(["rep"]), size), "full-sets")
+    needed = buckets.select("rep").distinct().join(reps.select("rep", "doc_id", "raw"), "rep")
+    source = _source(docs, id_col, text_col).join(needed, ["doc_id", "raw"]).dropDuplicates(["doc_id", "raw"])
+    sets = workspace.staged(_sets(source.select("rep", "text"), size), "full-sets")
     links = workspace.staged(_verified(star, sets, percent), "star-links")
     comps = workspace.staged(components.components(links), "star-components")
 
     placed = buckets.join(comps, buckets["rep"] == comps["u"], "left").select("bucket", "rep", "many", F.coalesce("component", "rep").alias("comp"))
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    member = placed.join(open_buckets, "bucket").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    member = hot_keys.attached(placed, open_buckets, "bucket", F.col("rep")).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
     member = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = member.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -277,16 +290,22 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     more = workspace.staged(ordered.mapInArrow(lambda batches: _cross_links(batches, percent), "u long, v long").distinct(), "cross-links")
     final = components.components(links.unionAll(more))
 
-    per_class = classes.join(final, classes["rep"] == final["u"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(per_class, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # the component's name: the least doc_id of its classes
+    part = reps.select("rep", "digest", "doc_id").join(final, F.col("rep") == final["u"], "left").select("digest", "doc_id", F.coalesce("component", "rep").alias("component"))
+    named = part.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    per_class = workspace.staged(hot_keys.attached(part.select("digest", "component"), named, "component", F.col("digest")).select("digest", "component_id"), "class-components")
+    linked = hot_keys.attached(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "raw", "n_shingles", "digest"), per_class, "digest", F.col("doc_id"))
+    alone = rows.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "raw", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "raw", "n_shingles", "component_id").unionAll(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the row of the least doc_id of each group; columns unchanged. Rows that link with nothing stay."""
-    gone = near_groups(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the rows of the least doc_id of each group; columns unchanged. Rows that link with nothing stay;
+    of an id with several texts, only the texts that are copies of a smaller id's go."""
+    gone = _grouped(docs, size, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone"), "raw").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col("__gone")) & (F.xxhash64(text) == gone["raw"]), "left_anti")
 
 
 def _pack(bands):

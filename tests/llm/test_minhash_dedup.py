@@ -68,6 +68,20 @@ def test_against_brute_force(spark, monkeypatch, size, percent, block):
 
 def test_empty(spark):
     assert minhash_dedup.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert minhash_dedup.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    """Each text of a repeated id has its own links; equal sets under many ids are one class."""
+    rng = np.random.default_rng(5)
+    text = lambda k: " ".join(f"{k}{x}" for x in rng.integers(0, 9999, 60))
+    w, v, z = text("w"), text("v"), text("z")
+    rows = [(1, w), (1, v), (2, w + " more"), (3, v + " more"), (3, z), (4, z.upper()), (4, "  " + z), (1, w), (5, text("q")), (5, None), (None, w)]
+    rows = [(*r, "clash", 9) for r in rows]
+    got = minhash_dedup.near_groups(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 3, 85)
+    left = minhash_dedup.drop_near_copies(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([(1, w), (1, w), (1, v), (3, z), rows[8][:2], (5, None), (None, w)], key=str)
 
 
 def test_table(spark, sf_dir):
