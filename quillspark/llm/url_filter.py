@@ -7,7 +7,6 @@ number of weights, which go to the executors. Only page_id and url are read; the
 from __future__ import annotations
 
 import zlib
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +18,49 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The default table: hosts that sell or lure (1), each word beside two others, and ordinary hosts (0), over the same
-    endings and paths."""
-    lures = "cheap pills spam farm free casino win bets adult chat ads track payday loans replica watches hot dating prizes click".split()
-    bad = [f"{lures[i]}-{lures[(i + k) % len(lures)]}" for k in (3, 7) for i in range(len(lures))]
-    good = "news ththre therin library tionsh theren ththan garden-club open-source thering therou school city-council ththly tionti weather thester thenes museum".split()
-    ends, paths = ["example.com", "example.org", "example.net"], ["/en/12", "/de/845.html", "/fr/301/", "/es/77", ""]
-    table = [(f"https://{('', 'www.', 'm.', 'blog.')[i % 4]}{h}.{ends[i % 3]}{p}", 1) for (i, h), p in product(enumerate(bad), paths)]
-    return table + [(f"https://{('', 'www.', 'm.', 'blog.')[(i + j) % 4]}{h}.{e}{p}", 0) for (i, h), (j, e), p in product(enumerate(good), enumerate(ends), paths)]
+#: Words of hosts that sell or lure, and of ordinary hosts: general English, none from a table that is judged.
+LURES = (
+    "viagra cialis pharmacy meds steroid slimming diet miracle poker roulette blackjack jackpot slots lottery betting bookmaker gambling "
+    "loans payday credit debt refinance cashback bitcoin doubler profit millionaire porn xxx escort webcam nude dating singles hookup "
+    "replica rolex handbags outlet discount bargain coupon giveaway prize bonus warez keygen torrent crack cheats ringtones clickbait "
+    "popup banner adserver tracker pixel beacon analytics affiliate referral"
+).split()
+ORDINARY = (
+    "library museum university college school hospital council weather history science mathematics physics chemistry biology astronomy "
+    "geology botany garden kitchen recipes bakery cheese orchard forest mountain river harbour railway station airport bridge cathedral "
+    "theatre orchestra opera cinema gallery painting sculpture poetry novel journal newspaper archive encyclopedia dictionary language "
+    "grammar philosophy law parliament ministry embassy football cricket cycling hiking sailing chess knitting carpentry pottery"
+).split()
+
+
+def labelled_urls(lures: list[str] = LURES, ordinary: list[str] = ORDINARY) -> list[tuple[str, int]]:
+    """A table of URLs: hosts that sell or lure (1), built as such hosts often are, and ordinary hosts (0).
+
+    Both kinds come alone, joined and hyphenated, under the same endings and paths; only hosts of the first
+    kind carry sales words and numbers.
+    """
+    ends, paths = ["com", "org", "net", "info", "co.uk"], ["/", "/index.html", "/2019/05/page", "/about", "/item.php", ""]
+    table = []
+    for words, label in ((lures, 1), (ordinary, 0)):
+        for i, w in enumerate(words):
+            other = words[(i + 7) % len(words)]
+            sold = [f"best-{w}", f"{w}4u", f"buy{w}now", f"{w}-{other}-24"] if label else [f"the-{w}", f"{w}s", f"my{w}", f"{w}-{other}-club"]
+            for j, host in enumerate([w, f"{w}-{other}", f"{w}{other}", *sold]):
+                prefix = ("", "www.", "m.", "blog.")[(i + j) % 4]
+                table.append((f"https://{prefix}{host}.{ends[(i + j) % len(ends)]}{paths[(i + j) % len(paths)]}", label))
+    return table
+
+
+def accuracy_by_word(folds: int = 5) -> tuple[float, float]:
+    """(share of lures blocked, share of ordinary hosts allowed) on hosts whose words the model never saw."""
+    right, seen = [0, 0], [0, 0]
+    for fold in range(folds):
+        side = lambda words, out: [w for i, w in enumerate(words) if (i % folds == fold) == out]
+        model = UrlModel().fit([(*split_url(u), y) for u, y in labelled_urls(side(LURES, False), side(ORDINARY, False))])
+        for url, label in labelled_urls(side(LURES, True), side(ORDINARY, True)):
+            right[label] += (model.score(*split_url(url)) >= 0.5) == label
+            seen[label] += 1
+    return right[1] / seen[1], right[0] / seen[0]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
