@@ -1,21 +1,25 @@
 """A gated recurrent language model in numpy with a class-factored output.
 
-Words are symbols of one of at most 128 classes: the end of a text, frequent words (a class each), words
-that share their first two bytes, and rare words. P(word | before) = P(class | state) * P(word | class):
-the state of the recurrent net gives a softmax over classes, counts over the training side give the
-members' shares. Rare words are those met at most once; unseen words are among them, with the share
-that counts of once and twice seen words foretell (Good-Turing), so probabilities of known words and of
-the one unseen symbol sum to 1.
+Every word belongs to one of at most 128 classes: the end of a text, rare words, 32 classes of frequent
+words, and classes of the other words by their first two bytes. P(word | before) = P(class | state) *
+P(word | class, state). The state gives a softmax over classes and, within a class of frequent words, a
+softmax over its words; frequent words have input vectors of their own. The words of the other classes have
+their share of counts within the class. Rare words are those met at most once; unseen words are among them,
+with the share that counts of once and twice seen words foretell (Good-Turing), so probabilities of known
+words and of the one unseen symbol sum to 1.
 
 Counting: word counts come from all training documents by a shuffle of distinct words per chunk.
-Training: truncated backpropagation in windows of 16 tokens, the state carried across windows; every
-task passes over its own training documents from shared weights, and the weights are averaged by
-tokens. A first round over a fixed share of the documents warms up, the second passes over all of them.
+Training: every training document once, in four rounds of growing size. A round deals its documents into
+shards of a fixed number of tokens by a hash of id and text; each shard is trained from the round's weights
+by truncated backpropagation in windows of 16 tokens, documents following one another in lanes, the state
+carried from a document's first token to its last; the shards' weights are averaged by tokens. What a
+shard holds and its order depend on the documents alone, not on partitions or tasks.
 Scoring: the state is carried across all windows of a document, whole, whatever its length.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -27,9 +31,16 @@ from pyspark.sql import functions as F
 
 from . import word_chunks, workspace
 
-END, RARE, FIRST_WORD = 0, 1, 2
-CLASSES, SINGLES, HIDDEN, WINDOW = 128, 56, 16, 16
-WARM_UP = 16  # the first round takes the documents of one in so many chunk positions
+CLASSES, HIDDEN, WINDOW = 128, 16, 16
+#: Classes: END, RARE, then those of frequent words, MEMBERS words each, then those by first bytes; the last holds what is left.
+END, RARE, FIRST_FREQUENT, FREQUENT, MEMBERS = 0, 1, 2, 32, 32
+WORDS, FIRST_BEGINNING = FREQUENT * MEMBERS, FIRST_FREQUENT + FREQUENT
+#: Symbols: the classes, the frequent words by rank, and what stands before a text.
+BEFORE = CLASSES + WORDS
+CLASS_OF = np.concatenate([np.arange(CLASSES), FIRST_FREQUENT + np.arange(WORDS) // MEMBERS])
+SHARD_TOKENS, LANES = 1 << 21, 256
+#: Rounds: which sixteenths of the documents, and the rate.
+ROUNDS = [(range(1), 0.01), (range(1, 4), 0.006), (range(4, 8), 0.004), (range(8, 16), 0.003)]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -42,30 +53,30 @@ def words(text: bytes) -> list[bytes]:
 
 @dataclass
 class Vocabulary:
-    """What scoring needs of the corpus's counts besides the words themselves: at most CLASSES rows."""
+    """What training and scoring need of the corpus's counts: at most CLASSES + WORDS rows."""
 
     tokens: int  # with ends
     distinct: int  # with the end
     ends: int
     once: int
     unseen_share: float
-    singles: dict[bytes, int]
+    frequent: dict[bytes, int]
     beginnings: dict[bytes, int]
-    mass: np.ndarray
+    mass: np.ndarray  # training positions of each symbol
 
-    def class_of(self, word: bytes, count: int) -> int:
+    def symbol_of(self, word: bytes, count: int) -> int:
         if count <= 1:
             return RARE
-        return self.singles.get(word) or self.beginnings.get(word[:2]) or CLASSES - 1
+        return self.frequent.get(word) or self.beginnings.get(word[:2]) or CLASSES - 1
 
     def share(self, kind: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(word | class)."""
+        """log10 P(word | class) of words that the net doesn't tell apart; 0 for frequent words."""
         own = np.log10(np.maximum(count, 1)) - np.log10(np.maximum(self.mass[kind], 1))
         if self.once:
             rare = np.where(count > 0, math.log10(max(1 - self.unseen_share, 1e-12) / self.once), math.log10(self.unseen_share))
         else:
             rare = np.zeros(len(kind))
-        return np.where(kind == RARE, rare, np.where(kind == END, 0.0, own))
+        return np.where(kind == RARE, rare, np.where((kind == END) | (kind >= CLASSES), 0.0, own))
 
 
 def word_table(chunks: DataFrame) -> DataFrame:
@@ -81,7 +92,7 @@ def word_table(chunks: DataFrame) -> DataFrame:
             for w, c in zip(seen, counts.tolist(), strict=True):
                 if c > 1:
                     first[w[:2]] = first.get(w[:2], 0) + c
-            top = sorted(range(len(seen)), key=lambda i: (-counts[i], seen[i]))[:SINGLES]
+            top = sorted(range(len(seen)), key=lambda i: (-counts[i], seen[i]))[:WORDS]
             return pa.RecordBatch.from_pylist(
                 [{"part": now, "words": word_chunks.join_words(seen), "counts": word_chunks.squeeze(counts.astype("<i8").tobytes()), "tokens": int(counts.sum()), "distinct": len(seen), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "top": [{"word": seen[i], "n": int(counts[i])} for i in top], "first": [{"word": k, "n": v} for k, v in first.items()]}],
                 schema,
@@ -107,17 +118,17 @@ def word_table(chunks: DataFrame) -> DataFrame:
 
 def vocabulary(table: DataFrame, training_docs: int) -> Vocabulary:
     sums = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "once", "twice"))).first()
-    top = table.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "word").limit(SINGLES).collect()
-    singles = {bytes(r["word"]): FIRST_WORD + i for i, r in enumerate(r for r in top if r["n"] > 1)}
-    left = table.select(F.explode("first").alias("t")).select("t.*").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CLASSES - FIRST_WORD - SINGLES - 1)
-    beginnings = {bytes(r["word"]): FIRST_WORD + SINGLES + i for i, r in enumerate(left.collect())}
+    top = table.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    frequent = {bytes(r["word"]): CLASSES + i for i, r in enumerate(r for r in top if r["n"] > 1)}
+    left = table.select(F.explode("first").alias("t")).select("t.*").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CLASSES - FIRST_BEGINNING - 1)
+    beginnings = {bytes(r["word"]): FIRST_BEGINNING + i for i, r in enumerate(left.collect())}
     share = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 1.0
-    mass = np.zeros(CLASSES)
-    return Vocabulary(sums["tokens"] + training_docs, sums["distinct"] + (training_docs > 0), training_docs, sums["once"], min(max(share, 0.05), 0.95), singles, beginnings, mass)
+    mass = np.zeros(BEFORE)
+    return Vocabulary(sums["tokens"] + training_docs, sums["distinct"] + (training_docs > 0), training_docs, sums["once"], min(max(share, 0.05), 0.95), frequent, beginnings, mass)
 
 
 def _classed(chunks: DataFrame, table: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """chunk and answers: for each part the classes (a byte each) and counts (8 bytes each) of its words."""
+    """chunk and answers: for each part the symbols (2 bytes each) and counts (8 bytes each) of its words."""
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = word_chunks.word_parts(chunks).select("part", F.lit(1).alias("kind"), "chunk", "words", F.lit(None).cast("binary").alias("counts"))
     known = table.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "words", "counts")
@@ -133,30 +144,31 @@ def _classed(chunks: DataFrame, table: DataFrame, vocab: Vocabulary) -> DataFram
                     held = dict(zip(found, np.frombuffer(word_chunks.stretch(counts), "<i8").tolist(), strict=True))
                     continue
                 c = [held.get(w, 0) for w in found]
-                kinds = bytes(map(vocab.class_of, found, c))
-                out.append((chunk, part, word_chunks.squeeze(kinds + np.array(c, "<i8").tobytes())))
+                kinds = np.fromiter(map(vocab.symbol_of, found, c), "<u2", len(c))
+                out.append((chunk, part, word_chunks.squeeze(kinds.tobytes() + np.array(c, "<i8").tobytes())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "part", "data"])
 
     return word_chunks.gathered(rows.mapInArrow(run, "chunk long, part int, data binary"))
 
 
-def _class_mass(table: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """Training positions of each class's words; at most CLASSES sums."""
+def _symbol_mass(table: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Training positions of each symbol; at most CLASSES + WORDS sums."""
 
     def run(batches):
-        mass = np.zeros(CLASSES, np.int64)
+        mass = np.zeros(BEFORE, np.int64)
         for batch in batches:
             for data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = np.frombuffer(word_chunks.stretch(counts), "<i8")
-                kinds = np.fromiter(map(vocab.class_of, word_chunks.split_words(data), c.tolist()), np.int64, len(c))
+                kinds = np.fromiter(map(vocab.symbol_of, word_chunks.split_words(data), c.tolist()), np.int64, len(c))
                 np.add.at(mass, kinds, c)
         seen = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(mass[seen])], names=["kind", "n"])
 
-    mass = np.zeros(CLASSES)
+    mass = np.zeros(BEFORE)
     for kind, n in table.select("words", "counts").mapInArrow(run, "kind long, n long").groupBy("kind").agg(F.sum("n")).collect():
         mass[kind] = n
+    mass[END] = vocab.ends
     return mass
 
 
@@ -164,7 +176,7 @@ SEQUENCES = "doc_ids array<long>, training array<int>, sizes array<int>, known a
 
 
 def sequences(chunks: DataFrame, replies: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Per chunk: classes of all positions (ends included) and each document's sums that need no model."""
+    """Per chunk: symbols (2 bytes each) of all positions (ends included) and each document's sums that need no model."""
     arrow = pa.schema([("doc_ids", pa.list_(pa.int64())), ("training", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("shares", pa.list_(pa.float64())), ("kinds", pa.binary())])
     below = math.log10(vocab.tokens + vocab.distinct + 1)
     end_base = math.log10(vocab.ends + 1) - below
@@ -174,13 +186,13 @@ def sequences(chunks: DataFrame, replies: DataFrame, vocab: Vocabulary) -> DataF
             for i in range(batch.num_rows):
                 ids, extra, sizes, codes, order, answers = (batch.column(k)[i].as_py() for k in range(6))
                 codes, places = word_chunks.unpack_codes(codes), np.frombuffer(order, "<u4")
-                kinds, counts = np.zeros(len(places), np.uint8), np.zeros(len(places), np.int64)
+                kinds, counts = np.zeros(len(places), "<u2"), np.zeros(len(places), np.int64)
                 at = 0
                 for a in sorted(answers or [], key=lambda a: a["part"]):
                     data = word_chunks.stretch(a["data"])
-                    n = len(data) // 9
-                    kinds[places[at : at + n]] = np.frombuffer(data, np.uint8, n)
-                    counts[places[at : at + n]] = np.frombuffer(data, "<i8", n, n)
+                    n = len(data) // 10
+                    kinds[places[at : at + n]] = np.frombuffer(data, "<u2", n)
+                    counts[places[at : at + n]] = np.frombuffer(data, "<i8", n, 2 * n)
                     at += n
                 share, base = vocab.share(kinds, counts), np.log10(counts + 1.0) - below
                 ends = np.cumsum(sizes)
@@ -194,14 +206,23 @@ def sequences(chunks: DataFrame, replies: DataFrame, vocab: Vocabulary) -> DataF
 
 
 class Gru:
-    """inputs: CLASSES + 1 symbols (the last stands before a text); state: HIDDEN; output: CLASSES."""
+    """Inputs: BEFORE + 1 symbols; state: HIDDEN; outputs: CLASSES, and MEMBERS words in each class of frequent words."""
 
-    NAMES = ("e", "u", "w", "b")
+    NAMES = ("e", "u", "w", "b", "v", "c")
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         near = lambda *shape: (rng.normal(size=shape) * 0.2).astype(np.float32)
-        self.e, self.u, self.w, self.b = near(CLASSES + 1, 3 * HIDDEN), near(HIDDEN, 3 * HIDDEN), near(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32)
+        self.e, self.u, self.w, self.b = near(BEFORE + 1, 3 * HIDDEN), near(HIDDEN, 3 * HIDDEN), near(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32)
+        self.v, self.c = near(FREQUENT, MEMBERS, HIDDEN), np.zeros((FREQUENT, MEMBERS), np.float32)
+
+    def start_from(self, mass: np.ndarray) -> Gru:
+        """Biases from counts; places of words that don't exist get next to nothing."""
+        total = np.bincount(CLASS_OF, mass, CLASSES)
+        self.b = np.log((total + 1) / (total + 1).sum()).astype(np.float32)
+        words = mass[CLASSES:].reshape(FREQUENT, MEMBERS)
+        self.c = np.where(words > 0, np.log(np.maximum(words, 1) / np.maximum(words.sum(axis=1, keepdims=True), 1)), np.where(words.sum(axis=1, keepdims=True) > 0, -40.0, 0.0)).astype(np.float32)
+        return self
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -238,26 +259,56 @@ class Gru:
         p /= p.sum(axis=1, keepdims=True)
         return p
 
-    def log_targets(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log P(target class | state)."""
+    def _by_class(self, h: np.ndarray, symbols: np.ndarray):
+        """For each class of frequent words that the symbols hold: class, places, their members, exp of the logits over the row's largest, what was taken off."""
+        at = np.flatnonzero(symbols >= CLASSES)
+        rank = symbols[at] - CLASSES
+        order = np.argsort(rank // MEMBERS, kind="stable")
+        at, rank = at[order], rank[order]
+        cuts = np.searchsorted(rank // MEMBERS, np.arange(FREQUENT + 1)).tolist()
+        for k in range(FREQUENT):
+            if cuts[k] < cuts[k + 1]:
+                here = at[cuts[k] : cuts[k + 1]]
+                logits = h[here] @ self.v[k].T
+                logits += self.c[k]
+                most = logits.max(axis=1, keepdims=True)
+                logits -= most
+                yield k, here, rank[cuts[k] : cuts[k + 1]] % MEMBERS, np.exp(logits, out=logits), most[:, 0]
+
+    def log_targets(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """log P(class | state), and for frequent words + log P(word | class, state)."""
+        targets = CLASS_OF[symbols]
         e, most = self._exp(h)
-        own = np.einsum("ij,ij->i", h, self.w.T[targets]) + self.b[targets]
-        return own - most - np.log(e.sum(axis=1))
+        out = np.einsum("ij,ij->i", h, self.w.T[targets]) + self.b[targets] - most - np.log(e.sum(axis=1))
+        for k, here, member, e, most in self._by_class(h, symbols):
+            out[here] += np.einsum("ij,ij->i", h[here], self.v[k][member]) + self.c[k][member] - most - np.log(e.sum(axis=1))
+        return out
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray):
-        """Gradients over a window [time, rows] and the state after it."""
+        """Gradients over a window [time, lanes] and the state after it. The state is zero wherever a text begins."""
         steps, kept, start, full = len(inputs), [], h, bool(live.all())
+        begins = inputs == BEFORE
+        some = begins.any(axis=1)
+        states = np.empty((steps, len(h), HIDDEN), np.float32)
         for t in range(steps):
+            if some[t]:
+                h = np.where(begins[t][:, None], np.float32(0), h)
             after, *gates = self.step(inputs[t], h)
             kept.append((h, *gates))
-            h = after if full else np.where(live[t][:, None], after, h)
-        states = np.stack([k[0] for k in kept[1:]] + [h]).reshape(-1, HIDDEN)
+            h = states[t] = after if full else np.where(live[t][:, None], after, h)
+        states, symbols = states.reshape(-1, HIDDEN), np.where(live, targets, END).ravel()
         p = self.classes(states)
-        p[np.arange(len(p)), targets.ravel()] -= 1
+        p[np.arange(len(p)), CLASS_OF[symbols]] -= 1
         if not full:
             p *= live.reshape(-1, 1)
-        grads = {"w": states.T @ p, "b": p.sum(axis=0), "e": np.zeros_like(self.e), "u": np.zeros_like(self.u)}
-        back = (p @ self.w.T).reshape(steps, -1, HIDDEN)
+        grads = {"w": states.T @ p, "b": p.sum(axis=0), "e": np.zeros_like(self.e), "u": np.zeros_like(self.u), "v": np.zeros_like(self.v), "c": np.zeros_like(self.c)}
+        back = p @ self.w.T
+        for k, here, member, q, _ in self._by_class(states, symbols):
+            q /= q.sum(axis=1, keepdims=True)
+            q[np.arange(len(q)), member] -= 1
+            grads["v"][k], grads["c"][k] = q.T @ states[here], q.sum(axis=0)
+            back[here] += q @ self.v[k]
+        back = back.reshape(steps, -1, HIDDEN)
         carry = np.zeros_like(start)
         slopes = np.empty((steps, len(start), 3 * HIDDEN), np.float32)
         for t in reversed(range(steps)):
@@ -278,6 +329,8 @@ class Gru:
             carry = d * z + hidden @ self.u.T
             if not full:
                 carry = np.where(on, carry, d)
+            if some[t]:
+                carry = np.where(begins[t][:, None], np.float32(0), carry)
         flat, symbols = slopes.reshape(-1, 3 * HIDDEN), inputs.ravel()
         order = np.argsort(symbols, kind="stable")
         cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
@@ -285,64 +338,124 @@ class Gru:
         return grads, h
 
 
-def _training_rows(kinds: np.ndarray, sizes: list[int], training: list[int], longest: int, pick) -> list[np.ndarray]:
-    """Class sequences of the training documents, the long ones in pieces; each begins with the symbol before it."""
-    out, at = [], 0
-    for i, (n, on) in enumerate(zip(sizes, training, strict=True)):
-        if on > 0 and pick(i):
-            whole = np.concatenate([[CLASSES], kinds[at : at + n]]).astype(np.int64)
-            out += [whole[a : a + longest + 1] for a in range(0, n, longest)]
-        at += n
-    return out
+def training_rows(data: DataFrame) -> DataFrame:
+    """One row for each training document: sixteenth, key (hash of id and symbols), doc_id, tokens, symbols."""
+    arrow = pa.schema([("sixteenth", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("symbols", pa.binary())])
 
+    def run(batches):
+        import xxhash
 
-def train_pass(net: Gru, rows: list[np.ndarray], state: dict, rate: float, width: int = 320) -> int:
-    """One pass over the rows by Adam, rows of similar length together, the groups in pseudo-random order;
-    returns the number of tokens."""
-    done, rows = 0, sorted(rows, key=len, reverse=True)
-    starts = range(0, len(rows), width)
-    for i in np.random.default_rng(len(rows)).permutation(starts).tolist():
-        group = rows[i : i + width]
-        longest = len(group[0]) - 1
-        grid = np.zeros((longest + 1, len(group)), np.int64)
-        size = np.array([len(g) - 1 for g in group])
-        for k, g in enumerate(group):
-            grid[: len(g), k] = g
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        for t in range(0, longest, WINDOW):
-            many = int((size > t).sum())
-            h = h[:many]
-            stop = min(t + WINDOW, longest)
-            live = np.arange(t, stop)[:, None] < size[:many]
-            grads, h = net.window(grid[t:stop, :many], grid[t + 1 : stop + 1, :many], live, h)
-            tokens = int(live.sum())
-            done += tokens
-            state["t"] += 1
-            fix = math.sqrt(1 - 0.999 ** state["t"]) / (1 - 0.9 ** state["t"])
-            for name, g in grads.items():
-                g = g / np.float32(max(tokens, 1))
-                m, v = state.setdefault(name, [np.zeros_like(g), np.zeros_like(g)])
-                m *= np.float32(0.9)
-                m += np.float32(0.1) * g
-                v *= np.float32(0.999)
-                v += np.float32(0.001) * g * g
-                setattr(net, name, getattr(net, name) - np.float32(rate * fix) * m / (np.sqrt(v) + np.float32(1e-8)))
-    return done
-
-
-def train_round(data: DataFrame, start: np.ndarray, rate: float, every: int) -> np.ndarray:
-    """Every task trains on its documents from the same weights; the mean of all, weighted by tokens."""
-    shared = data.sparkSession.sparkContext.broadcast(start)
+        for batch in batches:
+            for ids, training, sizes, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out, at = [], 0
+                for doc, on, n in zip(ids, training, sizes, strict=True):
+                    if on > 0:
+                        mine = kinds[2 * at : 2 * (at + n)]
+                        key = xxhash.xxh3_64_intdigest(str(doc).encode() + b"\0" + mine)
+                        out.append({"sixteenth": key >> 60, "key": key - (1 << 63), "doc_id": doc, "tokens": n, "symbols": mine})
+                    at += n
+                yield pa.RecordBatch.from_pylist(out, arrow)
+
+    made = data.select("doc_ids", "training", "sizes", "kinds").mapInArrow(run, "sixteenth int, key long, doc_id long, tokens long, symbols binary")
+    return workspace.staged(made, "lm-training", by="sixteenth")
+
+
+def in_lanes(docs: list[np.ndarray], lanes: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets [time, lane] and the lanes' lengths, longest first. Documents go whole, the longest
+    first, each to the emptiest lane; within a lane their order is pseudo-random."""
+    filled = [(0, k) for k in range(lanes)]
+    mine: list[list[int]] = [[] for _ in range(lanes)]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        n, k = filled[0]
+        mine[k].append(i)
+        heapq.heapreplace(filled, (n + len(docs[i]), k))
+    rng = np.random.default_rng(seed)
+    order = [rng.permutation(m) for m in mine]
+    sizes = np.array([sum(len(docs[i]) for i in m) for m in mine])
+    by_size = np.argsort(-sizes, kind="stable")
+    inputs, targets = (np.full((int(sizes.max(initial=0)), lanes), END, np.int64) for _ in range(2))
+    for column, k in enumerate(by_size.tolist()):
+        at = 0
+        for i in order[k].tolist():
+            d = docs[i]
+            targets[at : at + len(d), column] = d
+            inputs[at, column] = BEFORE
+            inputs[at + 1 : at + len(d), column] = d[:-1]
+            at += len(d)
+    return inputs, targets, sizes[by_size]
+
+
+def train_shard(net: Gru, docs: list[np.ndarray], rate: float) -> int:
+    """One pass over the documents by Adam, a step for each window of all lanes, or for several where few
+    lanes are left; returns the number of tokens."""
+    total = sum(map(len, docs))
+    lanes = min(LANES, max(8, total >> 13), max(len(docs), 1))
+    inputs, targets, sizes = in_lanes(docs, lanes, total)
+    state: dict = {}
+    held: dict | None = None
+    steps = waiting = 0
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    for t in range(0, len(inputs), WINDOW):
+        many, stop = int((sizes > t).sum()), min(t + WINDOW, len(inputs))
+        live = np.arange(t, stop)[:, None] < sizes[:many]
+        grads, h = net.window(inputs[t:stop, :many], targets[t:stop, :many], live, h[:many])
+        waiting += int(live.sum())
+        held = grads if held is None else {k: held[k] + g for k, g in grads.items()}
+        if waiting * 4 < lanes * WINDOW and stop < len(inputs):
+            continue
+        steps += 1
+        fix = math.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
+        for name, g in held.items():
+            g *= np.float32(1 / max(waiting, 1))
+            m, v = state.setdefault(name, [np.zeros_like(g), np.zeros_like(g)])
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.999)
+            g *= g
+            v += np.float32(0.001) * g
+            setattr(net, name, getattr(net, name) - np.float32(rate * fix) * m / (np.sqrt(v) + np.float32(1e-8)))
+        held, waiting = None, 0
+    return total
+
+
+def train_round(rows: DataFrame, start: np.ndarray, rate: float, shard_tokens: int = SHARD_TOKENS) -> np.ndarray:
+    """Each shard of the rows is trained from the same weights; the mean of all, weighted by tokens.
+
+    Shards hold about shard_tokens; a shard that rows of equal id and text make larger is trained in parts,
+    one after another. A task adds up its shards' weights, and a second level adds up the tasks'.
+    """
+    spark = rows.sparkSession
+    tokens = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if not tokens:
+        return start
+    shards = -(-tokens // shard_tokens)
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast(start)
 
     def run(batches):
-        net, state, done = Gru().load(shared.value), {"t": 0}, 0
+        total, done = np.zeros(len(start)), 0
+        now, net, docs, held, mine = None, None, [], 0, 0
+
+        def close():
+            nonlocal total, done, mine
+            mine += train_shard(net, docs, rate)
+            total += net.flat().astype(np.float64) * mine
+            done += mine
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                training, sizes, kinds = (batch.column(k)[i].as_py() for k in range(3))
-                rows = _training_rows(np.frombuffer(kinds, np.uint8), sizes, training, 256, lambda k: k % every == 0)
-                done += train_pass(net, rows, state, rate)
-        if done:
-            yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "tokens": done, "weights": (net.flat().astype(np.float64) * done).tobytes()}])
+            for shard, symbols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    if now is not None:
+                        close()
+                    now, net, docs, held, mine = shard, Gru().load(shared.value), [], 0, 0
+                docs.append(np.frombuffer(symbols, "<u2"))
+                held += len(docs[-1])
+                if held >= 2 * shard_tokens:
+                    mine += train_shard(net, docs, rate)
+                    docs, held = [], 0
+        if now is not None:
+            close()
+            yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "tokens": done, "weights": total.tobytes()}])
 
     def add(batches):
         total, tokens = None, 0
@@ -353,16 +466,16 @@ def train_round(data: DataFrame, start: np.ndarray, rate: float, every: int) ->
         if tokens:
             yield pa.RecordBatch.from_pylist([{"tokens": tokens, "weights": total.tobytes()}])
 
-    made = data.select("training", "sizes", "kinds").mapInArrow(run, "task long, tokens long, weights binary")
+    dealt = rows.select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "doc_id", "symbols")
+    dealt = dealt.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "key", "doc_id", "symbols")
+    made = dealt.select("shard", "symbols").mapInArrow(run, "task long, tokens long, weights binary")
     # a tree of two levels: about as many sums reach the driver as the root of the number of tasks
-    groups = max(1, math.isqrt(data.rdd.getNumPartitions()))
-    sums = made.repartition(groups, "task").select("tokens", "weights").mapInArrow(add, "tokens long, weights binary").collect()
-    tokens = sum(r["tokens"] for r in sums)
-    return sum(np.frombuffer(r["weights"], np.float64) for r in sums) / tokens if tokens else start
+    sums = made.repartition(max(1, math.isqrt(parts)), "task").sortWithinPartitions("task").select("tokens", "weights").mapInArrow(add, "tokens long, weights binary").collect()
+    return sum(np.frombuffer(r["weights"], np.float64) for r in sums) / sum(r["tokens"] for r in sums)
 
 
 def document_scores(net: Gru, kinds: np.ndarray, sizes: list[int], width: int = 384) -> np.ndarray:
-    """Natural-log P(classes) of each document, the state carried from its first token to its end."""
+    """Natural-log P of each document's symbols, the state carried from its first token to its end."""
     sizes = np.asarray(sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out, order = np.zeros(len(sizes)), np.argsort(-sizes, kind="stable")
@@ -370,7 +483,7 @@ def document_scores(net: Gru, kinds: np.ndarray, sizes: list[int], width: int =
         group = order[i : i + width]
         size, longest = sizes[group], int(sizes[group[0]])
         h = np.zeros((len(group), HIDDEN), np.float32)
-        before = np.full(len(group), CLASSES)
+        before = np.full(len(group), BEFORE)
         for t in range(0, longest, WINDOW):
             states, targets, who = [], [], []
             for s in range(t, min(t + WINDOW, longest)):
@@ -399,7 +512,7 @@ def scored(data: DataFrame, weights: np.ndarray, vocab: Vocabulary) -> DataFrame
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, training, sizes, known, base, shares, kinds = (batch.column(k)[i].as_py() for k in range(7))
-                total = document_scores(net, np.frombuffer(kinds, np.uint8), sizes) / math.log(10) + np.array(shares)
+                total = document_scores(net, np.frombuffer(kinds, "<u2"), sizes) / math.log(10) + np.array(shares)
                 yield pa.RecordBatch.from_pydict({"doc_id": ids, "held_out": [x <= 0 for x in training], "n_tokens": sizes, "n_known": known, "train_tokens": [tokens] * len(ids), "base_score": base, "score": total.tolist()}, arrow)
 
     return data.mapInArrow(run, SCORES)
@@ -409,14 +522,16 @@ def score_documents(docs: DataFrame, held_out=is_held_out, id_col: str = "doc_id
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text counts as empty: one token, its end. A row with a null doc_id is a training row. Without
-    training rows every probability is that of the unseen symbol and of the untrained net. Repeated rows count each.
+    training rows every probability is that of the unseen symbol and of the untrained net. Repeated rows count
+    each. Scores don't depend on how docs is partitioned, but for rounding.
     """
     chunks = word_chunks.chunked(docs, words, extra=F.when(held_out(F.col(id_col)), 0).otherwise(1), id_col=id_col, text_col=text_col)
     training = chunks.select(F.coalesce(F.sum(F.size(F.filter("extra", lambda x: x > 0))), F.lit(0))).first()[0]
     table = word_table(chunks)
     vocab = vocabulary(table, training)
-    vocab.mass = _class_mass(table, vocab)
+    vocab.mass = _symbol_mass(table, vocab)
     data = sequences(chunks, _classed(chunks, table, vocab), vocab)
-    weights = train_round(data, Gru().flat().astype(np.float64), 0.01, WARM_UP)
-    weights = train_round(data, weights, 0.004, 1)
+    rows, weights = training_rows(data), Gru().start_from(vocab.mass).flat().astype(np.float64)
+    for sixteenths, rate in ROUNDS:
+        weights = train_round(rows.where(F.col("sixteenth").isin(list(sixteenths))), weights, rate)
     return scored(data, weights, vocab)

@@ -32,11 +32,13 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back with its own schema."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, in a folder for each value of `by` if given, and read it back
+    with its own schema."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

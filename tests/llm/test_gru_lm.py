@@ -40,21 +40,31 @@ def test_no_training_rows(spark):
     assert all(r["score"] <= 0 for r in got.collect())
 
 
+def grid():
+    """Symbols of all kinds; a text begins within the window."""
+    rng = np.random.default_rng(0)
+    inputs = rng.choice([0, 1, 3, 40, 127, 128, 129, 160, 500, 1151], (6, 4))
+    targets = rng.choice([0, 1, 3, 40, 127, 128, 129, 131, 160, 500, 1151], (6, 4))
+    inputs[0, :2] = inputs[3, 1] = inputs[2, 2] = gru_lm.BEFORE
+    return inputs, targets, np.arange(6)[:, None] < np.array([6, 6, 4, 2]), rng.normal(size=(4, gru_lm.HIDDEN)).astype(np.float32)
+
+
 def test_gradient():
-    rng, net = np.random.default_rng(0), gru_lm.Gru(3)
-    inputs, targets = rng.integers(0, 5, (6, 4)), rng.integers(0, 5, (6, 4))
-    live = np.arange(6)[:, None] < np.array([6, 6, 4, 2])
-    h = rng.normal(size=(4, gru_lm.HIDDEN)).astype(np.float32)
+    net = gru_lm.Gru(3)
+    inputs, targets, live, h = grid()
 
     def loss():
         total, state = 0.0, h
         for t in range(6):
+            state = np.where((inputs[t] == gru_lm.BEFORE)[:, None], 0, state)
             state = np.where(live[t][:, None], net.step(inputs[t], state)[0], state)
             total -= float((net.log_targets(state, targets[t]) * live[t]).sum())
         return total
 
     grads, _ = net.window(inputs, targets, live, h)
-    for name, at in (("w", (3, 2)), ("b", (1,)), ("u", (2, 5)), ("u", (3, 20)), ("u", (1, 40)), ("e", (2, 7)), ("e", (1, 20)), ("e", (3, 40))):
+    used = [int(x) for x in np.unique(inputs)][:6]
+    places = [("w", (3, 2)), ("b", (1,)), ("u", (2, 5)), ("u", (3, 20)), ("u", (1, 40)), *(("e", (x, 7)) for x in used), *(("e", (x, 40)) for x in used), ("v", (0, 1, 3)), ("v", (1, 0, 5)), ("c", (0, 1)), ("c", (31, 31))]
+    for name, at in places:
         value, old = getattr(net, name), getattr(net, name)[at]
         value[at] = old + 0.01
         up = loss()
@@ -64,31 +74,77 @@ def test_gradient():
         assert grads[name][at] == pytest.approx((up - down) / 0.02, rel=0.03, abs=0.01), (name, at)
 
 
-def test_scores_carry_the_state():
+def probabilities(net, state):
+    """P of every symbol that can be a target, by plain softmaxes."""
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    p = soft(state.astype(float) @ net.w + net.b)
+    out = np.zeros(gru_lm.BEFORE)
+    out[: gru_lm.CLASSES] = p
+    for k in range(gru_lm.FREQUENT):
+        out[gru_lm.FIRST_FREQUENT + k] = 0
+        out[gru_lm.CLASSES + k * gru_lm.MEMBERS : gru_lm.CLASSES + (k + 1) * gru_lm.MEMBERS] = p[gru_lm.FIRST_FREQUENT + k] * soft(net.v[k].astype(float) @ state + net.c[k])
+    return out
+
+
+def test_scores_carry_the_state_and_sum_to_one():
     net, rng = gru_lm.Gru(4), np.random.default_rng(1)
     sizes = [40, 1, 17, 16, 3]
-    kinds = rng.integers(0, gru_lm.CLASSES, sum(sizes)).astype(np.uint8)
+    kinds = rng.choice([0, 1, 50, 127, *range(128, 1152)], sum(sizes)).astype("<u2")
     got, at = gru_lm.document_scores(net, kinds, sizes, width=3), 0
     for n, value in zip(sizes, got):
-        h, before, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.CLASSES, 0.0
+        h, before, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.BEFORE, 0.0
         for k in kinds[at : at + n].tolist():
             h = net.step(np.array([before]), h)[0]
-            total, before = total + float(np.log(net.classes(h)[0, k])), k
+            p = probabilities(net, h[0])
+            assert p.sum() == pytest.approx(1.0)
+            total, before = total + math.log(p[k]), k
         at += n
         assert value == pytest.approx(total, rel=1e-4)
 
 
+def test_training_carries_the_state_through_long_documents():
+    """Windows over lanes of several documents give the gradients of whole documents from a zero state."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(128, 400, n).astype("<u2") for n in (50, 7, 1, 33, 20)]
+    inputs, targets, sizes = gru_lm.in_lanes(docs, 2, 0)
+    assert sizes.sum() == 111 and (inputs == gru_lm.BEFORE).sum() == 5
+    net, h, seen = gru_lm.Gru(2), np.zeros((2, gru_lm.HIDDEN), np.float32), []
+    for t in range(0, len(inputs), gru_lm.WINDOW):
+        stop = min(t + gru_lm.WINDOW, len(inputs))
+        live = np.arange(t, stop)[:, None] < sizes
+        for s in range(t, stop):
+            h = np.where((inputs[s] == gru_lm.BEFORE)[:, None], 0, h)
+            h = net.step(inputs[s], h)[0]
+            seen += [float(x) for x in net.log_targets(h, targets[s])[live[s - t]]]
+    whole = gru_lm.document_scores(net, np.concatenate(docs), [len(d) for d in docs])
+    assert sum(seen) == pytest.approx(whole.sum(), rel=1e-4)
+
+
 def test_shares_sum_to_one():
     counts = {b"aa": 5, b"ab": 3, b"ba": 2, b"c": 1, b"d": 1, b"the": 9}
-    vocab = gru_lm.Vocabulary(21, 7, 1, 2, 0.4, {b"the": 2}, {b"aa": 60, b"ab": 60}, np.zeros(gru_lm.CLASSES))
+    vocab = gru_lm.Vocabulary(21, 7, 1, 2, 0.4, {b"the": 128}, {b"aa": 60, b"ab": 60}, np.zeros(gru_lm.BEFORE))
     for w, c in counts.items():
-        vocab.mass[vocab.class_of(w, c)] += c
-    kinds = np.array([vocab.class_of(w, c) for w, c in counts.items()] + [gru_lm.RARE])
+        vocab.mass[vocab.symbol_of(w, c)] += c
+    kinds = np.array([vocab.symbol_of(w, c) for w, c in counts.items()] + [gru_lm.RARE])
     share = 10 ** vocab.share(kinds, np.array([*counts.values(), 0]))
     for k in set(kinds.tolist()):
         assert share[kinds == k].sum() == pytest.approx(1.0)
 
 
+def test_partitions_do_not_change_scores(spark, monkeypatch):
+    """End to end: whole tables in one, three or seven partitions, several shards a round."""
+    monkeypatch.setattr(gru_lm.train_round, "__defaults__", (5_000,))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).select("doc_id", "text").toPandas()
+    docs = spark.createDataFrame(docs)
+    runs = []
+    for n in (1, 3, 7):
+        rows = gru_lm.score_documents(docs.repartition(n)).collect()
+        runs.append({r["doc_id"]: (r["score"], r["n_tokens"]) for r in rows})
+    for other in runs[1:]:
+        assert other.keys() == runs[0].keys()
+        assert max(abs(other[d][0] - s) / n for d, (s, n) in runs[0].items()) < 1e-3
+
+
 def test_learns(spark):
     """Held-out texts are likelier than under the unigram model, and a net that has learnt beats one that hasn't."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
