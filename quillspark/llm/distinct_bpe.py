@@ -1,19 +1,21 @@
 """Byte-level BPE by a shuffle of distinct words: pre-tokens keep their positions as codes of a chunk's word
 list, each distinct word is encoded once where its entries meet, ids go back to the chunks and the texts are
-reassembled by position. Decoding joins ids with the token-byte table, of as many rows as the vocabulary has.
+reassembled by position. Decoding explodes ids in order, joins them with the token-byte table, which has as
+many rows as the vocabulary and is broadcast, and strings the bytes together again in the same task.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, word_chunks
+from . import byte_bpe, word_chunks, workspace
 
 #: Fixed value: the pattern that byte_bpe.SPLIT spells out.
 SPELLED_OUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -59,8 +61,9 @@ def _encoder(path: str, pattern: str):
     return _encoders[path]
 
 
+@lru_cache
 def _width(path: str) -> str:
-    return "<u2" if len(token_bytes(path)) <= 1 << 16 else "<u4"
+    return "<u2" if max(ranks(path).values(), default=0) < 1 << 16 else "<u4"
 
 
 def _encode_words(path: str, pattern: str):
@@ -72,22 +75,94 @@ def _encode_words(path: str, pattern: str):
     return ask
 
 
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """The token-byte table: id, token (binary). As many rows as the vocabulary has."""
+    return spark.createDataFrame([(i, bytearray(t)) for t, i in ranks(path).items()], "id int, token binary")
+
+
+def _spelled(pieces: DataFrame, key: str, spark: SparkSession, path: str, out: str, close) -> DataFrame:
+    """pieces: key columns (longs and ints), code = 2 * id + 1 where a unit ends, in order within a partition; each
+    piece gets its token by a broadcast join, which keeps the order. close(key, ids, unit lengths in ids, unit
+    lengths in bytes, bytes) makes the row of the pieces of one key; a null code is a key without ids."""
+    keys = [k.split()[0] for k in key.split(", ")]
+    found = pieces.join(F.broadcast(token_table(spark, path)), F.shiftright("code", 1) == F.col("id"), "left")
+    arrow = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]) for name, kind in map(str.split, out.split(", "))])
+    found = found.select(*keys, "code", F.when(F.col("token").isNotNull() | F.col("code").isNull(), F.col("token")).otherwise(F.raise_error(F.lit("an id without a token"))).alias("token"))
+
+    def run(batches):
+        now, codes, sizes, data = None, [], [], []
+
+        def row():
+            code = np.concatenate(codes)
+            last = np.flatnonzero(code & 1)
+            size = np.concatenate(sizes)
+            ends = np.cumsum(size)[last] if len(size) else last
+            return close(now, code >> 1, np.diff(last, prepend=-1), np.diff(ends, prepend=0), b"".join(data))
+
+        for batch in batches:
+            made, columns = [], [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))]
+            cuts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1).tolist(), batch.num_rows]
+            code, token = batch.column(len(keys)), batch.column(len(keys) + 1)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                this = tuple(int(c[a]) for c in columns)
+                if this != now:
+                    if now is not None:
+                        made.append(row())
+                    now, codes, sizes, data = this, [], [], []
+                mine, bytes_of = code.slice(a, b - a).drop_null().to_numpy(), token.slice(a, b - a).drop_null()
+                codes.append(mine)
+                ends = np.frombuffer(bytes_of.buffers()[1], "<i4", len(bytes_of) + 1, 4 * bytes_of.offset) if len(bytes_of) else np.zeros(1, "<i4")
+                sizes.append(np.diff(ends))
+                if len(bytes_of):
+                    data.append(bytes_of.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes())
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(), arrow, strict=True)], schema=arrow)
+
+    return found.mapInArrow(run, out)
+
+
+def _unpack_spelled(data: bytes) -> list[tuple[bytes, bytes]]:
+    """(ids as bytes, decoded bytes) of each word of a part."""
+    data = word_chunks.stretch(data)
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    ids, size = (np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 5 + 4 * n * k), dtype=np.int64)]) for k in range(2))
+    at = 5 + 8 * n
+    ids = (at + width * ids).tolist()
+    size = (ids[-1] + size).tolist()
+    return [(data[a:b], data[c:d]) for a, b, c, d in zip(ids, ids[1:], size, size[1:], strict=False)]
+
+
 def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (bytes decoded from the ids).
 
-    Null text counts as empty: 0 tokens, digests of nothing. Repeated rows are encoded each.
+    Null text counts as empty: 0 tokens, digests of nothing. Repeated rows are encoded each. Ids are decoded
+    by the join with the token-byte table, each chunk's distinct words once.
     """
     chunks = word_chunks.chunked(docs, PreTokens(pattern), id_col=id_col, text_col=text_col)
-    replies = word_chunks.answered(chunks, _encode_words(path, pattern))
+
+    def ask(words: list[bytes]) -> list[list[int]]:
+        one = _encoder(path, pattern)._encode_single_piece
+        return [[2 * i for i in ids[:-1]] + [2 * ids[-1] + 1] for ids in map(one, words)]
+
+    def close(key, ids, many, size, data):
+        head = len(many).to_bytes(4, "little") + bytes([int(_width(path)[2])])
+        return *key, word_chunks.squeeze(head + many.astype("<u4").tobytes() + size.astype("<u4").tobytes() + ids.astype(_width(path)).tobytes() + data)
+
+    ids = word_chunks.asked(chunks, ask, "codes", pa.list_(pa.int32()), lambda found: [i for w in found for i in w])
+    pieces = ids.select("chunk", "part", F.explode("codes").alias("code"))
+    replies = word_chunks.gathered(_spelled(pieces, "chunk long, part int", docs.sparkSession, path, "chunk long, part int, data binary", close))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def build(ids, _, sizes, codes, answers):
-        table = token_bytes(path)
         kind = _width(path)
-        tokens = [np.frombuffer(a, kind).tolist() for a in answers]
+        tokens = [np.frombuffer(a, kind).tolist() for a, _ in answers]
         text = [",".join(map(str, t)) for t in tokens]
-        spelled = [b"".join([table[i] for i in t]) for t in tokens]
+        spelled = [s for _, s in answers]
         many = np.fromiter(map(len, tokens), np.int64, len(tokens))
         at = 0
         rows = {name: [] for name in arrow.names}
@@ -101,7 +176,7 @@ def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc
             rows["decoded_sha256"].append(hashlib.sha256(b"".join([spelled[i] for i in where])).hexdigest())
         yield rows
 
-    return word_chunks.reassembled(chunks, replies, build, schema, arrow)
+    return word_chunks.reassembled(chunks, replies, build, schema, arrow, _unpack_spelled)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,32 +194,16 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return word_chunks.reassembled(chunks, replies, build, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
-_tables: dict[str, list[bytes]] = {}
-
-
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table by id."""
-    if path not in _tables:
-        own = ranks(path)
-        table = [b""] * (max(own.values()) + 1)
-        for token, rank in own.items():
-            table[rank] = token
-        _tables[path] = table
-    return _tables[path]
-
-
 def decoded(encoded_docs: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: doc_id, data (binary). Joins with the token-byte table held by each worker; ids outside of it are an error."""
+    """Per row: doc_id, data (binary): the tokens of its ids, by a join with the token-byte table.
 
-    def run(batches):
-        table = token_bytes(path)
-        for batch in batches:
-            data = [None if ids is None else b"".join([table[i] for i in ids]) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
-
-    return encoded_docs.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, data binary")
-
-
-def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """The token-byte table as a DataFrame: id, token (binary)."""
-    return spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(token_bytes(path))], "id int, token binary")
+    Null or empty ids give no bytes; an id outside of the table is an error; rows that repeat a doc_id are decoded each.
+    """
+    kind = dict(encoded_docs.dtypes)[id_col]
+    # a row number holds for its own task, in which the join and the stringing together stay; the last piece of a row is marked
+    rows = encoded_docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    rows = workspace.staged(rows, "to-decode")
+    coded = F.transform("ids", lambda x, i: F.when(i == F.size("ids") - 1, 2 * x + 1).otherwise(2 * x).cast("int"))
+    pieces = rows.select("row", F.explode_outer(coded).alias("code"))
+    made = _spelled(pieces, "row long", encoded_docs.sparkSession, path, "row long, data binary", lambda key, ids, many, size, data: (*key, data))
+    return rows.select("row", F.col("doc_id").cast(kind).alias("doc_id")).join(made, "row").select("doc_id", "data")

@@ -106,7 +106,7 @@ def chunked(docs: DataFrame, split: Callable[[bytes], Iterable], extra=None, id_
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * n
+    parts = n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = TaskContext.get().partitionId() << 24, 0
@@ -132,7 +132,10 @@ def chunked(docs: DataFrame, split: Callable[[bytes], Iterable], extra=None, id_
     name = f"quillspark_chunks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(run, CHUNKS)
     made.write.format("parquet").option("compression", "zstd").option("path", workspace.stage_path(spark, "chunks")).bucketBy(n, "chunk").saveAsTable(name)
-    return spark.table(name)
+    chunks = spark.table(name)
+    # buckets need a table to be written; once resolved, the rows are read by their files alone
+    spark.sql(f"DROP TABLE {name}")
+    return chunks
 
 
 def word_parts(chunks: DataFrame) -> DataFrame:
@@ -141,9 +144,9 @@ def word_parts(chunks: DataFrame) -> DataFrame:
 
 
 def met(chunks: DataFrame, *columns: str) -> DataFrame:
-    """The word parts, rows of equal part in one partition."""
+    """The word parts, rows of equal part one after another in one partition."""
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return word_parts(chunks).select("chunk", "part", *columns).repartition(n, "part")
+    return word_parts(chunks).select("chunk", "part", *columns).repartition(n, "part").sortWithinPartitions("part")
 
 
 def gathered(replies: DataFrame) -> DataFrame:
@@ -151,49 +154,54 @@ def gathered(replies: DataFrame) -> DataFrame:
     return replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
 
 
-def answered(chunks: DataFrame, ask: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """chunk and answers that hold ask(words) for every word of the chunk.
+def asked(chunks: DataFrame, ask: Callable[[list[bytes]], list], column: str, kind: pa.DataType, pack: Callable[[list], object]) -> DataFrame:
+    """chunk, part and pack(answers of the part's words), in the order of parts.
 
-    ask runs in the task where all entries of its words meet, and is given each distinct word once, as
-    long as the words of the task's parts fit the bound of its table.
+    ask runs in the task where all entries of its words meet, and is given each distinct word once: the
+    answers of one part are held at a time.
     """
 
     def run(batches):
-        known: dict[bytes, bytes] = {}
+        known: dict = {}
+        now = None
         for batch in batches:
             out = []
-            for data in batch.column(2).to_pylist():
+            for part, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part != now:
+                    now, known = part, {}
                 words = split_words(data)
-                new = [w for w in words if w not in known]
-                if new:
-                    if len(known) > 400_000:
-                        known.clear()
-                        new = words
+                if new := [w for w in words if w not in known]:
                     known.update(zip(new, ask(new), strict=True))
-                out.append(join_words([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "part", "data"])
+                out.append(pack([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["chunk", "part", column])
+
+    sql = {pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}[kind]
+    return met(chunks, "words").mapInArrow(run, f"chunk long, part int, {column} {sql}")
 
-    return gathered(met(chunks, "words").mapInArrow(run, "chunk long, part int, data binary"))
+
+def answered(chunks: DataFrame, ask: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """chunk and answers that hold ask(words) for every word of the chunk."""
+    return gathered(asked(chunks, ask, "data", pa.binary(), join_words))
 
 
-def answers_in_place(order: bytes, answers: list[dict]) -> list[bytes]:
+def answers_in_place(order: bytes, answers: list[dict], unpack: Callable[[bytes], list] = split_words) -> list:
     """The answers of a chunk's words, by code."""
     places = np.frombuffer(order, "<u4").tolist()
-    out = [b""] * len(places)
-    flat = (w for a in sorted(answers, key=lambda a: a["part"]) for w in split_words(a["data"]))
+    out: list = [b""] * len(places)
+    flat = (w for a in sorted(answers, key=lambda a: a["part"]) for w in unpack(a["data"]))
     for place, word in zip(places, flat, strict=True):
         out[place] = word
     return out
 
 
-def reassembled(chunks: DataFrame, replies: DataFrame, build: Callable[[list, list, list, np.ndarray, list[bytes]], Iterator[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
+def reassembled(chunks: DataFrame, replies: DataFrame, build: Callable[[list, list, list, np.ndarray, list], Iterator[dict]], schema: str, arrow: pa.Schema, unpack: Callable[[bytes], list] = split_words) -> DataFrame:
     """build(doc_ids, extra, sizes, codes, answers by code) makes the rows of a chunk; one chunk is held at a time."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, extra, sizes, codes, order, answers = (batch.column(k)[i].as_py() for k in range(6))
-                for rows in build(ids, extra, sizes, unpack_codes(codes), answers_in_place(order, answers or [])):
+                for rows in build(ids, extra, sizes, unpack_codes(codes), answers_in_place(order, answers or [], unpack)):
                     yield pa.RecordBatch.from_pydict(rows, arrow)
 
     return chunks.select("chunk", "doc_ids", "extra", "sizes", "codes", "order").join(replies, "chunk", "left").select("doc_ids", "extra", "sizes", "codes", "order", "answers").mapInArrow(run, schema)

@@ -17,19 +17,25 @@ _own_root: str | None = None
 
 
 def root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and the session is local."""
     global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
     return _own_root
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{root(spark)}/quillspark/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -43,7 +49,6 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 
 def drop_all(spark: SparkSession) -> None:
-    """Delete every table that the operators of this session wrote; call it when results are consumed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/quillspark")
+    """Delete every table that the operators of this application wrote; call it when results are consumed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

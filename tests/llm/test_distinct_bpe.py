@@ -36,12 +36,44 @@ def test_round_trip(spark, library):
     assert back == {i: (t or "").encode() for i, t in enumerate(ODD)}
 
 
+def test_decoding_joins_the_token_table(spark):
+    rows = [(1, [0, 1, 2]), (1, [5]), (2, None), (3, []), (None, [7, 7])]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    table = {r["id"]: bytes(r["token"]) for r in distinct_bpe.token_table(spark, PATH).collect()}
+    got = distinct_bpe.decoded(docs, PATH)
+    assert sorted(((r["doc_id"], bytes(r["data"])) for r in got.collect()), key=str) == sorted(((d, b"".join(table[i] for i in ids or [])) for d, ids in rows), key=str)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="without a token"):
+        distinct_bpe.decoded(spark.createDataFrame([(1, [1 << 29])], "doc_id long, ids array<int>"), PATH).collect()
+
+
+def test_no_table_is_left(spark):
+    before = spark.catalog.listTables()
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert distinct_bpe.encoded_digests(docs, PATH, public_tokenizers.PATTERN).count() == 1
+    assert spark.catalog.listTables() == before
+
+
 def test_small_chunks(spark, library):
     docs = spark.createDataFrame([(i, f"some words {i} and some more {i % 5}") for i in range(200)], "doc_id long, text string")
     chunks = word_chunks.chunked(docs, distinct_bpe.PreTokens(public_tokenizers.PATTERN), chunk_bytes=300)
     assert chunks.count() > 20
 
 
+def test_each_distinct_word_is_asked_once(spark, tmp_path):
+    """However many chunks hold a word."""
+    docs = spark.createDataFrame([(i, f"some words {i % 40} and some more {i % 5}") for i in range(200)], "doc_id long, text string")
+    chunks = word_chunks.chunked(docs, lambda t: t.split(), chunk_bytes=300)
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(words):
+        calls.add(len(words))
+        return words
+
+    word_chunks.answered(chunks, ask).collect()
+    assert calls.value == len({w for r in docs.collect() for w in r["text"].split()})
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40))
 def test_split(text):
