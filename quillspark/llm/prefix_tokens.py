@@ -132,10 +132,8 @@ class PrefixCounter:
         return [0, *out[1:]] if text else [0]
 
     def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix of at most `budget` tokens. Counts may fall again within a unit, so the unit
-        that crosses the budget and all later prefixes with equal counts are looked at from the end."""
-        counts = self.at_prefixes(text)
-        return text[: max((k for k in range(len(counts)) if counts[k] <= budget), default=0)]
+        """The longest prefix of at most `budget` tokens, by the stored tables."""
+        return text[: Prefixes(self, text).longest(budget)]
 
 
 class Prefixes:
@@ -153,6 +151,20 @@ class Prefixes:
         u = min(bisect_right(self.starts, k) - 1, len(self.inner) - 1)
         return self.before[u] + self.inner[u][k - self.starts[u]]
 
+    def total(self) -> int:
+        return self.before[-1]
+
+    def longest(self, budget: int) -> int:
+        """Characters of the longest prefix of at most `budget` tokens. Sums before a unit never fall, so it ends
+        in the last unit whose sum fits; within a unit counts may fall again, so that one is read from its end."""
+        u = bisect_right(self.before, budget) - 1
+        if u < 0 or not self.inner:
+            return 0
+        if u == len(self.inner):
+            return self.starts[-1] - 1
+        left = budget - self.before[u]
+        return max(0, self.starts[u] - 1 + next((k for k in range(len(self.inner[u]) - 1, 0, -1) if self.inner[u][k] <= left), 0))
+
 
 _loaded: dict[str, PrefixCounter] = {}
 
@@ -166,30 +178,32 @@ def loaded(path: str) -> PrefixCounter:
 
 
 def _mapped(docs: DataFrame, id_col: str, text_col: str, rows, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    names, types = zip(*((name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))), strict=True)
 
     def run(batches):
         for batch in batches:
             texts = (t.as_py() or "" for t in batch.column(1))
             made = list(zip(*(rows(t) for t in texts), strict=True))
             if made:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in made)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, kind in zip(made, types[1:], strict=True))], names=list(names))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_tokens, over_limit. A map without shuffle.
+    """Per row: doc_id, n_bytes, n_tokens, over_limit, kept_chars (characters of the longest prefix of at most
+    `limit` tokens, by the prefix table). A map without shuffle.
 
     Null text counts as empty (0 tokens); repeated rows are counted each; a null doc_id stays null;
     other columns are not read.
     """
 
-    def row(text: str) -> tuple[int, int, bool]:
+    def row(text: str) -> tuple[int, int, bool, int]:
         n = loaded(model).count(text)
-        return len(text.encode()), n, n > limit
+        return len(text.encode()), n, n > limit, Prefixes(loaded(model), text).longest(limit) if n > limit else len(text)
 
-    return _mapped(docs, id_col, text_col, row, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return _mapped(docs, id_col, text_col, row, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 
 
 def prefix_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,6 +211,12 @@ def prefix_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return _mapped(docs, id_col, text_col, lambda t: (loaded(model).at_prefixes(t),), "doc_id long, counts array<int>")
 
 
+def kept_within(prefixes: DataFrame, budget: int, counts_col: str = "counts") -> DataFrame:
+    """The stored table of prefix_counts with kept_chars, the longest prefix of at most `budget` tokens. Texts and
+    the model aren't needed; the answer is a fold over the stored counts in the JVM."""
+    return prefixes.withColumn("kept_chars", F.array_max(F.transform(counts_col, lambda n, k: F.when(n <= budget, k.cast("long")))))
+
+
 def truncated(docs: DataFrame, model: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text cut to the longest prefix of at most `budget` tokens, n_tokens of it."""
 

@@ -36,9 +36,21 @@ def test_random(text):
 
 def test_documents(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.sql("SELECT 7L doc_id, CAST(NULL AS STRING) text, '' lang, '' source, 0L n_chars"))
-    got = sorted(tuple(r) for r in prefix_tokens.token_counts(docs, PATH).collect())
+    got = sorted(tuple(r)[:4] for r in prefix_tokens.token_counts(docs, PATH).collect())
     want = sorted((d, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for d, t in docs.select("doc_id", "text").collect())
     assert got == want
     assert prefix_tokens.token_counts(docs.limit(0), PATH).count() == 0
     cut = prefix_tokens.truncated(docs, PATH, 10).collect()
     assert all(r["n_tokens"] <= 10 for r in cut)
+
+
+def test_budgets_from_stored_tables(spark, library, tmp_path):
+    """Truncation is answered from a written table, without texts or the model; columns may clash."""
+    texts = ["", None, "a b c", "▁a▁▁b  c " * 40, "日本語　テスト", "aaaaaaaaaaaaaaaaaa " * 9]
+    docs = spark.createDataFrame([(i, t, 1, "x", True) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, n_bytes string, over_limit boolean")
+    prefix_tokens.prefix_counts(docs, PATH).write.parquet(f"{tmp_path}/prefixes")
+    stored = spark.read.parquet(f"{tmp_path}/prefixes")
+    for budget in (0, 1, 3, 10, 10_000):
+        want = {i: max(k for k in range(len(t or "") + 1) if len(library.encode((t or "")[:k])) <= budget) for i, t in enumerate(texts)}
+        assert {r["doc_id"]: r["kept_chars"] for r in prefix_tokens.kept_within(stored, budget).collect()} == want
+        assert {r["doc_id"]: r["kept_chars"] for r in prefix_tokens.token_counts(docs, PATH, limit=budget).collect()} == want
