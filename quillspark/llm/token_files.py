@@ -113,6 +113,31 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select("doc_ids", "width", "ids", "ends").mapInArrow(ids, "doc_id long, ids array<int>")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and ids (array<int>) of the documents with the wanted ids, one row for each document of the files.
+
+    Only blocks that hold one are read; select finds its two boundaries, no other is decoded. Repeated and null
+    wanted ids count once and not at all.
+    """
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    places = blocks.select("shard", "block", F.posexplode("doc_ids").alias("place", "doc_id")).join(ids, "doc_id")
+    places = places.groupBy("shard", "block").agg(F.collect_list("place").alias("places"))  # at most a block's documents
+
+    def cut(batches):
+        for batch in batches:
+            found, parts = [], []
+            for docs, width, data, ends, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                code = EliasFano.from_bytes(ends)
+                for i in sorted(places):
+                    a, b = code.select(i - 1) if i else 0, code.select(i)
+                    found.append(docs[i])
+                    parts.append(np.frombuffer(data, f"<u{width}", b - a, width * a).astype("<i4"))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return blocks.join(places, ["shard", "block"]).select("doc_ids", "width", "ids", "ends", "places").mapInArrow(cut, "doc_id long, ids array<int>")
+
+
 def document_offsets(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> DataFrame:
     """Write docs to files in the shared folder and return the index read back from them.
 

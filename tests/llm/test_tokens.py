@@ -135,3 +135,15 @@ def test_packing(spark, sf_dir, library):
                 at += n
             assert at <= 1024
         assert len(fill) == len(one_by_one(lengths, 1024))
+
+
+def test_documents_by_select(spark, library):
+    """Single documents come out of the files by their boundaries alone."""
+    docs = small(spark)
+    path = workspace.stage_path(spark, "t")
+    token_files.write_tokens(docs, path, queries.vocabulary("byte_bpe_50k.json"), end_id=2, partitions=3)
+    wanted = spark.createDataFrame([(5, "x"), (5, "y"), (0, ""), (7, ""), (None, ""), (99_999, "")], "doc_id long, ids string")
+    got = sorted((r["doc_id"], r["ids"]) for r in token_files.read_documents(spark, path, wanted).collect())
+    want = sorted((d, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in docs.select("doc_id", "text").collect() if d in (5, 0, 7))
+    assert got == want and len(got) >= 5
+    assert token_files.read_documents(spark, path, wanted.limit(0)).count() == 0
