@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import components, workspace
+from . import components, hot_keys, workspace
 
 BLOCK = 2048
 
@@ -73,7 +73,7 @@ def _valid(vector: Column, label: Column) -> Column:
     return vector.isNotNull() & label.isNotNull() & (F.size(vector) > 0) & F.coalesce(good, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-CODED = "group long, rep long, many long, data binary, codes binary, buckets array<long>"
+CODED = "group long, rep long, many long, data binary, key string, codes binary, buckets array<long>"
 
 
 def _coded(reps: DataFrame, tables: int, probes: int, hashes: int, seed: int) -> DataFrame:
@@ -95,9 +95,9 @@ def _coded(reps: DataFrame, tables: int, probes: int, hashes: int, seed: int) ->
                 n, t, p = codes.shape
                 buckets = np.repeat(np.arange(t, dtype=np.int64), p) << 32 | codes.reshape(n, -1)
                 part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.astype("<i4").tobytes() for c in codes], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))], names=["group", "rep", "many", "data", "codes", "buckets"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.astype("<i4").tobytes() for c in codes], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))], names=["group", "rep", "many", "data", "key", "codes", "buckets"])
 
-    return reps.select("group", "rep", "many", "data").mapInArrow(run, CODED)
+    return reps.select("group", "rep", "many", "data", "key").mapInArrow(run, CODED)
 
 
 def _block_links(batches, threshold: float, tables: int, probes: int):
@@ -162,7 +162,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 8
 
     Links: equal non-null labels, equal dimension, cosine in double precision >= threshold. Null, zero
     and non-finite vectors, and null labels, have no links and are components of their own. Rows that
-    repeat a vec_id are rows of their own, which share a component if they link.
+    repeat a vec_id are rows of their own, each with its vector's links; they share a component if they link.
+
+    Eight tables: at cosine 0.93 in 64 dimensions one table joins about 0.85 of the pairs, so all but 3e-7 meet.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label"))
     rows = rows.withColumn("good", _valid(F.col("vector"), F.col("label")) & F.col("vec_id").isNotNull())
@@ -171,31 +173,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 8
     keyed = workspace.staged(good.select("vec_id", "group", "vector", F.sha2(F.concat(F.col("group").cast("string"), F.lit(":"), F.array_join(F.col("vector").cast("array<string>"), ",")), 256).alias("key")), "vectors")
     folded = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
     pack = F.pandas_udf(_pack, "binary")
-    reps = keyed.join(folded, "key").where("vec_id = rep").dropDuplicates(["key"]).select("group", "rep", "many", pack("vector").alias("data"))
-    reps = workspace.staged(_coded(reps, tables, probes, hashes, seed), "vector-reps")
-    buckets = reps.select("group", "rep", F.explode("buckets").alias("bucket"))
+    one = keyed.join(folded.withColumnRenamed("rep", "vec_id"), ["key", "vec_id"]).dropDuplicates(["key"])
+    reps = one.select("group", F.col("vec_id").alias("rep"), "many", pack("vector").alias("data"), "key")
+    # every class has a number of its own, fixed by writing it: an id may carry several vectors
+    reps = workspace.staged(_coded(reps, tables, probes, hashes, seed).withColumn("node", F.monotonically_increasing_id()), "vector-reps")
+    buckets = reps.select("group", "node", F.explode("buckets").alias("bucket"))
     sizes = buckets.groupBy("group", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = buckets.join(sizes, ["group", "bucket"]).select("group", "bucket", "rep", blocks.alias("blocks"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")).cast("int"))
+    member = hot_keys.attached(buckets, sizes, ["group", "bucket"], F.col("node")).select("group", "bucket", "node", blocks.alias("blocks"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = member.select("group", "bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep")
-    full = meets.join(reps.select("rep", "many", "data", "codes"), "rep")
+    meets = member.select("group", "bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node")
+    full = meets.join(reps.select("node", F.col("node").alias("rep"), "many", "data", "codes"), "node")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = full.repartition(n, "group", "bucket", "bi", "bj").sortWithinPartitions("group", "bucket", "bi", "bj")
     found = ordered.mapInArrow(lambda batches: _block_links(batches, threshold, tables, probes), "u long, v long, n long")
     found = workspace.staged(found, "vector-links")
     linked = found.groupBy("u").agg(F.sum("n").alias("n"))
     comp = components.components(found.select("u", "v"))
-    per_rep = (
-        reps.select("rep", "many")
-        .join(linked, reps["rep"] == linked["u"], "left")
+    placed = (
+        reps.select("key", "rep", "many", "node")
+        .join(linked, reps["node"] == linked["u"], "left")
         .drop("u")
-        .join(comp, F.col("rep") == comp["u"], "left")
-        .select("rep", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .join(comp, F.col("node") == comp["u"], "left")
+        .select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
-    answers = folded.select("key", "rep").join(per_rep, "rep").select("key", "n_links", "component_id")
-    out = keyed.select("vec_id", "key").join(answers, "key").select("vec_id", "n_links", "component_id")
+    # the component's name: the least vec_id of its classes
+    named = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    answers = workspace.staged(hot_keys.attached(placed, named, "component", F.col("key")).select("key", "n_links", "component_id"), "vector-answers")
+    out = hot_keys.attached(keyed.select("vec_id", "key"), answers, "key", F.col("vec_id")).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

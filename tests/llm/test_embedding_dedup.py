@@ -84,3 +84,27 @@ def test_components(spark):
     got = {r["u"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {u: c for u, c in low.items() if u != c}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a cosine of exactly 0.93, where misses are likeliest."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b
+    hashes = embedding_dedup.CrossPolytope(64, 8, 4)
+    left, right = hashes.codes(a.astype(np.float32)), hashes.codes(b.astype(np.float32))
+    met = (left[:, :, :, None] == right[:, :, None, :]).any(axis=(2, 3))
+    assert met.mean(axis=0).min() > 0.8 and met.any(axis=1).mean() > 0.9999
+
+
+def test_an_id_with_several_vectors(spark):
+    """Each vector of a repeated id has its own links."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 16)).astype(np.float32)
+    near = lambda v: [float(x) for x in v + np.float32(0.02)]
+    rows = [(1, a.tolist(), 1), (1, b.tolist(), 1), (2, near(a), 1), (3, near(b), 1), (3, a.tolist(), 1), (1, a.tolist(), 1), (4, near(b), 2)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(*r, 0, None) for r in rows], SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
