@@ -238,50 +238,57 @@ class Gru:
     def step(self, before: np.ndarray, h: np.ndarray):
         """One step; gates by tanh of half the argument."""
         x, a = self.e[before], h @ self.u
-        rz = np.tanh((x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]) * np.float32(0.5))
+        rz = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+        rz *= np.float32(0.5)
+        np.tanh(rz, out=rz)
         rz += 1
         rz *= np.float32(0.5)
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return n + z * (h - n), r, z, n, a[:, 2 * HIDDEN :]
-
-    def _exp(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp of the logits over their row's largest, and what was taken off."""
-        logits = h @ self.w
-        logits += self.b
-        most = logits.max(axis=1, keepdims=True)
-        logits -= most
-        return np.exp(logits, out=logits), most[:, 0]
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        """P(class | state)."""
-        p = self._exp(h)[0]
-        p /= p.sum(axis=1, keepdims=True)
-        return p
-
-    def _by_class(self, h: np.ndarray, symbols: np.ndarray):
-        """For each class of frequent words that the symbols hold: class, places, their members, exp of the logits over the row's largest, what was taken off."""
+        n = r * a[:, 2 * HIDDEN :]
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, r, z, n, a[:, 2 * HIDDEN :]
+
+    @staticmethod
+    def _bounded(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Logits that exp can take. States lie between -1 and 1, so weights (the bias in the last row) bound
+        them; only where the bound is too large for single precision is each row's largest taken off."""
+        if np.abs(weights).sum(axis=-2).max() >= 80:
+            logits -= logits.max(axis=1, keepdims=True)
+        return logits
+
+    def _class_logits(self, h1: np.ndarray) -> np.ndarray:
+        """h1: states with a column of ones."""
+        weights = np.concatenate([self.w, self.b[None]])
+        return self._bounded(h1 @ weights, weights)
+
+    def _word_logits(self, h1: np.ndarray, symbols: np.ndarray):
+        """Of the frequent words among the symbols, by class: places, members, the classes' cuts, states, logits of all members."""
         at = np.flatnonzero(symbols >= CLASSES)
         rank = symbols[at] - CLASSES
-        order = np.argsort(rank // MEMBERS, kind="stable")
+        order = np.argsort((rank // MEMBERS).astype(np.uint8), kind="stable")
         at, rank = at[order], rank[order]
-        cuts = np.searchsorted(rank // MEMBERS, np.arange(FREQUENT + 1)).tolist()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(rank // MEMBERS, minlength=FREQUENT))])
+        weights = np.concatenate([self.v, self.c[..., None]], axis=2).transpose(0, 2, 1)
+        states, logits, cuts = h1[at], np.empty((len(at), MEMBERS), np.float32), cuts.tolist()
         for k in range(FREQUENT):
             if cuts[k] < cuts[k + 1]:
-                here = at[cuts[k] : cuts[k + 1]]
-                logits = h[here] @ self.v[k].T
-                logits += self.c[k]
-                most = logits.max(axis=1, keepdims=True)
-                logits -= most
-                yield k, here, rank[cuts[k] : cuts[k + 1]] % MEMBERS, np.exp(logits, out=logits), most[:, 0]
+                np.matmul(states[cuts[k] : cuts[k + 1]], weights[k], out=logits[cuts[k] : cuts[k + 1]])
+        return at, rank % MEMBERS, cuts, states, self._bounded(logits, weights)
 
     def log_targets(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """log P(class | state), and for frequent words + log P(word | class, state)."""
-        targets = CLASS_OF[symbols]
-        e, most = self._exp(h)
-        out = np.einsum("ij,ij->i", h, self.w.T[targets]) + self.b[targets] - most - np.log(e.sum(axis=1))
-        for k, here, member, e, most in self._by_class(h, symbols):
-            out[here] += np.einsum("ij,ij->i", h[here], self.v[k][member]) + self.c[k][member] - most - np.log(e.sum(axis=1))
+        h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+        logits = self._class_logits(h1)
+        out = logits[np.arange(len(h)), CLASS_OF[symbols]]
+        out -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, np.float32))
+        at, member, _, _, logits = self._word_logits(h1, symbols)
+        if len(at):
+            own = logits[np.arange(len(at)), member]
+            out[at] += own - np.log(np.exp(logits, out=logits) @ np.ones(MEMBERS, np.float32))
         return out
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray):
@@ -289,25 +296,37 @@ class Gru:
         steps, kept, start, full = len(inputs), [], h, bool(live.all())
         begins = inputs == BEFORE
         some = begins.any(axis=1)
-        states = np.empty((steps, len(h), HIDDEN), np.float32)
+        states = np.ones((steps, len(h), HIDDEN + 1), np.float32)
         for t in range(steps):
             if some[t]:
                 h = np.where(begins[t][:, None], np.float32(0), h)
             after, *gates = self.step(inputs[t], h)
             kept.append((h, *gates))
-            h = states[t] = after if full else np.where(live[t][:, None], after, h)
-        states, symbols = states.reshape(-1, HIDDEN), np.where(live, targets, END).ravel()
-        p = self.classes(states)
+            h = after if full else np.where(live[t][:, None], after, h)
+            states[t, :, :HIDDEN] = h
+        states, symbols = states.reshape(-1, HIDDEN + 1), np.where(live, targets, END).ravel()
+        p = self._class_logits(states)
+        np.exp(p, out=p)
+        p *= 1 / (p @ np.ones((CLASSES, 1), np.float32))
         p[np.arange(len(p)), CLASS_OF[symbols]] -= 1
         if not full:
             p *= live.reshape(-1, 1)
-        grads = {"w": states.T @ p, "b": p.sum(axis=0), "e": np.zeros_like(self.e), "u": np.zeros_like(self.u), "v": np.zeros_like(self.v), "c": np.zeros_like(self.c)}
+        both = states.T @ p
+        grads = {"w": both[:HIDDEN], "b": both[HIDDEN], "e": np.zeros_like(self.e), "u": np.zeros_like(self.u), "v": np.zeros_like(self.v), "c": np.zeros_like(self.c)}
         back = p @ self.w.T
-        for k, here, member, q, _ in self._by_class(states, symbols):
-            q /= q.sum(axis=1, keepdims=True)
+        at, member, cuts, own, q = self._word_logits(states, symbols)
+        if len(at):
+            np.exp(q, out=q)
+            q *= 1 / (q @ np.ones((MEMBERS, 1), np.float32))
             q[np.arange(len(q)), member] -= 1
-            grads["v"][k], grads["c"][k] = q.T @ states[here], q.sum(axis=0)
-            back[here] += q @ self.v[k]
+            more = np.empty((len(at), HIDDEN), np.float32)
+            for k in range(FREQUENT):
+                here = slice(cuts[k], cuts[k + 1])
+                if cuts[k] < cuts[k + 1]:
+                    both = q[here].T @ own[here]
+                    grads["v"][k], grads["c"][k] = both[:, :HIDDEN], both[:, HIDDEN]
+                    np.matmul(q[here], self.v[k], out=more[here])
+            back[at] += more
         back = back.reshape(steps, -1, HIDDEN)
         carry = np.zeros_like(start)
         slopes = np.empty((steps, len(start), 3 * HIDDEN), np.float32)
@@ -484,18 +503,19 @@ def document_scores(net: Gru, kinds: np.ndarray, sizes: list[int], width: int =
         size, longest = sizes[group], int(sizes[group[0]])
         h = np.zeros((len(group), HIDDEN), np.float32)
         before = np.full(len(group), BEFORE)
-        for t in range(0, longest, WINDOW):
-            states, targets, who = [], [], []
-            for s in range(t, min(t + WINDOW, longest)):
-                many = int(np.searchsorted(-size, -s, side="left"))  # documents longer than s
-                h = net.step(before[:many], h[:many])[0]
-                now = kinds[starts[group[:many]] + s].astype(np.int64)
-                states.append(h)
-                targets.append(now)
-                who.append(group[:many])
-                before = now
-            logs = net.log_targets(np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(who), logs.astype(np.float64), len(sizes))
+        states, targets, who, held = [], [], [], 0
+        for t in range(longest):
+            many = int(np.searchsorted(-size, -t, side="left"))  # documents longer than t
+            h = net.step(before[:many], h[:many])[0]
+            before = kinds[starts[group[:many]] + t].astype(np.int64)
+            states.append(h)
+            targets.append(before)
+            who.append(group[:many])
+            held += many
+            if held >= 6_000 or t == longest - 1:
+                logs = net.log_targets(np.concatenate(states), np.concatenate(targets))
+                out += np.bincount(np.concatenate(who), logs.astype(np.float64), len(sizes))
+                states, targets, who, held = [], [], [], 0
     return out
 
 
