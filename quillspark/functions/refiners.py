@@ -1,8 +1,10 @@
 """Domain metadata from text: tables of patterns, each applied as one expression.
 
-Kinds: first, upper (first, upper case), capital (first, first letter upper case), every (distinct, upper
-case, sorted), names (distinct, as written, sorted), number (first, as double), dollars (first or largest
-amount). Wellness macros, spiritual themes and status words have functions of their own.
+Kinds: first, upper (first, upper case), spaced (first, upper case, single blanks), capital (first, first
+letter upper case, the rest lower case), pair and words (the first match's two groups, with a comma or a blank between), every
+(distinct, upper case, sorted), names (distinct, as written, sorted), number (first, as double), dollars
+(first or largest amount). Letters, blanks and word ends are Unicode's. In the patterns, end of text is
+\\z, as Java's \\Z would also stand before a last line end. Wellness macros, spiritual themes and status words have functions of their own.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ PATTERNS = {
         "cyber_affected_sw": ("list", r"(?i)(?:Affected|Vulnerable|Software|Version):\s+([^:\n]+?)(?=\n|\z)"),
     },
     "disaster": {
-        "disaster_incident_type": ("first", r"(?i)\b(?:Incident|Type|Nature)[:\s]+([\w\s]{3,25})(?=\n|\.)"),
-        "disaster_coordinates": ("first", r"(\-?[0-9]{1,3}\.[0-9]{4,8},\s*\-?[0-9]{1,3}\.[0-9]{4,8})"),
+        "disaster_incident_type": ("capital", r"(?i)\b(?:Incident|Type|Nature)[:\s]+([\w\s]{3,25})(?=\n|\.)"),
+        "disaster_coordinates": ("pair", r"(\-?[0-9]{1,3}\.[0-9]{4,8}),\s*(\-?[0-9]{1,3}\.[0-9]{4,8})"),
         "disaster_urgency": ("capital", r"(?i)\b(?:Urgency|Priority|Severity)[:\s]*(Immediate|High|Medium|Low|Critical)\b"),
     },
     "edu": {
@@ -54,28 +56,28 @@ PATTERNS = {
     "museum": {
         "museum_accession_id": ("first", r"(?i)\b(?:Accession|ID|Ref)(?:\s+Number)?[:\s\-#]*([0-9]{4}\.[0-9]{1,5}\.[0-9]{1,5})\b"),
         "museum_artist": ("first", r"\b(?:Artist|Creator|Maker|Contributor)[:\s]+([A-Z][a-z]+(?:\s+[a-z]+)?(?:\s+[A-Z][a-z]+)*?)(?=[.,\n]|\z)"),
-        "museum_era": ("first", r"(?i)\b(?:Era|Period|Date)[:\s]+([\w\s\-]{3,20})(?=\n|\.|\z)"),
+        "museum_era": ("capital", r"(?i)\b(?:Era|Period|Date)[:\s]+([\w\s\-]{3,20})(?=\n|\.|\z)"),
         "museum_medium": ("first", r"(?i)\b(?:Medium|Material)[:\s]+([\w\s,]{3,30})(?=\n|\.|\z)"),
     },
     "political": {
         "political_candidate": ("first", r"(?i)\b(?:Candidate|Senator|Rep|Representative|Mayor)[:\s]+([\w\s\.]{3,25}?)(?=[.,\n]|\z)"),
-        "political_vote": ("first", r"(?i)\b(?:Vote|Result|Action)[:\s]*(Yea|Nay|Aye|No|Present|Abstain)\b"),
+        "political_vote": ("capital", r"(?i)\b(?:Vote|Result|Action)[:\s]*(Yea|Nay|Aye|No|Present|Abstain)\b"),
         "political_donors": ("names", r"(?i)\b(?:Donor|Contributor|PAC|Entity)[:\s]+([\w\s&]{3,40})(?=\n|\.|,)"),
         "political_contribution": ("dollars_most", r"\$\s*([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?)"),
     },
     "spiritual": {
         "spiritual_book": ("first", r"\b((?:[0-9]\s+)?[A-Z][a-z]+)\s+[0-9]+[:\.][0-9]+(?:\-[0-9]+)?\b"),
-        "spiritual_citation": ("first", r"\b((?:[0-9]\s+)?[A-Z][a-z]+\s+[0-9]+[:\.][0-9]+(?:\-[0-9]+)?)\b"),
+        "spiritual_citation": ("words", r"\b((?:[0-9]\s+)?[A-Z][a-z]+)\s+([0-9]+[:\.][0-9]+(?:\-[0-9]+)?)\b"),
     },
     "urban": {
-        "urban_zoning_code": ("first", r"\b([RCM][\-\s]?[0-9][A-Z]?)\b"),
+        "urban_zoning_code": ("upper", r"\b([RCM][\-\s]?[0-9][A-Z]?)\b"),
         "urban_far_ratio": ("number", r"(?i)\b(?:FAR|Floor Area Ratio)(?:\s+of)?[:\s]*([0-9]+(?:\.[0-9]+)?)\b"),
         "urban_density_target": ("first", r"(?i)\b(?:Density|Target)(?:\s+is)?[:\s]+([\w\s/]{3,20})(?=[.,\n]|\z)"),
     },
     "wellness": {"wellness_calories": ("number", r"(?i)\b([0-9]{1,4})\s*(?:kcal|calories|cal)\b")},
     "ai": {
         "ai_model_name": ("first", r"\b(?:Model|LLM|System)[:\s]+([A-Z][\w\-\.]{2,25}?(?:\s[0-9]+)?)(?=[.,\s]|\z)"),
-        "ai_param_count": ("first", r"(?i)([0-9]+(?:\.[0-9]+)?\s*(?:Trillion|Billion|Million|[BMT]))"),
+        "ai_param_count": ("spaced", r"(?i)([0-9]+(?:\.[0-9]+)?\s*(?:Trillion|Billion|Million|[BMT]))"),
     },
 }
 #: Status words, the first in this order holds.
@@ -85,7 +87,7 @@ THEMES = {"Grace": ["grace", "mercy", "favor"], "Judgment": ["judge", "judgment"
 
 
 def _all(content: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(content, F.lit(pattern), F.lit(1))
+    return F.regexp_extract_all(content, F.lit("(?U)" + pattern), F.lit(1))
 
 
 def _amount(text: Column) -> Column:
@@ -96,11 +98,15 @@ def rule(content: Column, kind: str, pattern: str) -> Column:
     """One pattern as a column; null (or an empty array) where nothing matches."""
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     first = strip(F.try_element_at(_all(content, pattern), F.lit(1)))
+    two = lambda sep: F.when(first.isNotNull(), F.concat_ws(sep, F.regexp_extract(content, "(?U)" + pattern, 1), F.regexp_extract(content, "(?U)" + pattern, 2)))
     trimmed = F.filter(F.transform(_all(content, pattern), strip), lambda x: x != "")
     return {
         "first": lambda: first,
         "upper": lambda: F.upper(first),
-        "capital": lambda: F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substring(first, 2, 1000))),
+        "spaced": lambda: F.upper(F.regexp_replace(first, r"\s+", " ")),
+        "capital": lambda: F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substr(first, F.lit(2)))),
+        "pair": lambda: two(", "),
+        "words": lambda: two(" "),
         "every": lambda: F.array_sort(F.array_distinct(F.transform(trimmed, lambda x: F.upper(x)))),
         "names": lambda: F.array_sort(F.array_distinct(trimmed)),
         "list": lambda: F.filter(F.transform(F.split(first, ","), strip), lambda x: x != ""),

@@ -16,8 +16,11 @@ EMAILS = r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b"
 TECHNIQUES = {"runinstances": "T1578", "createuser": "T1136", "deleteuser": "T1531", "putobject": "T1537", "getobject": "T1530", "login": "T1078", "password": "T1110", "execute": "T1059"}
 #: Pairs of opposites.
 ANTONYMS = [("hot", "cold"), ("true", "false"), ("yes", "no"), ("increase", "decrease"), ("rise", "fall"), ("up", "down"), ("more", "less"), ("greater", "fewer"), ("higher", "lower"), ("gain", "loss"), ("success", "failure"), ("win", "lose"), ("start", "stop"), ("begin", "end"), ("open", "close"), ("alive", "dead"), ("present", "absent"), ("before", "after")]
-#: Words that negate.
-NEGATIONS = "not no never none neither nor cannot false incorrect untrue deny denies denied refuse refuses refused opposite".split()
+#: Words that negate. Those of two words are never met, as texts are compared word by word.
+NEGATIONS = [
+    "not", "no", "never", "none", "nothing", "neither", "nor", "cannot", "can not", "won not", "wouldn not", "shouldn not", "couldn not", "isn not", "aren not", "wasn not", "weren not", "hasn not", "haven not",
+    "hadn not", "doesn not", "don not", "didn not", "without", "lacks", "absent", "missing", "false", "incorrect", "untrue", "deny", "denies", "denied", "refuse", "refuses", "refused", "opposite",
+]
 
 
 def metadata(content: Column) -> list[Column]:
@@ -56,22 +59,23 @@ def techniques(event: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(t)) for w, t in TECHNIQUES.items()])))
 
 
-def contradiction(a: Column, b: Column, gate: float = 0.3) -> Column:
-    """0 for unrelated claims (word Jaccard below the gate), else the similarity's half plus 0.3 if one side alone
-    negates and 0.3 if the sides hold opposites, at most 1; 0 without either sign."""
-    x, y = F.array_distinct(text.words(a)), F.array_distinct(text.words(b))
+def contradiction(a: Column, b: Column, gate: float = 0.7) -> Column:
+    """Similarity times the sum of 0.3, if one side alone negates, and 0.2, if the sides hold opposites; 0 for
+    unrelated claims (similarity below the gate). Words are runs of non-blanks in lower case; their Jaccard
+    similarity stands in for that of embeddings, which need a model."""
+    x, y = F.array_distinct(text.blank_split(F.lower(a))), F.array_distinct(text.blank_split(F.lower(b)))
     negs, similar = text.literal_array(NEGATIONS), text.jaccard(x, y)
     negated = F.arrays_overlap(x, negs) != F.arrays_overlap(y, negs)
     has = F.array_contains
-    opposite = F.greatest(*[(has(x, p) & has(y, q) & ~has(x, q)) | (has(x, q) & has(y, p) & ~has(x, p)) for p, q in ANTONYMS])
-    score = F.least(F.lit(1.0), similar * 0.5 + F.when(negated, 0.3).otherwise(0.0) + F.when(opposite, 0.3).otherwise(0.0))
-    return F.when((similar >= gate) & (negated | opposite), F.round(score, 6)).otherwise(0.0)
+    opposite = F.greatest(*[(has(x, p) & has(y, q)) | (has(x, q) & has(y, p)) for p, q in ANTONYMS])
+    score = similar * (F.when(negated, 0.3).otherwise(0.0) + F.when(opposite, 0.2).otherwise(0.0))
+    return F.when(similar >= gate, F.round(score, 6)).otherwise(0.0)
 
 
-def support(claim: Column, evidence: Column, refute: float = 0.5, agree: float = 0.5) -> Column:
+def support(claim: Column, evidence: Column, refute: float = 0.5, agree: float = 0.5, gate: float = 0.7) -> Column:
     """REFUTES, SUPPORTS or NEUTRAL, tested in that order."""
-    similar = text.jaccard(F.array_distinct(text.words(claim)), F.array_distinct(text.words(evidence)))
-    return F.when(contradiction(claim, evidence) >= refute, "REFUTES").when(similar >= agree, "SUPPORTS").otherwise("NEUTRAL")
+    similar = text.jaccard(F.array_distinct(text.blank_split(F.lower(claim))), F.array_distinct(text.blank_split(F.lower(evidence))))
+    return F.when(contradiction(claim, evidence, gate) >= refute, "REFUTES").when(similar >= agree, "SUPPORTS").otherwise("NEUTRAL")
 
 
 def extract(chunks: DataFrame, sentences: int = 2, id_col: str = "doc_id", content: str = "content") -> DataFrame:

@@ -22,12 +22,14 @@ INTENTS = {
     "exploratory": [r"^tell me about", r"^what do you know about", r"^information about", r"overview of", r"summary of"],
     "literary": ["character", "theme", "motif", "symbol(?:ism)?", "narrative", "protagonist", "antagonist", "literary", "metaphor", "allegory", "foreshadow", "irony"],
 }
-#: Words of domains.
+#: What marks a domain, wherever it stands in the text.
 DOMAINS = {
-    "legal": "statute jurisdiction judge docket court legal opinion ruling citation bluebook precedent plaintiff defendant lawsuit litigation".split(),
-    "tech": "code function method class api implementation language import export dependency software develop debug refactor algorithm".split(),
-    "genealogy": "family tree ancestor descendant parent child birth death marriage gedcom genealogy lineage grandfather grandmother relative".split(),
-    "cyber": "log cve vulnerability attack tactic technique mitre security threat firewall cloudtrail syslog incident breach".split(),
+    "legal": ["statute", "jurisdiction", "judge", "docket", "court", "legal", "opinion", "ruling", "citation", "bluebook", "case law", "precedent", "plaintiff", "defendant", "lawsuit", "litigation"],
+    "tech": ["code", "function", "method", "class", "api", "implementation", "tree-sitter", "language", "import", "export", "dependency", "software", "develop", "debug", "refactor", "algorithm"],
+    "pkm": ["vault", "obsidian", "wikilink", "backlink", "frontmatter", "alias", "tag", "daily note", "logseq", "roam", "knowledge base"],
+    "genealogy": ["family", "tree", "ancestor", "descendant", "parent", "child", "birth", "death", "marriage", "gedcom", "genealogy", "lineage", "grandfather", "grandmother", "relative"],
+    "rpg": ["npc", "character sheet", "stat block", "armor class", "hit points", "dungeon", "campaign", "adventure", "d&d", "tabletop", "dm", "game master", "monster", "item", "rarity"],
+    "cyber": ["log", "cve", "vulnerability", "attack", "tactic", "technique", "mitre", "security", "threat", "ip address", "source ip", "firewall", "cloudtrail", "syslog", "incident", "breach"],
 }
 
 
@@ -85,15 +87,16 @@ def intent(query: Column) -> Column:
 
 
 def domains(text: Column) -> Column:
-    """All domains of which a word occurs, in order."""
+    """All domains of which a mark occurs, also within a word, in order; without regard to case."""
     low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(r"\b(?:" + "|".join(words) + r")\b"), F.lit(name)) for name, words in DOMAINS.items()]))
+    return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in marks]), F.lit(name)) for name, marks in DOMAINS.items()]))
 
 
 def domain_scores(text: Column) -> Column:
-    """Map of domain to the number of its words' occurrences."""
+    """Map of domain to the number of its marks' occurrences; overlapping marks count each."""
     low = F.lower(text)
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in DOMAINS]), F.array(*[F.regexp_count(low, F.lit(r"\b(?:" + "|".join(ws) + r")\b")) for ws in DOMAINS.values()]))
+    many = lambda m: (F.length(low) - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m)
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in DOMAINS]), F.array(*[reduce(lambda a, b: a + b, [many(m) for m in marks]).cast("int") for marks in DOMAINS.values()]))
 
 
 def citations_valid(answer: Column, known: Column) -> list[Column]:

@@ -54,27 +54,56 @@ def markdown_sections(spark, d):
     return chunking.sections(chunks(spark, d).select("doc_id", body.alias("content")))
 
 
-def _refine(name: str, template: str, sql: str) -> None:
+def _rule_sql(kind: str, pattern: str) -> str:
+    """The rule of one column over text c in DuckDB, whose expressions have no lookahead: what follows is taken in."""
+    p = pattern.replace("(?=", "(?:").replace("'", "''")
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    every, upper = f"regexp_extract_all(c, '{p}', 1)", lambda x: f"upper({x})"
+    first = strip(f"{every}[1]")
+    kept = f"list_filter(list_transform({every}, lambda x: {strip('x')}), lambda x: x <> '')"
+    two = lambda sep: f"{every}[1] || '{sep}' || regexp_extract_all(c, '{p}', 2)[1]"
+    amount = lambda x: f"replace({x}, ',', '')::DOUBLE"
+    return {
+        "first": first,
+        "upper": upper(first),
+        "spaced": upper(rf"regexp_replace({first}, '\s+', ' ', 'g')"),
+        "capital": f"upper(substr({first}, 1, 1)) || lower(substr({first}, 2))",
+        "pair": two(", "),
+        "words": two(" "),
+        "every": f"list_sort(list_distinct(list_transform({kept}, lambda x: {upper('x')})))",
+        "names": f"list_sort(list_distinct({kept}))",
+        "list": f"list_filter(list_transform(string_split({first}, ','), lambda x: {strip('x')}), lambda x: x <> '')",
+        "number": f"{first}::DOUBLE",
+        "dollars_first": amount(first),
+        "dollars_most": f"list_max(list_transform({every}, lambda x: {amount('x')}))",
+    }[kind]
+
+
+def _refine(name: str, template: str) -> None:
+    """Texts made by one template, which both engines understand; case, blanks and presence vary with the row."""
+
     def run(spark, d):
         made = table(spark, d, "part").select("p_partkey", F.expr(template).alias("content"))
         return made.select("p_partkey", *refiners.domain(F.col("content"), name))
 
-    query(f"refine_{name}", sql)(run)
-
-
-_refine("cyber", "concat('See CVE-2021-', 10000 + p_partkey, ' and cve-2020-1234. CVSS: ', p_size % 10, '.5\nAffected: alpha, beta ', p_size, '\n')", "SELECT p_partkey, 'CVE-2021-' || (10000 + p_partkey) AS cyber_cve_id, ['CVE-2020-1234', 'CVE-2021-' || (10000 + p_partkey)] AS cyber_all_cves, (p_size % 10) + 0.5::DOUBLE AS cyber_cvss_score, ['alpha', 'beta ' || p_size] AS cyber_affected_sw FROM part")
-_refine("auto", "concat('VIN 1HGCM82633A', 100000 + p_partkey % 900000, '. Part: ab-', p_size, ' and P/N: XY-9')", "SELECT p_partkey, CASE WHEN length('1HGCM82633A' || (100000 + p_partkey % 900000)) = 17 THEN '1HGCM82633A' || (100000 + p_partkey % 900000) END AS auto_vin, ['AB-' || p_size, 'XY-9'] AS auto_part_numbers FROM part")
-_refine("grant", "concat('FON: AB-12345-', p_size, '. Up to $', p_size, ',500.00 then $9\nDeadline: May ', p_size, '\n')", "SELECT p_partkey, 'AB-12345-' || p_size AS grant_id, (p_size || '500.00')::DOUBLE AS grant_amount, 'May ' || p_size AS grant_deadline FROM part")
-_refine("political", "concat('Senator: Jane Doe, Vote: Nay. Donor: Acme & Co, PAC: Beta Fund. $', p_size, ',000 and $100')", "SELECT p_partkey, 'Jane Doe' AS political_candidate, 'Nay' AS political_vote, ['Acme & Co', 'Beta Fund'] AS political_donors, greatest(100, p_size * 1000)::DOUBLE AS political_contribution FROM part")
-_refine("museum", "concat('Accession Number: 1987.', p_size, '.3\nArtist: Claude Monet, Era: late 19th\nMedium: oil, canvas\n')", "SELECT p_partkey, '1987.' || p_size || '.3' AS museum_accession_id, 'Claude Monet' AS museum_artist, 'late 19th' AS museum_era, 'oil, canvas' AS museum_medium FROM part")
-_refine("mfg", "concat('P/N: abc-', 1000 + p_partkey, '. Service: every ', p_size, ' hours. Error E', p_size % 9, '-', 100 + p_size)", "SELECT p_partkey, CASE WHEN length('abc-' || (1000 + p_partkey)) >= 7 THEN 'ABC-' || (1000 + p_partkey) END AS mfg_part_number, 'every ' || p_size || ' hours' AS mfg_maintenance_cycle, ['E' || (p_size % 9) || '-' || (100 + p_size)] AS mfg_error_codes FROM part")
-_refine("edu", "concat('Grade: ', p_size, '\nSubject: modern physics.\nCCSS.M-', p_size, ' ')", "SELECT p_partkey, p_size::VARCHAR AS edu_grade_level, 'modern physics' AS edu_subject, ['CCSS.M-' || p_size] AS edu_standards FROM part")
-_refine("disaster", "concat('Incident: river flood.\nAt 12.34567, -', p_size, '.55555 Priority: HIGH')", "SELECT p_partkey, 'river flood' AS disaster_incident_type, '12.34567, -' || p_size || '.55555' AS disaster_coordinates, 'High' AS disaster_urgency FROM part")
-_refine("gaming", "concat('Patch 1.', p_size, '.2b Hero: Alpha Beta, Champion: Zed.')", "SELECT p_partkey, '1.' || p_size || '.2b' AS gaming_patch_version, ['Alpha Beta', 'Zed'] AS gaming_characters FROM part")
-_refine("urban", "concat('Zone R-', p_size % 9, 'A with FAR of ', p_size, '.5 and Density: mid rise.')", "SELECT p_partkey, 'R-' || (p_size % 9) || 'A' AS urban_zoning_code, p_size + 0.5::DOUBLE AS urban_far_ratio, 'mid rise' AS urban_density_target FROM part")
-_refine("spiritual", "concat('Read John ', p_size, ':16 and Mark 1:2')", "SELECT p_partkey, 'John' AS spiritual_book, 'John ' || p_size || ':16' AS spiritual_citation FROM part")
-_refine("wellness", "concat('About ', 100 + p_size, ' kcal per bowl')", "SELECT p_partkey, (100 + p_size)::DOUBLE AS wellness_calories FROM part")
-_refine("ai", "concat('Model: Delta-', p_size, ' has ', p_size, ' Billion weights')", "SELECT p_partkey, 'Delta-' || p_size AS ai_model_name, p_size || ' Billion' AS ai_param_count FROM part")
+    columns = ", ".join(f"{_rule_sql(kind, pattern)} AS {column}" for column, (kind, pattern) in refiners.PATTERNS[name].items())
+    query(f"refine_{name}", f"SELECT p_partkey, {columns} FROM (SELECT p_partkey, {template} AS c FROM part)")(run)
+
+
+_refine("cyber", "concat('See ', CASE p_size % 3 WHEN 0 THEN 'CVE' WHEN 1 THEN 'cve' ELSE 'Cve' END, '-2021-', 10000 + p_partkey, ' and cve-2020-1234. ', CASE p_size % 2 WHEN 0 THEN 'CVSS: ' ELSE 'score  ' END, p_size % 10, '.5', chr(10), 'Affected:  alpha, ', p_name, ' ,beta ', p_size, chr(10))")
+_refine("auto", "concat('VIN 1HGCM82633A', 100000 + p_partkey % 900000, '. ', CASE p_size % 3 WHEN 0 THEN 'Part: ab-' WHEN 1 THEN 'part number #Xy-' ELSE 'Parts ' END, p_size, ' and P/N: XY-9')")
+_refine("bio", "concat(CASE p_size % 3 WHEN 0 THEN 'Project: abc-' WHEN 1 THEN 'lab id #x' ELSE 'None ' END, p_size, ' of H2O and NaCl with C6H12O', p_size, '. ', CASE p_size % 2 WHEN 0 THEN 'SOP: wash twice.' ELSE 'method  ' END, p_type, chr(10))")
+_refine("grant", "concat('fon: AB-12345-', p_size, '. Up to ', CASE p_size % 3 WHEN 0 THEN 'nothing' ELSE '$ ' END, p_size, ',500.00 then $9', chr(10), 'deadline:   May ', p_size, chr(10))")
+_refine("political", "concat(CASE p_size % 3 WHEN 0 THEN 'SENATOR: jane doe' WHEN 1 THEN 'Mayor  J. Roe' ELSE 'Nobody' END, ', ', CASE p_size % 4 WHEN 0 THEN 'Vote: nay' WHEN 1 THEN 'RESULT:YEA' WHEN 2 THEN 'action: Abstain' ELSE 'Vote: maybe' END, '. Donor: Acme & Co, PAC: Beta Fund. $', p_size, ',000 and $100')")
+_refine("museum", "concat('accession number: 1987.', p_size, '.3', chr(10), CASE p_size % 3 WHEN 0 THEN 'Artist: Claude Monet' WHEN 1 THEN 'Maker: Vincent van Gogh' ELSE 'artist: nobody' END, ', ', CASE p_size % 4 WHEN 0 THEN 'Era: late 19th' WHEN 1 THEN 'PERIOD:  EDO PERIOD' WHEN 2 THEN 'date: Circa 1900' ELSE 'Era: ' END, chr(10), 'Medium: oil, Canvas', chr(10))")
+_refine("mfg", "concat('P/N: abc-', 1000 + p_partkey, '. ', CASE p_size % 2 WHEN 0 THEN 'Service: Every ' ELSE 'cycle  every  ' END, p_size, CASE p_size % 3 WHEN 0 THEN ' hours' WHEN 1 THEN ' DAYS' ELSE ' eons' END, '. error e', p_size % 9, '-', 100 + p_size, ' Fault: AB-12')")
+_refine("edu", "concat(CASE p_size % 4 WHEN 0 THEN 'Grade: kindergarten' WHEN 1 THEN 'level  HIGHER ED' WHEN 2 THEN concat('grade:', p_size) ELSE concat('Grade: ', p_size) END, chr(10), 'SUBJECT: Modern Physics.', chr(10), 'ccss.m-', p_size, ' ')")
+_refine("disaster", "concat(CASE p_size % 4 WHEN 0 THEN 'Incident: river flood' WHEN 1 THEN 'TYPE:  WILD FIRE' WHEN 2 THEN 'nature: Quake' ELSE 'Incident: x' END, '.', chr(10), 'At 12.34567,', CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE '   ' END, '-', p_size, '.55555 ', CASE p_size % 2 WHEN 0 THEN 'Priority: HIGH' ELSE 'severity:low' END)")
+_refine("gaming", "concat(CASE p_size % 2 WHEN 0 THEN 'Patch 1.' ELSE 'VERSION: 2.' END, p_size, '.2b Hero: Alpha Beta, Champion: Zed', CASE p_size % 3 WHEN 0 THEN ', Agent: Zed' ELSE ', agent: low' END, '.')")
+_refine("urban", "concat('Zone R', CASE p_size % 3 WHEN 0 THEN '-' WHEN 1 THEN ' ' ELSE '' END, p_size % 9, 'A with far of ', p_size, '.5 and ', CASE p_size % 2 WHEN 0 THEN 'Density: Mid rise' ELSE 'target is  9 units/acre' END, '.')")
+_refine("spiritual", "concat('Read ', CASE p_size % 3 WHEN 0 THEN 'John ' WHEN 1 THEN '1  John   ' ELSE 'john ' END, p_size, ':16 and Mark 1:2-4')")
+_refine("wellness", "concat('About ', 100 + p_size, CASE p_size % 3 WHEN 0 THEN ' kcal' WHEN 1 THEN 'CAL' ELSE ' joules' END, ' per bowl')")
+_refine("ai", "concat('Model: Delta-', p_size, ' has ', p_size, CASE p_size % 4 WHEN 0 THEN ' Billion' WHEN 1 THEN '.5   million' WHEN 2 THEN 'b' ELSE ' T' END, ' weights')")
 
 
 @query("refine_status_and_themes", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Restored' WHEN 1 THEN 'Original' END AS status, CASE WHEN p_size % 2 = 0 THEN ['Grace', 'Wisdom'] ELSE ['Covenant'] END AS themes FROM part")

@@ -30,11 +30,21 @@ def event_techniques(spark, d):
     return table(spark, d, "events").select("event_id", enrich.techniques(e).alias("techniques"))
 
 
-@query("contradictions", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN round(4 / 6 * 0.5 + 0.3, 6) ELSE 0.0 END AS score, CASE WHEN p_size % 2 = 0 THEN 'REFUTES' ELSE 'SUPPORTS' END AS support FROM part")
+CLAIMS = "CASE p_size % 6 WHEN 0 THEN 'Prices never rise every single year here' WHEN 1 THEN 'prices FALL every single year here now' WHEN 2 THEN 'prices rise every single year without end' WHEN 3 THEN 'prices fall every single year missing here' WHEN 4 THEN p_name ELSE 'prices rise every single year here' END"
+CLAIMS_SQL = f"""
+WITH c AS (SELECT p_partkey, list_distinct(string_split('prices rise every single year here', ' ')) AS x, list_distinct(string_split(lower({CLAIMS}), ' ')) AS y FROM part),
+s AS (SELECT p_partkey, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS s,
+             list_has_any(x, ['not', 'no', 'never', 'without', 'missing', 'lacks']) <> list_has_any(y, ['not', 'no', 'never', 'without', 'missing', 'lacks']) AS negated,
+             (list_contains(x, 'rise') AND list_contains(y, 'fall')) OR (list_contains(x, 'fall') AND list_contains(y, 'rise')) AS opposite FROM c),
+r AS (SELECT p_partkey, s, CASE WHEN s >= 0.5 THEN round(s * (CASE WHEN negated THEN 0.3 ELSE 0 END + CASE WHEN opposite THEN 0.2 ELSE 0 END), 6) ELSE 0.0 END::DOUBLE AS score FROM s)
+SELECT p_partkey, score, CASE WHEN score >= 0.2 THEN 'REFUTES' WHEN s >= 0.5 THEN 'SUPPORTS' ELSE 'NEUTRAL' END AS support FROM r
+"""
+
+
+@query("contradictions", CLAIMS_SQL)
 def contradictions(spark, d):
-    a, b = F.lit("prices rise every year"), F.when(F.col("p_size") % 2 == 0, "prices never rise every single year").otherwise("prices rise every year")
-    b = F.when(F.col("p_size") % 2 == 0, "prices never rise every year indeed").otherwise("prices rise every year")
-    return table(spark, d, "part").select("p_partkey", enrich.contradiction(a, b).alias("score"), enrich.support(a, b).alias("support"))
+    a, b = F.lit("prices rise every single year here"), F.expr(CLAIMS)
+    return table(spark, d, "part").select("p_partkey", enrich.contradiction(a, b, gate=0.5).alias("score"), enrich.support(a, b, refute=0.2, gate=0.5).alias("support"))
 
 
 @query("extractive_summary")

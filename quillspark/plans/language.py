@@ -32,16 +32,29 @@ def intents(spark, d):
     return table(spark, d, "part").select("p_partkey", query_lang.intent(F.expr(ASKED)).alias("intent"))
 
 
-@query("query_domains", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ['legal', 'cyber'] WHEN 1 THEN ['tech'] ELSE [] END AS domains FROM part")
+DOMAIN_TEXT = "concat(p_name, CASE p_partkey % 8 WHEN 0 THEN ' the Judge saw a Threat' WHEN 1 THEN ' debugging this' WHEN 2 THEN ' case law and a Tree-Sitter' WHEN 3 THEN ' my Daily Note, a D&D dungeon' WHEN 4 THEN ' grandparents logged' WHEN 5 THEN ' COURT of Courts, judge, court' WHEN 6 THEN ' ip address items' ELSE ' none' END)"
+#: The rule once more, for DuckDB: any mark, anywhere, in any case.
+DOMAIN_WORDS = {
+    "legal": "statute|jurisdiction|judge|docket|court|legal|opinion|ruling|citation|bluebook|case law|precedent|plaintiff|defendant|lawsuit|litigation",
+    "tech": "code|function|method|class|api|implementation|tree-sitter|language|import|export|dependency|software|develop|debug|refactor|algorithm",
+    "pkm": "vault|obsidian|wikilink|backlink|frontmatter|alias|tag|daily note|logseq|roam|knowledge base",
+    "genealogy": "family|tree|ancestor|descendant|parent|child|birth|death|marriage|gedcom|genealogy|lineage|grandfather|grandmother|relative",
+    "rpg": "npc|character sheet|stat block|armor class|hit points|dungeon|campaign|adventure|d&d|tabletop|dm|game master|monster|item|rarity",
+    "cyber": "log|cve|vulnerability|attack|tactic|technique|mitre|security|threat|ip address|source ip|firewall|cloudtrail|syslog|incident|breach",
+}
+DOMAINS_SQL = "SELECT p_partkey, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(c, '(?i){w}') THEN '{n}' END" for n, w in DOMAIN_WORDS.items()) + f"], lambda x: x IS NOT NULL) AS domains FROM (SELECT p_partkey, {DOMAIN_TEXT} AS c FROM part)"
+COUNTS_SQL = "SELECT p_partkey, " + ", ".join("(" + " + ".join(f"len(regexp_extract_all(c, '(?i){m}'))" for m in DOMAIN_WORDS[n].split("|")) + f")::INT AS {n}" for n in ("legal", "tech", "rpg", "cyber")) + f" FROM (SELECT p_partkey, {DOMAIN_TEXT} AS c FROM part)"
+
+
+@query("query_domains", DOMAINS_SQL)
 def domains(spark, d):
-    q = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'the Judge saw a Threat' WHEN 1 THEN 'debug this' ELSE 'none of them' END")
-    return table(spark, d, "part").select("p_partkey", query_lang.domains(q).alias("domains"))
+    return table(spark, d, "part").select("p_partkey", query_lang.domains(F.expr(DOMAIN_TEXT)).alias("domains"))
 
 
-@query("domain_scores", "SELECT p_partkey, 1 + p_size % 3 AS legal, 0 AS tech FROM part")
+@query("domain_scores", COUNTS_SQL)
 def scores(spark, d):
-    m = query_lang.domain_scores(F.expr("concat('court', repeat(' judge', p_size % 3))"))
-    return table(spark, d, "part").select("p_partkey", m["legal"].alias("legal"), m["tech"].alias("tech"))
+    m = query_lang.domain_scores(F.expr(DOMAIN_TEXT))
+    return table(spark, d, "part").select("p_partkey", *[m[n].alias(n) for n in ("legal", "tech", "rpg", "cyber")])
 
 
 @query("citations_valid", "SELECT p_partkey, 2 AS cited, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS invalid, 1.0::DOUBLE AS coverage, p_size % 2 <> 0 AS valid FROM part")
