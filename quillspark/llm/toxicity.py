@@ -164,7 +164,7 @@ def _best_path(model: CharModel, slots: list, least: float = -math.inf, beam: in
                 if v >= bar and (s not in after or v > after[s][0]):
                     after[s] = (v, b)
         states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:beam]) if beam else after
-    return max(((v + step(s, "_")[0], b) for s, (v, b) in states.items()), key=lambda x: x[0])
+    return max(((v + step(s, "_")[0], b) for s, (v, b) in states.items()), key=lambda x: x[0], default=(-math.inf, None))
 
 
 def restore(model: CharModel, token: str, spaced: bool = False) -> list[str]:
@@ -172,10 +172,14 @@ def restore(model: CharModel, token: str, spaced: bool = False) -> list[str]:
 
     A mask read as a letter costs MASK_COST - DROP_COST more than one that is dropped, and changes the
     context of at most four later characters, each worth at most -floor: longer readings of a run never pay.
-    A token with masks has many states, so a narrow search gives a first path to leave hopeless ones out by.
+    A token with masks has many states, so a first path is found to leave hopeless ones out by: that without
+    the masks and, where masks stand before other characters, that of a narrow search.
     """
-    slots = lattice(token, spaced, int(4 * model.floor / (MASK_COST - DROP_COST)) + 1)
-    least = _best_path(model, slots, beam=8)[0] if MASK in token else -math.inf
+    slots, least = lattice(token, spaced, int(4 * model.floor / (MASK_COST - DROP_COST)) + 1), -math.inf
+    if MASK in token:
+        least = _best_path(model, [slot if len(slot) <= len(LETTERS) else slot[-1:] for slot in slots])[0]
+    if MASK in token.rstrip(MASK):
+        least = max(least, _best_path(model, slots, least, beam=8)[0])
     back, out = _best_path(model, slots, least)[1], []
     while back is not None:
         back, char = back
