@@ -48,8 +48,9 @@ def by_sentence(docs: DataFrame, most: int = 1000, id_col: str = "doc_id", conte
 
 def by_words(docs: DataFrame, size: int = 200, overlap: int = 20, id_col: str = "doc_id", content: str = "content") -> DataFrame:
     """Windows of `size` words, each beginning size - overlap words after the one before."""
-    w = text.blank_split(F.col(content))
-    runs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size - overlap)), lambda i: (i == 0) | (i + overlap < F.size(w))), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+    step = size - overlap
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step)), lambda i: (i == 0) | (i + overlap < F.size(w)))
+    runs = text.let(text.blank_split(F.col(content)), lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
     return _numbered(docs, F.filter(runs, lambda x: x != ""), id_col)
 
 

@@ -190,9 +190,10 @@ def blended_weights(intent: str, modifiers: tuple[float, float] = (1.0, 1.0)) ->
     return (a / (a + b), b / (a + b)) if a + b > 0 else PROFILES["default"]
 
 
-def hybrid(chunks: DataFrame, query: str, vector_hits: DataFrame, intent: str = "default", top_k: int = 10, fusion: str = "weighted", predicate: Column | None = None, rules: list[tuple[str, int]] = (), source: str = "source_file") -> DataFrame:
-    """Keyword and vector hits (5 * top_k each), fused, boosted by authority of the source, cut to top_k."""
-    lexical = bm25(chunks, query, 5 * top_k, predicate)
+def hybrid(chunks: DataFrame, query: str, vector_hits: DataFrame, intent: str = "default", top_k: int = 10, fusion: str = "weighted", predicate: Column | None = None, rules: list[tuple[str, int]] = (), source: str = "source_file", lexical: DataFrame | None = None) -> DataFrame:
+    """Keyword and vector hits (5 * top_k each), fused, boosted by authority of the source, cut to top_k.
+    lexical: keyword hits from an index; without them the chunks are scanned."""
+    lexical = bm25(chunks, query, 5 * top_k, predicate) if lexical is None else lexical
     fused = fuse_weighted(lexical, vector_hits, blended_weights(intent), 5 * top_k) if fusion == "weighted" else fuse_rrf({"lexical": lexical, "semantic": vector_hits}, top_k=5 * top_k)
     named = fused.join(chunks.select(F.col("doc_id").alias("id"), F.col(source).alias("__source")), "id", "left")
     boosted = named.select("id", F.round(F.col("score") * authority_boost(F.col("__source"), rules=rules), 6).alias("score"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import search
+from quillspark.operators import search, search_index
 from quillspark.schema import chunks, table
+from quillspark.sources import scratch
 
 from .base import query
 
@@ -28,16 +29,39 @@ def _vector(spark, d):
     return table(spark, d, "embeddings").where("vec_id = 7").first()["embedding"]
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def keyword_index(spark, d):
+    """The index of a folder's documents: built by the first search of an application, read by all later ones."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = scratch.scratch(spark, "keyword-index")
+        search_index.build(chunks(spark, d), path, {"library": F.col("library")})
+        _INDEXES[key] = path
+    return search_index.load(spark, _INDEXES[key])
+
+
 @query("search_bm25", f"WITH {BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
 def bm25(spark, d):
-    return search.bm25(chunks(spark, d), Q, 10)
+    return search_index.bm25(keyword_index(spark, d), Q, 10)
 
 
 @query("search_bm25_library", f"WITH {BM25} SELECT id, score FROM bm WHERE lang = 'fr' ORDER BY score DESC, id LIMIT 5")
 def bm25_library(spark, d):
+    return search_index.bm25(keyword_index(spark, d), Q, 5, predicate=F.col("library") == "fr")
+
+
+@query("search_bm25_scan", f"WITH {BM25} SELECT id, score FROM bm WHERE lang = 'fr' ORDER BY score DESC, id LIMIT 5")
+def bm25_scan(spark, d):
     return search.bm25(chunks(spark, d), Q, 5, predicate=F.col("library") == "fr")
 
 
+@query("index_totals", f"WITH {TOK} SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM tok")
+def index_totals(spark, d):
+    return keyword_index(spark, d).totals.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query("index_postings", f"WITH {TOK} SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY 1, 2")
 def postings(spark, d):
     return search.postings(chunks(spark, d))
@@ -62,6 +86,11 @@ TFIDF = """WITH tok AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coal
 
 @query("search_tfidf", TFIDF)
 def tfidf(spark, d):
+    return search_index.tfidf(keyword_index(spark, d), Q, 10)
+
+
+@query("search_tfidf_scan", TFIDF)
+def tfidf_scan(spark, d):
     return search.tfidf(chunks(spark, d), Q, 10)
 
 
@@ -84,7 +113,7 @@ LISTS = f"{BM25}, {VEC}, a AS (SELECT id, score FROM bm ORDER BY score DESC, id
 
 
 def _lists(spark, d, k=50):
-    return search.bm25(chunks(spark, d), Q, k), search.vector_top(table(spark, d, "embeddings"), _vector(spark, d), k)
+    return search_index.bm25(keyword_index(spark, d), Q, k), search.vector_top(table(spark, d, "embeddings"), _vector(spark, d), k)
 
 
 RANKS = "r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, 'lexical' AS source FROM a UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'semantic' FROM b)"
@@ -113,7 +142,7 @@ def weighted(spark, d):
 @query("search_hybrid", f"WITH {LISTS}, {WEIGHTED} SELECT w.id, round(round(0.65::DOUBLE*xs + 0.35::DOUBLE*ys, 6) * (CASE WHEN source IN ('src1','src10','src11','src12','src13','src14','src15','src16','src17','src18','src19') THEN 1.25::DOUBLE WHEN source = 'src2' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM w LEFT JOIN documents ON w.id = doc_id ORDER BY score DESC, id LIMIT 10")
 def hybrid(spark, d):
     hits = search.vector_top(table(spark, d, "embeddings"), _vector(spark, d), 50)
-    return search.hybrid(chunks(spark, d), Q, hits, intent="factual", rules=[("src1*", 1), ("src2$", 5)])
+    return search.hybrid(chunks(spark, d), Q, hits, intent="factual", rules=[("src1*", 1), ("src2$", 5)], lexical=search_index.bm25(keyword_index(spark, d), Q, 50))
 
 
 PROV = "p AS (SELECT id, score, 'a' AS provider FROM a UNION ALL SELECT id, score, 'b' FROM b)"
@@ -151,7 +180,7 @@ def first_hits(spark, d):
   + 0.2::DOUBLE * contains(lower(text), 'ontion ering the')::INT + 0.1::DOUBLE * score, 6) AS score FROM h JOIN documents ON id = doc_id ORDER BY 2 DESC, id LIMIT 10""")
 def rerank(spark, d):
     c = chunks(spark, d)
-    hits = search.bm25(c, Q, 100).join(c.select(F.col("doc_id").alias("id"), "content", F.col("source_file").alias("section_title")), "id")
+    hits = search_index.bm25(keyword_index(spark, d), Q, 100).join(c.select(F.col("doc_id").alias("id"), "content", F.col("source_file").alias("section_title")), "id")
     return search.term_rerank(hits, Q, 10).select("id", "score")
 
 

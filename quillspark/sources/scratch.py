@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a folder of our own only where that is unset."""
+    """A new path below spark.checkpoint.dir; below a folder of our own only where that is unset and the session is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quillspark-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
