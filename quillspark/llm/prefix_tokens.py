@@ -133,14 +133,15 @@ class PrefixCounter:
 
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of at most `budget` tokens, by the stored tables."""
-        return text[: Prefixes(self, text).longest(budget)]
+        return text[: Prefixes(*self.tables(text)).longest(budget)]
 
 
 class Prefixes:
     """The stored counts of one text; answers for any prefix in logarithmic time."""
 
-    def __init__(self, counter: PrefixCounter, text: str):
-        found, self.inner = counter.tables(text)
+    def __init__(self, found: list[str], inner: list):
+        """Of PrefixCounter.tables."""
+        self.inner = inner
         self.starts = [0, *accumulate(map(len, found))]
         self.before = [0, *accumulate(t[-1] for t in self.inner)]
 
@@ -200,8 +201,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     """
 
     def row(text: str) -> tuple[int, int, bool, int]:
-        n = loaded(model).count(text)
-        return len(text.encode()), n, n > limit, Prefixes(loaded(model), text).longest(limit) if n > limit else len(text)
+        found, inner = loaded(model).tables(text)
+        n = sum(t[-1] for t in inner)
+        return len(text.encode()), n, n > limit, Prefixes(found, inner).longest(limit) if n > limit else len(text)
 
     return _mapped(docs, id_col, text_col, row, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 

@@ -19,7 +19,7 @@ def test_every_prefix(library, text):
     counter = prefix_tokens.loaded(PATH)
     want = [len(library.encode(text[:k])) for k in range(len(text) + 1)]
     assert counter.at_prefixes(text) == want
-    stored = prefix_tokens.Prefixes(counter, text)
+    stored = prefix_tokens.Prefixes(*counter.tables(text))
     assert [stored.count(k) for k in range(len(text) + 1)] == want
     assert counter.count(text) == want[-1] == (counter.at_units(text) or [0])[-1]
     for budget in range(4):
