@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by_time(rows: DataFrame, id_col: str, year: str, most: int) -> DataFrame:
-    """Pairs (a < b) at most `most` years apart: each row meets the years of its window, an equi-join instead of a range scan."""
-    r = rows.select(F.col(id_col).alias("id"), F.col(year).alias("y"))
-    left = r.select(F.col("id").alias("a"), F.explode(F.sequence(F.col("y") - most, F.col("y") + most)).alias("y"))
-    return left.join(r.select(F.col("id").alias("b"), "y"), "y").where("a < b").select("a", "b").distinct()
+def by_time(rows: DataFrame, id_col: str, year: str, most: int, within: str) -> DataFrame:
+    """Pairs (a < b) of equal `within` at most `most` years apart: each row meets the years of its window, an equi-join instead
+    of a range scan. `within` (an entity, a library) bounds the result, which is quadratic in the rows of one of its values
+    and a year; rows without id, year or `within` have no links.
+    """
+    r = rows.select(F.col(id_col).alias("id"), F.col(within).alias("w"), F.col(year).alias("y"))
+    left = r.select(F.col("id").alias("a"), "w", F.explode(F.sequence(F.col("y") - most, F.col("y") + most)).alias("y"))
+    return left.join(r.select(F.col("id").alias("b"), "w", "y"), ["w", "y"]).where("a < b").select("a", "b").distinct()
 
 
 def by_entity(mentions: DataFrame, most: int = 5) -> DataFrame:

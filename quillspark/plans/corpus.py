@@ -35,19 +35,15 @@ TOPIC_STOP = "the and for are but not you all can had her was one our out day ge
 
 @query(
     "topic_ngrams",
-    r"""WITH w AS (SELECT regexp_extract_all(lower(text), '\b[a-z]{3,}\b') AS w FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')),
- g AS (SELECT unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i+1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i+2]))) AS t FROM w),
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), o AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+ l AS (SELECT x, lead(x) OVER d AS y, lead(x, 2) OVER d AS z FROM o WHERE regexp_full_match(x, '[a-z]{3,}') WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ g AS (SELECT [x] AS t FROM l UNION ALL SELECT [x, y] FROM l WHERE y IS NOT NULL UNION ALL SELECT [x, y, z] FROM l WHERE z IS NOT NULL),
  t AS (SELECT array_to_string(t, ' ') AS topic FROM g WHERE NOT list_has_any(t, ["""
     + ", ".join(f"'{w}'" for w in TOPIC_STOP)
     + r"""])), c AS (SELECT topic, count(*) AS frequency FROM t WHERE length(topic) >= 4 GROUP BY 1)
  SELECT topic, frequency, round(frequency / (SELECT sum(frequency) FROM c), 9) AS weight FROM c WHERE frequency >= 2 ORDER BY frequency DESC, topic LIMIT 10""",
 )
 def ngrams(spark, d):
-    return analytics.ngram_topics(chunks(spark, d).where(F.col("content").rlike(r"^[\x00-\x7f]*$")), TOPIC_STOP)
-
-
-@query("topic_ngrams_all")
-def ngrams_all(spark, d):
     return analytics.ngram_topics(chunks(spark, d), TOPIC_STOP)
 
 
@@ -64,14 +60,13 @@ SYL = "CASE WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(x
 
 @query(
     "readability",
-    rf"""WITH b AS (SELECT doc_id, length(text) AS chars, regexp_extract_all(lower(text), '[a-z]+') AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+\s*'), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')) AS s FROM documents WHERE regexp_full_match(text, '[\x00-\x2f\x3a-\x5e\x60-\x7f]*')),
+    rf"""WITH b AS (SELECT doc_id, length(text) AS chars, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+')) AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+\s*'), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')) AS s FROM documents),
  n AS (SELECT doc_id, chars, s::DOUBLE AS s, len(w)::DOUBLE AS n, list_sum(list_transform(w, lambda x: {SYL}))::DOUBLE AS y, len(list_filter(w, lambda x: {SYL} >= 3))::DOUBLE AS c FROM b)
  SELECT doc_id, n::INT AS words, round(greatest(0.0, least(100.0, 206.835::DOUBLE - 1.015::DOUBLE * (n / s) - 84.6::DOUBLE * (y / n))), 6) AS flesch_ease, round(greatest(0.0, 0.39::DOUBLE * (n / s) + 11.8::DOUBLE * (y / n) - 15.59::DOUBLE), 6) AS kincaid_grade,
   round(0.4::DOUBLE * (n / s + 100 * (c / n)), 6) AS gunning_fog, round(1.043::DOUBLE * sqrt(c * (30 / s)) + 3.1291::DOUBLE, 6) AS smog FROM n WHERE n > 0 AND s > 0""",
 )
 def readability(spark, d):
-    plain = chunks(spark, d).where(F.col("content").rlike(r"^[\x00-\x2f\x3a-\x5e\x60-\x7f]*$"))
-    return analytics.readability(plain, digits=6).where("words > 0 AND sentences > 0").select("doc_id", "words", "flesch_ease", "kincaid_grade", "gunning_fog", "smog")
+    return analytics.readability(chunks(spark, d), digits=6).where("words > 0 AND sentences > 0").select("doc_id", "words", "flesch_ease", "kincaid_grade", "gunning_fog", "smog")
 
 
 @query("readability_all")
@@ -110,17 +105,11 @@ def keep_first(spark, d):
     return dedup.keep_first(rows, F.col("h"), "doc_id")
 
 
-SHINGLE = f"s AS (SELECT doc_id AS id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) ELSE [n] END) AS items FROM (SELECT doc_id, n, list_filter(string_split(n, ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, {NORM} AS n FROM documents WHERE n_chars < 1500)))"
+SHINGLE = f"s AS (SELECT doc_id AS id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) ELSE [n] END) AS items FROM (SELECT doc_id, n, list_filter(string_split(n, ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, {NORM} AS n FROM documents)))"
 
 
-@query("similar_shingles", f"WITH {SHINGLE}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.items, b.items)) AS i, len(a.items) AS x, len(b.items) AS y FROM s a JOIN s b ON a.id < b.id AND least(len(a.items), len(b.items)) >= 0.8 * greatest(len(a.items), len(b.items))) SELECT a, b, round(i / (x + y - i), 6) AS similarity FROM p WHERE i / (x + y - i) >= 0.8")
+@query("similar_shingles", f"WITH {SHINGLE}, u AS (SELECT id, len(items) AS n, unnest(items) AS item FROM s), p AS (SELECT a.id AS a, b.id AS b, count(*) AS i, a.n AS x, b.n AS y FROM u a JOIN u b ON a.item = b.item AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL) SELECT a, b, round(i / (x + y - i), 6) AS similarity FROM p WHERE i / (x + y - i) >= 0.8")
 def similar_shingles(spark, d):
-    rows = chunks(spark, d).where("char_count < 1500").select(F.col("doc_id").alias("id"), text.shingles(F.col("content")).alias("items"))
-    return dedup.similar_pairs(rows, 0.8).withColumn("similarity", F.round("similarity", 6))
-
-
-@query("similar_shingles_all")
-def similar_shingles_all(spark, d):
     rows = chunks(spark, d).select(F.col("doc_id").alias("id"), text.shingles(F.col("content")).alias("items"))
     return dedup.similar_pairs(rows, 0.8).withColumn("similarity", F.round("similarity", 6))
 
@@ -138,27 +127,22 @@ def similar_vectors(spark, d):
 
 @query(
     "window_matches",
-    f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id < 300), x AS (SELECT doc_id, unnest(range(0, greatest(len(w) - 1, 0) + 1, 25)) AS s, w FROM t),
+    f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents), x AS (SELECT doc_id, unnest(range(0, greatest(len(w) - 1, 0) + 1, 25)) AS s, w FROM t),
  win AS (SELECT doc_id, (s / 25)::INT AS window_no, list_distinct(w[s+1:s+50]) AS w FROM x WHERE len(w[s+1:s+50]) >= 5),
  it AS (SELECT item_id, list_distinct({WORDS}) AS w FROM benchmark),
- j AS (SELECT doc_id, window_no, item_id, len(list_intersect(win.w, it.w)) AS shared, len(win.w) AS n, len(it.w) AS m FROM win, it),
+ j AS (SELECT doc_id, window_no, item_id, count(*) AS shared, n, m FROM (SELECT doc_id, window_no, len(w) AS n, unnest(w) AS x FROM win) JOIN (SELECT item_id, len(w) AS m, unnest(w) AS x FROM it) USING (x) GROUP BY ALL),
  k AS (SELECT doc_id, window_no, item_id, shared, round(shared / (n + m - shared), 6) AS similarity FROM j WHERE shared >= 5)
  SELECT * FROM k WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id, window_no ORDER BY similarity DESC, item_id) <= 3""",
 )
 def window_matches(spark, d):
-    return dedup.window_matches(chunks(spark, d).where("doc_id < 300"), table(spark, d, "benchmark"))
-
-
-@query("window_matches_all")
-def window_matches_all(spark, d):
     return dedup.window_matches(chunks(spark, d), table(spark, d, "benchmark"))
 
 
-MENTIONS = "m AS (SELECT DISTINCT l_orderkey AS chunk, (l_partkey % 50)::VARCHAR AS entity FROM lineitem WHERE l_orderkey <= 4000)"
+MENTIONS = "m AS (SELECT DISTINCT l_orderkey AS chunk, (l_partkey % 50)::VARCHAR AS entity FROM lineitem)"
 
 
-def _mentions(spark, d, which="l_orderkey <= 4000"):
-    return table(spark, d, "lineitem").where(which).select(F.col("l_orderkey").alias("chunk"), (F.col("l_partkey") % 50).cast("string").alias("entity"))
+def _mentions(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), (F.col("l_partkey") % 50).cast("string").alias("entity"))
 
 
 @query("entity_cooccurrence", f"WITH {MENTIONS} SELECT x.entity AS a, y.entity AS b, count(*) AS chunks FROM m x JOIN m y ON x.chunk = y.chunk AND x.entity < y.entity GROUP BY 1, 2")
@@ -166,22 +150,12 @@ def cooccurrence(spark, d):
     return analytics.cooccurrence(_mentions(spark, d))
 
 
-@query("entity_cooccurrence_all")
-def cooccurrence_all(spark, d):
-    return analytics.cooccurrence(_mentions(spark, d, "true"))
-
-
-@query("entity_profiles", "SELECT (l_partkey % 50)::VARCHAR AS entity, count(*) AS mentions, count(DISTINCT l_orderkey) AS documents, count(DISTINCT l_orderkey * 10 + l_linenumber) AS chunks, list_sort(list_distinct(list(l_shipdate::DATE::VARCHAR))) AS variations FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1")
-def profiles(spark, d, which="l_orderkey <= 400"):
-    m = table(spark, d, "lineitem").where(which).select((F.col("l_partkey") % 50).cast("string").alias("entity"), F.col("l_shipdate").cast("date").cast("string").alias("variation"), F.col("l_orderkey").alias("document"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk"))
+@query("entity_profiles", "SELECT (l_partkey % 50)::VARCHAR AS entity, count(*) AS mentions, count(DISTINCT l_orderkey) AS documents, count(DISTINCT l_orderkey * 10 + l_linenumber) AS chunks, list_sort(list_distinct(list(l_shipdate::DATE::VARCHAR))) AS variations FROM lineitem GROUP BY 1")
+def profiles(spark, d):
+    m = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).cast("string").alias("entity"), F.col("l_shipdate").cast("date").cast("string").alias("variation"), F.col("l_orderkey").alias("document"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk"))
     return analytics.entity_profiles(m)
 
 
-@query("entity_profiles_all")
-def profiles_all(spark, d):
-    return profiles(spark, d, "true")
-
-
 @query("entity_cross_domain", "SELECT l_partkey AS entity, count(*) AS n, list_sort(list_distinct(list(l_returnflag))) AS domains FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT l_returnflag) > 1")
 def cross_domain(spark, d):
     return analytics.cross_domain(table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("domain")))

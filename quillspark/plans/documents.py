@@ -178,79 +178,64 @@ def notebooks(spark, d):
     return pages.notebook_cells(table(spark, d, "part").select(F.col("p_partkey").alias("id"), body.alias("body")))
 
 
-@query("gedcom_records", "SELECT c_custkey AS file, 'I1' AS ref, 'INDI' AS kind, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex FROM customer WHERE c_custkey <= 100")
-def gedcom(spark, d, which="c_custkey <= 100"):
+@query("gedcom_records", "SELECT c_custkey AS file, 'I1' AS ref, 'INDI' AS kind, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex FROM customer")
+def gedcom(spark, d):
     body = F.expr("array('0 HEAD', '1 SOUR x', '0 @I1@ INDI', concat('1 NAME ', c_name), concat('1 SEX ', if(c_custkey % 2 = 0, 'F', 'M')), '1 NAME other', '0 TRLR')")
-    lines = table(spark, d, "customer").where(which).select(F.col("c_custkey").alias("file"), F.posexplode(body).alias("line_no", "value"))
+    lines = table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.posexplode(body).alias("line_no", "value"))
     return pages.gedcom_records(lines)
 
 
-@query("gedcom_records_all")
-def gedcom_all(spark, d):
-    return gedcom(spark, d, "true")
+EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey % 100) + 1 AS dst FROM lineitem)"
 
 
-EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey % 100) + 1 AS dst FROM lineitem WHERE l_orderkey <= 600)"
-
-
-def _edges(spark, d, which="l_orderkey <= 600"):
-    return table(spark, d, "lineitem").where(which).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
+def _edges(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
 
 
 @query("graph_degrees", f"WITH {EDGES}, o AS (SELECT src AS node, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n FROM e GROUP BY 1) SELECT coalesce(o.node, i.node) AS node, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM o FULL JOIN i ON o.node = i.node")
-def degrees(spark, d, which="l_orderkey <= 600"):
-    return graph.degrees(_edges(spark, d, which))
+def degrees(spark, d):
+    return graph.degrees(_edges(spark, d))
 
 
 @query("graph_statistics", f"WITH {EDGES}, n AS (SELECT src AS v FROM e UNION ALL SELECT dst FROM e), g AS (SELECT v, count(*) AS k FROM n GROUP BY 1) SELECT count(*) AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 9) AS density, round(avg(k), 6) AS average_degree, max(k) AS largest_degree FROM g")
-def statistics(spark, d, which="l_orderkey <= 600"):
-    return graph.statistics(_edges(spark, d, which))
+def statistics(spark, d):
+    return graph.statistics(_edges(spark, d))
 
 
 @query("graph_neighbors", f"WITH {EDGES} SELECT DISTINCT node FROM (SELECT dst AS node FROM e WHERE src = 5 UNION SELECT src FROM e WHERE dst = 5) WHERE node <> 5")
-def neighbors(spark, d, which="l_orderkey <= 600"):
-    return graph.neighbors(_edges(spark, d, which), 5)
+def neighbors(spark, d):
+    return graph.neighbors(_edges(spark, d), 5)
 
 
-@query("graph_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey // 7 * 7 AS b FROM lineitem WHERE l_orderkey <= 700), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a) SELECT node, min(c) AS component FROM r GROUP BY 1")
-def components(spark, d, which="l_orderkey <= 700"):
-    e = table(spark, d, "lineitem").where(which).select(F.col("l_orderkey").alias("src"), (F.floor(F.col("l_orderkey") / 7) * 7).alias("dst")).distinct()
+@query("graph_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey // 7 * 7 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a) SELECT node, min(c) AS component FROM r GROUP BY 1")
+def components(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.floor(F.col("l_orderkey") / 7) * 7).alias("dst")).distinct()
     return graph.connected(e)
 
 
 @query("graph_pagerank")
-def pagerank(spark, d, which="l_orderkey <= 600"):
-    return graph.pagerank(_edges(spark, d, which), rounds=10).select("node", F.round("rank", 9).alias("rank"))
+def pagerank(spark, d):
+    return graph.pagerank(_edges(spark, d), rounds=10).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query("graph_hits")
-def hits(spark, d, which="l_orderkey <= 600"):
-    return graph.hits(_edges(spark, d, which), 5).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+def hits(spark, d):
+    return graph.hits(_edges(spark, d), 5).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
 @query("graph_paths", f"WITH {EDGES} SELECT [a.src, a.dst] AS path, 1 AS hops FROM e a WHERE a.src = 3 AND a.dst = 40 UNION ALL SELECT [a.src, b.src, b.dst], 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 3 AND b.dst = 40 AND a.dst NOT IN (3, 40) UNION ALL SELECT [a.src, b.src, c.src, c.dst], 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src WHERE a.src = 3 AND c.dst = 40 AND a.dst NOT IN (3, 40) AND b.dst NOT IN (3, 40) AND a.dst <> b.dst")
-def paths(spark, d, which="l_orderkey <= 600"):
-    return graph.paths(_edges(spark, d, which), 3, 40, 3)
+def paths(spark, d):
+    return graph.paths(_edges(spark, d), 3, 40, 3)
 
 
 @query("graph_cycles", f"WITH {EDGES}, f AS (SELECT * FROM e WHERE src <> dst) SELECT [a.src, a.dst] AS path FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT [a.src, b.src, c.src] FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src")
-def cycles(spark, d, which="l_orderkey <= 600"):
-    return graph.cycles(_edges(spark, d, which), 3)
+def cycles(spark, d):
+    return graph.cycles(_edges(spark, d), 3)
 
 
 @query("graph_ego", f"WITH {EDGES}, n1 AS (SELECT 5 AS node UNION SELECT dst FROM e WHERE src = 5 UNION SELECT src FROM e WHERE dst = 5) SELECT src, dst FROM e WHERE src IN (SELECT node FROM n1) AND dst IN (SELECT node FROM n1)")
-def ego(spark, d, which="l_orderkey <= 600"):
-    return graph.ego(_edges(spark, d, which), 5, 1)
-
-
-def _whole(name, f):
-    @query(name)
-    def run(spark, d):
-        return f(spark, d, "true")
-
-
-for _name, _f in {"degrees": degrees, "statistics": statistics, "neighbors": neighbors, "components": components, "pagerank": pagerank, "hits": hits, "paths": paths, "cycles": cycles, "ego": ego}.items():
-    _whole(f"graph_{_name}_all", _f)
+def ego(spark, d):
+    return graph.ego(_edges(spark, d), 5, 1)
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

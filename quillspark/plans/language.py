@@ -63,14 +63,9 @@ def citations(spark, d):
     return table(spark, d, "part").select("p_partkey", *query_lang.citations_valid(answer, F.array(F.lit("a1"), F.lit("b2"))))
 
 
-@query("links_by_time", "WITH y AS (SELECT o_orderkey AS id, year(o_orderdate) AS y FROM orders WHERE o_orderkey % 50 = 0) SELECT a.id AS a, b.id AS b FROM y a JOIN y b ON a.id < b.id AND abs(a.y - b.y) <= 1")
-def by_time(spark, d, which="o_orderkey % 50 = 0"):
-    return links.by_time(table(spark, d, "orders").where(which).withColumn("y", F.year("o_orderdate")), "o_orderkey", "y", 1)
-
-
-@query("links_by_time_all")
-def by_time_all(spark, d):
-    return by_time(spark, d, "true")
+@query("links_by_time", "WITH y AS (SELECT o_orderkey AS id, o_custkey AS c, year(o_orderdate) AS y FROM orders) SELECT a.id AS a, b.id AS b FROM y a JOIN y b ON a.c = b.c AND a.id < b.id AND abs(a.y - b.y) <= 1")
+def by_time(spark, d):
+    return links.by_time(table(spark, d, "orders").withColumn("y", F.year("o_orderdate")), "o_orderkey", "y", 1, within="o_custkey")
 
 
 @query("links_by_entity", "WITH m AS (SELECT DISTINCT l_orderkey AS artifact, l_partkey AS entity FROM lineitem), p AS (SELECT x.artifact AS a, y.artifact AS b, x.entity FROM m x JOIN m y ON x.entity = y.entity AND x.artifact <> y.artifact) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a, entity ORDER BY b) <= 2")
@@ -97,17 +92,12 @@ def merge_metadata(spark, d):
     return table(spark, d, "part").select("p_partkey", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
 
 
-@query("nearest_captions", "WITH b AS (SELECT l_orderkey AS page, l_linenumber AS box, min(l_quantity) AS x, min(l_discount) * 100 AS y FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1, 2), p AS (SELECT b.page, b.box, c.box AS block, sqrt((b.x - c.x) * (b.x - c.x) + (b.y - c.y) * (b.y - c.y)) AS distance FROM b JOIN b c ON b.page = c.page AND c.box <= 2) SELECT page, box, block, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY page, box ORDER BY distance, block) = 1")
-def nearest(spark, d, which="l_orderkey <= 500"):
-    b = table(spark, d, "lineitem").where(which).groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("box")).agg(F.min("l_quantity").alias("x"), (F.min("l_discount") * 100).alias("y"))
+@query("nearest_captions", "WITH b AS (SELECT l_orderkey AS page, l_linenumber AS box, min(l_quantity) AS x, min(l_discount) * 100 AS y FROM lineitem GROUP BY 1, 2), p AS (SELECT b.page, b.box, c.box AS block, sqrt((b.x - c.x) * (b.x - c.x) + (b.y - c.y) * (b.y - c.y)) AS distance FROM b JOIN b c ON b.page = c.page AND c.box <= 2) SELECT page, box, block, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY page, box ORDER BY distance, block) = 1")
+def nearest(spark, d):
+    b = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("box")).agg(F.min("l_quantity").alias("x"), (F.min("l_discount") * 100).alias("y"))
     return links.nearest(b, b.where("box <= 2").withColumnRenamed("box", "block"))
 
 
-@query("nearest_captions_all")
-def nearest_all(spark, d):
-    return nearest(spark, d, "true")
-
-
 @query("export_json_ld", """SELECT p_partkey, '{"@context":"https://schema.org","@type":"Product","identifier":"' || p_partkey || '","p_name":"' || p_name || '"}' AS json FROM part""")
 def json_ld(spark, d):
     return links.json_ld(table(spark, d, "part"), "p_partkey", "Product", ["p_name"])

@@ -185,14 +185,9 @@ def changed(spark, d):
     return tables.changed_files(now, old).select("path", "state")
 
 
-@query("hash_chain", "WITH e AS (SELECT event_id, user_id, sha256(event_type) AS own FROM events WHERE user_id < 50), p AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous FROM e) SELECT event_id, sha256(previous || own) AS link FROM p")
-def hash_chain(spark, d, which="user_id < 50"):
-    return tables.hash_chain(table(spark, d, "events").where(which), "event_id", "event_type", "user_id").select("event_id", "link")
-
-
-@query("hash_chain_all")
-def hash_chain_all(spark, d):
-    return hash_chain(spark, d, "true")
+@query("hash_chain", "WITH e AS (SELECT event_id, user_id, sha256(event_type) AS own FROM events), p AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous FROM e) SELECT event_id, sha256(previous || own) AS link FROM p")
+def hash_chain(spark, d):
+    return tables.hash_chain(table(spark, d, "events"), "event_id", "event_type", "user_id").select("event_id", "link")
 
 
 @query("audit_hashes", "SELECT count(*) AS total, count_if(doc_id % 10 <> 0) AS verified, count_if(doc_id % 10 = 0) AS failed FROM documents")
@@ -302,14 +297,9 @@ def context_budget(spark, d):
     return timeline.budget(rows, "conv_id", [-F.col("turn")], "words", 300, "turn")
 
 
-@query("smoothed_curve", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 3) AS smoothed FROM events WHERE user_id < 100")
-def smoothed(spark, d, which="user_id < 100"):
-    return timeline.smooth(table(spark, d, "events").where(which), "user_id", "event_id", "value").select("event_id", "smoothed")
-
-
-@query("smoothed_curve_all")
-def smoothed_all(spark, d):
-    return smoothed(spark, d, "true")
+@query("smoothed_curve", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 3) AS smoothed FROM events")
+def smoothed(spark, d):
+    return timeline.smooth(table(spark, d, "events"), "user_id", "event_id", "value").select("event_id", "smoothed")
 
 
 @query("durations", "SELECT l_orderkey, l_linenumber, (epoch_ms(l_shipdate) - epoch_ms(o_orderdate))::BIGINT AS ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
