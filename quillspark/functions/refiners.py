@@ -135,3 +135,56 @@ def macros(content: Column) -> Column:
     grams = lambda x: F.regexp_extract(x, r"([0-9]{1,3}(?:\.[0-9])?)", 1).cast("double")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     return F.aggregate(a, empty, lambda m, x: F.map_from_entries(F.array_append(F.filter(F.map_entries(m), lambda e: e["key"] != name(x)), F.struct(name(x).alias("key"), grams(x).alias("value")))))
+
+
+#: Skills by what stands for them.
+SKILLS = {
+    "JS": "Javascript",
+    "TS": "Typescript",
+    "ML": "Machine Learning",
+    "K8s": "Kubernetes",
+    "AWS": "Amazon Web Services",
+    "GCP": "Google Cloud Platform",
+    "Azure": "Microsoft Azure",
+    "React.js": "React",
+    "Node": "Node.js",
+}
+#: Signs of game entities by type, in the order of their standing, and statistics of stat blocks.
+GAME_TYPES = {
+    "NPC": r"(?iU)\b(?:NPC|character|person)\b|\b(?:he|she|they)\s+(?:is|was)\s+a\s+(?:level|lvl)\s+\d+",
+    "Location": r"(?iU)\b(?:Location|Place|City|Town|Village|Dungeon|Room|Area)\b",
+    "Item": r"Magic Item|Rarity:",
+}
+GAME_STATS = {
+    "hp": r"(?iU)\b(?:Hit\s+Points|HP)[:\s]+(\d+)\b",
+    "ac": r"(?iU)\b(?:Armor\s+Class|AC)[:\s]+(\d+)\b",
+    "cr": r"(?iU)\b(?:Challenge\s+Rating|CR)[:\s]+(\d+(?:/\d+)?)\b",
+}
+
+
+def skills(found: Column) -> Column:
+    """Skills under their full names, distinct and in order."""
+    full = F.create_map(*[F.lit(x) for pair in SKILLS.items() for x in pair])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.coalesce(F.element_at(full, s), s))))
+
+
+def front_matter_list(listed: Column, single: Column, separator: str) -> Column:
+    """Entries of a list, else of a text cut at the separators (a pattern), without outer blanks; empty where both are missing."""
+    entry = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    cut = F.filter(F.transform(F.split(single, separator), entry), lambda x: x != "")
+    return F.coalesce(listed, cut, F.array().cast("array<string>"))
+
+
+def note_tags(listed: Column, single: Column) -> Column:
+    """Tags of a note's front matter without leading #."""
+    return F.transform(front_matter_list(listed, single, r"[,\s]+"), lambda t: F.regexp_replace(t, "^#+", ""))
+
+
+def game_type(content: Column) -> Column:
+    return F.coalesce(*[F.when(content.rlike(p), F.lit(name)) for name, p in GAME_TYPES.items()])
+
+
+def game_stats(content: Column) -> list[Column]:
+    """Hit points and armour class as numbers, the challenge rating as text; null where missing."""
+    first = {n: F.nullif(F.regexp_extract(content, p, 1), F.lit("")) for n, p in GAME_STATS.items()}
+    return [first["hp"].try_cast("long").alias("hp"), first["ac"].try_cast("long").alias("ac"), first["cr"].alias("cr")]

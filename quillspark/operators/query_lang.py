@@ -107,3 +107,45 @@ def citations_valid(answer: Column, known: Column) -> list[Column]:
     many = F.size(F.filter(F.split(answer, r"[.!?]+"), lambda s: F.length(F.trim(s)) > 10))
     coverage = F.when(many > 0, F.round(F.least(F.lit(1.0), F.size(cited) / many), 2)).otherwise(0.0)
     return [F.size(cited).alias("cited"), F.size(invalid).alias("invalid"), coverage.alias("coverage"), ((F.size(invalid) == 0) & (good > 0) & (coverage >= 0.5)).alias("valid")]
+
+
+#: Terms and what stands in for them, the first that occurs holds.
+SYNONYMS = {
+    "requirements": "prerequisites",
+    "process": "procedure",
+    "how to": "how do I",
+    "maximum": "max",
+    "minimum": "min",
+    "obtain": "get",
+    "submit": "send",
+    "document": "documentation",
+    "eligible": "qualify",
+    "deadline": "due date",
+}
+#: Acronyms, the first that occurs holds.
+ACRONYMS = {
+    "FAQ": "frequently asked questions",
+    "ETA": "estimated time of arrival",
+    "ASAP": "as soon as possible",
+    "TBD": "to be determined",
+    "N/A": "not applicable",
+    "FYI": "for your information",
+}
+#: Openings of a query by its type and the wordings that replace them.
+WORDINGS = {
+    "procedural": {"how to ": ["steps to {}", "process for {}"], "how do i ": ["how to {}", "steps to {}"]},
+    "factual": {"what is ": ["define {}", "{} definition"], "what are ": ["list of {}"]},
+    "conceptual": {"explain ": ["what is {}", "{} overview"]},
+}
+
+
+def expand(query: str, kind: str | None = None, most: int = 3) -> list[str]:
+    """Other wordings of a query, each once, at most `most`: a synonym, an acronym in full, then those of its type."""
+    low = query.lower()
+    synonym = next((low.replace(t, s) for t, s in SYNONYMS.items() if t in low), low)
+    acronym = next((re.sub(p, full, query, flags=re.IGNORECASE) for a, full in ACRONYMS.items() if re.search(p := rf"\b{re.escape(a)}\b", query, re.IGNORECASE)), query)
+    base, mark = low.strip().rstrip("?"), "?" if query.endswith("?") else ""
+    opening = next((o for o in WORDINGS.get(kind, {}) if base.startswith(o)), None)
+    worded = [w.format(base[len(opening) :]) + mark for w in WORDINGS[kind][opening]] if opening else []
+    found = [synonym] * (synonym != query) + [acronym] * (acronym != query) + worded
+    return [q for q in dict.fromkeys(found) if q != low][:most]

@@ -241,3 +241,20 @@ def minimum_span(content: Column, terms: list[str]) -> Column:
         return texts.map(one)
 
     return span(content)
+
+
+def multi_vector(content_hits: DataFrame, question_hits: DataFrame, parents: DataFrame, top_k: int = 10, weights: tuple[float, float] = (1.0, 0.8), k: int = 60) -> DataFrame:
+    """Fusion by ranks of hits (id, score) on contents and on the questions made for them: parents (question, id) names each
+    question's chunk, every question of a chunk adds weight / (k + rank); questions without a chunk keep their rank and add nothing.
+    """
+    every = ranked({"content": content_hits, "question": question_hits})
+    content = every.where("source = 'content'").select("id", (weights[0] / (k + F.col("rank"))).alias("part"))
+    asked = every.where("source = 'question'").select(F.col("id").alias("question"), (weights[1] / (k + F.col("rank"))).alias("part")).join(parents, "question").where("id IS NOT NULL")
+    return top(content.unionByName(asked.select("id", "part")).groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")), top_k)
+
+
+def expanded(find, queries: list[str], top_k: int = 10) -> DataFrame:
+    """Hits of the query and its first two expansions (find: query and number -> id, score), twice top_k of each, every id once by its
+    first list."""
+    lists = {f"{i}": find(q, 2 * top_k) for i, q in enumerate(queries[:3])}
+    return first_hits(lists).select("id", "score", F.col("source").cast("int").alias("list"))

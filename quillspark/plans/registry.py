@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, documents, enrichment, language, records, retrieval
+from . import corpus, curation, documents, enrichment, language, records, retrieval
 from .base import ORACLES, QUERIES
 
-MODULES = (corpus, documents, enrichment, language, records, retrieval)
+MODULES = (corpus, curation, documents, enrichment, language, records, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
