@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinct_bpe, embedding_dedup, exact_dedup, gru_lm, minhash_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
+from . import distinct_bpe, embedding_dedup, exact_dedup, fill_in_middle, gru_lm, minhash_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,31 @@ LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY 1) k ON e.vec_id = k.a
 """
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"), seed=42, percent=50, spm_percent=80)
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         sha256('42:' || doc_id) AS h
+  FROM documents),
+n AS (
+  SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+c AS (
+  SELECT *, array_to_string(w[1:least(x, y)], '') AS p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(w[greatest(x, y) + 1:], '') AS s
+  FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -119,8 +144,9 @@ def queries() -> dict:
         "op8_distinct_bpe": op8_distinct_bpe,
         "op9_gru_lm": op9_gru_lm,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op10_embedding_dedup": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
