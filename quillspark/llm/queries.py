@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinct_bpe, embedding_dedup, exact_dedup, fill_in_middle, gru_lm, minhash_dedup, packing, prefix_tokens, token_files, toxicity, url_filter
+from . import distinct_bpe, embedding_dedup, exact_dedup, fill_in_middle, gru_lm, minhash_dedup, packing, prefix_tokens, source_divergence, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +132,39 @@ FROM c
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"), min_docs=30, alpha=5, scale=1_000_000_000, top=50)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (n.n + 5 * v.v) AS p
+  FROM n JOIN k ON n.lang = k.lang JOIN v ON v.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM (SELECT lang, term, sum(c.c) AS c FROM c GROUP BY 1, 2) JOIN v USING (lang)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.f, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -145,8 +178,9 @@ def queries() -> dict:
         "op9_gru_lm": op9_gru_lm,
         "op10_embedding_dedup": op10_embedding_dedup,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op10_embedding_dedup": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op10_embedding_dedup": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_source_divergence": OP13_SQL}
