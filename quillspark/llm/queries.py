@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinct_bpe, embedding_dedup, exact_dedup, fill_in_middle, gru_lm, minhash_dedup, packing, prefix_tokens, source_divergence, token_files, toxicity, url_filter
+from . import distinct_bpe, embedding_dedup, exact_dedup, fill_in_middle, gru_lm, hilbert_shards, minhash_dedup, packing, prefix_tokens, source_divergence, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,10 @@ LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY 1) k ON e.vec_id = k.a
 """
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.assign(_table(spark, sf_dir, "documents"), shards=24, law="rows", dims=("lang", "source", "size"), bits=8)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(_table(spark, sf_dir, "documents"), seed=42, percent=50, spm_percent=80)
 
@@ -177,6 +181,7 @@ def queries() -> dict:
         "op8_distinct_bpe": op8_distinct_bpe,
         "op9_gru_lm": op9_gru_lm,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_hilbert_shards": op11_hilbert_shards,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_source_divergence": op13_source_divergence,
     }
