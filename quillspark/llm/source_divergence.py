@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -96,33 +97,42 @@ def kept_terms(chunks: DataFrame, min_docs: int = 30) -> DataFrame:
 
 
 def occurrences(chunks: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n): how often each kept term stands in the texts of a source; only n > 0."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+    """(lang, source, term, n): how often each kept term stands in the texts of a source; only n > 0.
+
+    A chunk gives one row for each term, with its counts by source, so names of languages and terms cross the
+    exchange once for a chunk; the sums by source need no other exchange.
+    """
+    entry = pa.struct([("source", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("entries", pa.list_(entry))])
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         import ahocorasick
 
-        out = {"lang": [], "source": [], "term": [], "n": []}
         terms = right.column("term").to_pylist()
-        if terms:
-            automaton = ahocorasick.Automaton()
-            for term in terms:
-                automaton.add_word(f" {term} ", term)
-            automaton.make_automaton()
-            for row in left.to_pylist():
-                texts, start = stretch(row["texts"]), 0
-                for source, size in zip(row["sources"], row["sizes"], strict=True):
-                    found = Counter(term for _, term in automaton.iter(f" {texts[start : start + size].decode()} "))
-                    start += size
-                    out["lang"] += [row["lang"]] * len(found)
-                    out["source"] += [source] * len(found)
-                    out["term"] += found.keys()
-                    out["n"] += found.values()
-        return pa.table(out, schema)
+        if not terms:
+            return schema.empty_table()
+        automaton = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            automaton.add_word(f" {term} ", i)
+        automaton.make_automaton()
+        (row,) = left.to_pylist()
+        texts, start, found = stretch(row["texts"]), 0, []
+        for k, size in enumerate(row["sizes"]):
+            text = f" {texts[start : start + size].decode()} "
+            start += size
+            which, many = np.unique(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), return_counts=True)
+            found.append(np.stack([which, np.full(len(which), k), many]))
+        which, source, many = np.concatenate(found, axis=1)
+        order = np.argsort(which, kind="stable")
+        term, ends = np.unique(which[order], return_index=True)
+        entries = pa.StructArray.from_arrays([pa.array(row["sources"], pa.string()).take(pa.array(source[order])), pa.array(many[order])], fields=list(entry))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(ends, len(order)), pa.int32()), entries)
+        return pa.table([pa.array([row["lang"]] * len(term), pa.string()), pa.array(terms, pa.string()).take(pa.array(term)), lists], schema=schema)
 
     texts = chunks.select("chunk", "lang", "sources", "sizes", "texts")
-    found = texts.groupBy("chunk").cogroup(kept.select("chunk", "term").groupBy("chunk")).applyInArrow(scan, "lang string, source string, term string, n long")
-    return workspace.staged(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "divergence-counts")
+    found = texts.groupBy("chunk").cogroup(kept.select("chunk", "term").groupBy("chunk")).applyInArrow(scan, "lang string, term string, entries array<struct<source: string, n: bigint>>")
+    each = found.repartition("lang", "term").select("lang", "term", F.explode("entries").alias("e")).select("lang", "term", "e.source", "e.n")
+    return workspace.staged(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "divergence-counts")
 
 
 def smoothed(n: Column, total: Column, terms: Column, alpha: int = 5, scale: int = 1_000_000_000) -> Column:
