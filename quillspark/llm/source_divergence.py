@@ -90,10 +90,13 @@ def chunked(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
 
 
 def kept_terms(chunks: DataFrame, min_docs: int = 30) -> DataFrame:
-    """(chunk, lang, term) for each chunk and each of its terms that min_docs documents of the language hold."""
-    terms = workspace.staged(chunks.select("chunk", "lang", F.explode(F.arrays_zip("terms", "doc_counts")).alias("t")).select("chunk", "lang", "t.terms", "t.doc_counts").toDF("chunk", "lang", "term", "docs"), "divergence-terms")
-    kept = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
-    return terms.join(kept, ["lang", "term"]).select("chunk", "lang", "term")
+    """(chunk, lang, term) for each chunk and each of its terms that min_docs documents of the language hold.
+
+    One exchange by term counts and answers: a term has at most one row for each chunk, so none is hot.
+    """
+    terms = chunks.select("chunk", "lang", F.explode(F.arrays_zip("terms", "doc_counts")).alias("t")).select("chunk", "lang", F.col("t.terms").alias("term"), F.col("t.doc_counts").alias("docs"))
+    total = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    return terms.withColumn("total", total).where(F.col("total") >= min_docs).select("chunk", "lang", "term")
 
 
 def occurrences(chunks: DataFrame, kept: DataFrame) -> DataFrame:
