@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import analytics, dedup
+from quillspark.operators import analytics, dedup, resolve
 from quillspark.schema import chunks, table
 
 from .base import query
@@ -169,9 +169,12 @@ def cross_document(spark, d):
 
 @query("fuzzy_names", "WITH n AS (SELECT n_name, array_to_string(list_sort(list_filter(string_split(lower(n_name), ' '), lambda x: x <> '')), ' ') AS k FROM nation), p AS (SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k)), 6) AS ratio FROM n a JOIN n b ON a.n_name < b.n_name) SELECT * FROM p WHERE ratio >= 0.4")
 def fuzzy(spark, d):
-    n = table(spark, d, "nation").select("n_name")
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, F.col("a.n_name") < F.col("b.n_name")).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.round(text.fuzzy_ratio(F.col("a.n_name"), F.col("b.n_name")), 6).alias("ratio")).where("ratio >= 0.4")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.lit("nation").alias("kind"), text.token_sort(F.col("n_name")).alias("key"), "n_name")
+    pairs = resolve.similar_keys(n, 0.4)
+    for end in ("a", "b"):
+        pairs = pairs.join(n.select(F.col("node").alias(end), F.col("n_name").alias(f"name_{end}")), end)
+    names = F.sort_array(F.array("name_a", "name_b"))
+    return pairs.select(names[0].alias("a"), names[1].alias("b"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("keyword_counts", f"WITH t AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE length(term) > 3 GROUP BY 1, 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) <= 5")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import terms
+from quillspark.operators import resolve, terms
 from quillspark.schema import chunks, table
 from quillspark.sources import html_tables
 
@@ -81,3 +81,15 @@ def html_table_records(spark, d):
 def page_tables(spark, d):
     """Every table of every page as it stands."""
     return html_tables.table_cells(table(spark, d, "pages"))
+
+
+def mentions(spark, d):
+    """Runs of capitalised words of all documents, the kind being the language: place, kind, name, confidence (by length)."""
+    found = F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]{3,}(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
+    rows = chunks(spark, d).select("doc_id", F.col("library").alias("kind"), F.posexplode(found).alias("no", "name"))
+    return rows.select("doc_id", (F.col("doc_id") * (1 << 24) + F.col("no")).alias("place"), "kind", "name", F.least(F.lit(1.0), F.length("name") / 20).alias("confidence"))
+
+
+@query("entity_clusters")
+def entity_clusters(spark, d):
+    return resolve.clusters(resolve.resolve(mentions(spark, d), 0.85))
