@@ -1,10 +1,11 @@
-"""Queries: domain terms, tables of pages."""
+"""Queries: domain terms, tables of pages, resolved entities, crawls, dependencies, overlaps on pages."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import resolve, terms
+from quillspark.operators import crawl, dependencies, layout, resolve, terms
 from quillspark.schema import chunks, table
 from quillspark.sources import html_tables
 
@@ -93,3 +94,132 @@ def mentions(spark, d):
 @query("entity_clusters")
 def entity_clusters(spark, d):
     return resolve.clusters(resolve.resolve(mentions(spark, d), 0.85))
+
+
+@query("crawl_pages")
+def crawl_pages(spark, d):
+    """A crawl from every page of the table, two links deep."""
+    pages = table(spark, d, "pages")
+    return crawl.crawl(pages, pages.select(F.col("url").alias("start")), max_depth=2)
+
+
+def part_site(spark, d):
+    """A site with a page for each part and each supplier, which link each other as the lines of orders do."""
+    lines = table(spark, d, "lineitem")
+    page = lambda own, other: lines.groupBy(F.col(f"l_{own}key").alias("k")).agg(F.sort_array(F.collect_set(f"l_{other}key")).alias("to"))
+    link = lambda before, after: F.array_join(F.transform("to", lambda x: F.concat(F.lit(f'<a href="{before}'), x.cast("string"), F.lit(f'{after}">'))), "\n")
+    parts = page("part", "supp").select(F.concat(F.lit("http://shop.example/part/"), "k").alias("url"), link("../supplier/", "/?from=part").alias("html"))
+    suppliers = page("supp", "part").select(F.concat(F.lit("http://shop.example/supplier/"), "k", F.lit("/")).alias("url"), link("/part/", "#top").alias("html"))
+    return parts.unionByName(suppliers).withColumn("page_id", F.xxhash64("url"))
+
+
+@query(
+    "crawl_site",
+    """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'part/' || l_partkey AS a, 'supplier/' || l_suppkey AS b FROM lineitem
+  UNION SELECT DISTINCT 'supplier/' || l_suppkey, 'part/' || l_partkey FROM lineitem),
+r AS (SELECT 'supplier/0' AS node, 0 AS depth UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3)
+SELECT node, min(depth)::INTEGER AS depth, 'success' AS status, (SELECT count(*) FROM e WHERE e.a = node)::INTEGER AS links_found FROM r GROUP BY 1""",
+)
+def crawl_site(spark, d):
+    start = table(spark, d, "supplier").where("s_suppkey = 0").select(F.lit("http://shop.example/supplier/0").alias("start"))
+    found = crawl.crawl(part_site(spark, d), start, max_depth=3, max_pages=None)
+    return found.select(F.regexp_extract("url", r"example/([a-z]+/[0-9]+)", 1).alias("node"), "depth", "status", "links_found")
+
+
+@query("build_layers", "SELECT p_partkey::VARCHAR AS node, CASE WHEN p_partkey = 0 THEN 0 ELSE floor(log2(p_partkey))::INTEGER + 1 END AS layer, NULL::VARCHAR AS cycle FROM part")
+def build_layers(spark, d):
+    """Parts that need the parts with half and a third of their numbers."""
+    parts = table(spark, d, "part").select("p_partkey")
+    edges = parts.select(F.col("p_partkey").alias("node"), F.explode(F.array(F.expr("p_partkey div 2"), F.expr("p_partkey div 3"))).alias("dep"))
+    return dependencies.build_order(parts.select(F.col("p_partkey").alias("node")), edges)
+
+
+@query("build_order")
+def build_order(spark, d):
+    """Parts that need one a little before them, and some that are needed by it too: long ways with cycles."""
+    parts = table(spark, d, "part").withColumn("dep", F.col("p_partkey") - F.col("p_size") % 7 - 1)
+    edges = parts.select(F.col("p_partkey").alias("node"), "dep").union(parts.where("p_size = 49").select("dep", "p_partkey"))
+    return dependencies.build_order(parts.select(F.col("p_partkey").alias("node")), edges)
+
+
+@query(
+    "import_links",
+    """
+WITH f AS (SELECT doc_id, source || '.' || lang || '.doc' || doc_id AS module, source || '.' || lang AS folder FROM documents)
+SELECT a.doc_id AS source, b.doc_id AS target, b.module AS import_name, false AS is_relative FROM f a JOIN f b ON b.doc_id = a.doc_id // 2 AND a.doc_id <> b.doc_id
+UNION ALL SELECT a.doc_id, b.doc_id, '.doc' || b.doc_id, true FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 AND a.folder = b.folder""",
+)
+def import_links(spark, d):
+    """Documents as source files that import the one of half their number, and the next if it is in their folder."""
+    docs = table(spark, d, "documents")
+    files = docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang", F.concat(F.lit("doc"), "doc_id", F.lit(".py"))).alias("path"), F.col("doc_id").alias("place"))
+    half = docs.select(F.col("doc_id").alias("other"), F.concat_ws(".", "source", "lang", F.concat(F.lit("doc"), "doc_id")).alias("name"))
+    absolute = docs.select(F.col("doc_id").alias("id"), F.expr("doc_id div 2").alias("other")).join(half, "other").select("id", "name")
+    relative = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit(".doc"), (F.col("doc_id") + 1).cast("string")).alias("name"))
+    return dependencies.resolved_imports(files, absolute.unionByName(relative))
+
+
+BOXES = """SELECT user_id AS page, event_id AS id, event_id * 7919 % 1200 AS x1, event_id * 104729 % 1600 AS y1, event_id * 7919 % 1200 + 20 + floor(value)::BIGINT % 200 AS x2, event_id * 104729 % 1600 + 10 + event_id % 40 AS y2 FROM events"""
+
+
+def _boxes(spark, d):
+    x1, y1 = F.col("event_id") * 7919 % 1200, F.col("event_id") * 104729 % 1600
+    return table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("id"), x1.alias("x1"), y1.alias("y1"), (x1 + 20 + F.floor("value") % 200).alias("x2"), (y1 + 10 + F.col("event_id") % 40).alias("y2"))
+
+
+@query("box_overlaps", f"WITH b AS ({BOXES}) SELECT a.page, a.id AS a, b.id AS b, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM b a JOIN b ON a.page = b.page AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2")
+def box_overlaps(spark, d):
+    boxes = _boxes(spark, d)
+    return layout.overlapping_boxes(boxes, boxes).where("a < b")
+
+
+@query("page_extents", f"WITH b AS ({BOXES}) SELECT page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n FROM b GROUP BY 1")
+def page_extents(spark, d):
+    return layout.enclosing_boxes(_boxes(spark, d), ["page"])
+
+
+@query(
+    "lines_of_windows",
+    r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, length(text) AS n FROM documents),
+p AS (SELECT doc_id, no, n, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) - length(line) - 1 AS low FROM l),
+w AS (SELECT doc_id, unnest(range(0, length(text), 500)) AS start FROM documents)
+SELECT p.doc_id, (w.start // 500)::BIGINT AS window_no, p.no::INTEGER AS line_no, greatest(p.low, w.start)::BIGINT AS low, least(p.low + length(p.line), w.start + 500)::BIGINT AS high
+FROM p JOIN w ON p.doc_id = w.doc_id AND p.low < w.start + 500 AND p.low + length(p.line) > w.start""",
+)
+def lines_of_windows(spark, d):
+    """Which lines of every document stand in which of its windows of 500 characters."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("id", "line"))
+    end = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("id")) - 1
+    lines = lines.select("doc_id", "id", (end - F.length("line")).alias("low"), end.alias("high"))
+    starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(500)))
+    windows = docs.select("doc_id", F.explode(starts).alias("low")).select("doc_id", F.expr("low div 500").alias("id"), F.col("low").cast("long").alias("low"), (F.col("low") + 500).alias("high"))
+    return layout.overlapping(lines, windows, "doc_id").select("doc_id", F.col("b").alias("window_no"), F.col("a").alias("line_no"), "low", "high")
+
+
+@query("elements_in_ranges")
+def elements_in_ranges(spark, d):
+    """Words of every document, looked for in their order, that stand in its windows of 2000 characters."""
+    docs = table(spark, d, "documents")
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("no", "text")).withColumn("id", F.col("no"))
+    starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(2000)))
+    windows = docs.select("doc_id", F.explode(starts).alias("low")).select("doc_id", F.expr("low div 2000").alias("id"), F.col("low").cast("long").alias("low"), (F.col("low") + 2000).alias("high"))
+    found = layout.elements_in_ranges(words, docs, windows, "doc_id")
+    return found.groupBy("doc_id", "range").agg(F.count(F.lit(1)).alias("n"), F.min("element").alias("first"), F.max("element").alias("last"))
+
+
+@query(
+    "linked_regions",
+    """
+WITH b AS (SELECT event_id, event_type || ' ' || (user_id % 5) AS label FROM events),
+n AS (SELECT part.p_partkey AS entity, unnest([p_type, 'CLICK ' || p_size, 'Error ' || (p_size + 1)]) AS name FROM part)
+SELECT b.event_id, b.label, min(n.entity) AS entity FROM b JOIN n ON lower(b.label) = lower(n.name) GROUP BY 1, 2""",
+)
+def linked_regions(spark, d):
+    boxes = table(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id") % 5).alias("label"))
+    size = F.col("p_size")
+    entities = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_partkey").alias("place"), F.col("p_type").alias("label"), F.array(F.concat_ws(" ", F.lit("CLICK"), size), F.concat_ws(" ", F.lit("Error"), size + 1)).alias("variations"))
+    return layout.linked_boxes(boxes, entities)
