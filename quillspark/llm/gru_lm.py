@@ -379,29 +379,49 @@ def training_rows(data: DataFrame) -> DataFrame:
     return workspace.staged(made, "lm-training", by="sixteenth")
 
 
-def in_lanes(docs: list[np.ndarray], lanes: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and targets [time, lane] and the lanes' lengths, longest first. Documents go whole, the longest
-    first, each to the emptiest lane; within a lane their order is pseudo-random."""
-    filled = [(0, k) for k in range(lanes)]
-    mine: list[list[int]] = [[] for _ in range(lanes)]
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        n, k = filled[0]
-        mine[k].append(i)
-        heapq.heapreplace(filled, (n + len(docs[i]), k))
-    rng = np.random.default_rng(seed)
-    order = [rng.permutation(m) for m in mine]
-    sizes = np.array([sum(len(docs[i]) for i in m) for m in mine])
-    by_size = np.argsort(-sizes, kind="stable")
-    inputs, targets = (np.full((int(sizes.max(initial=0)), lanes), END, np.int64) for _ in range(2))
-    for column, k in enumerate(by_size.tolist()):
-        at = 0
-        for i in order[k].tolist():
-            d = docs[i]
-            targets[at : at + len(d), column] = d
-            inputs[at, column] = BEFORE
-            inputs[at + 1 : at + len(d), column] = d[:-1]
-            at += len(d)
-    return inputs, targets, sizes[by_size]
+class Lanes:
+    """Documents dealt to lanes, longest lane first, of which windows are cut one after another.
+
+    Documents go whole, the longest first, each to the emptiest lane; within a lane their order is pseudo-random. A lane
+    keeps its symbols in two bytes each, as targets and, one later, as inputs; only a window is ever laid out as a rectangle,
+    so one very long document beside many short ones takes no more memory than its symbols.
+    """
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, seed: int):
+        filled = [(0, k) for k in range(lanes)]
+        mine: list[list[int]] = [[] for _ in range(lanes)]
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            n, k = filled[0]
+            mine[k].append(i)
+            heapq.heapreplace(filled, (n + len(docs[i]), k))
+        rng = np.random.default_rng(seed)
+        order = [rng.permutation(m) for m in mine]
+        sizes = np.array([sum(len(docs[i]) for i in m) for m in mine])
+        by_size = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[by_size]
+        self.targets, self.inputs = [], []
+        for k in by_size.tolist():
+            parts = [np.asarray(docs[i], np.uint16) for i in order[k].tolist()]
+            targets = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+            inputs = np.roll(targets, 1)
+            inputs[np.cumsum([0, *(len(p) for p in parts)])[:-1]] = BEFORE
+            self.targets.append(targets)
+            self.inputs.append(inputs)
+
+    def __len__(self) -> int:
+        return int(self.sizes.max(initial=0))
+
+    def window(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets and what of them is there, [time, lane], of the lanes that reach beyond start."""
+        many = int((self.sizes > start).sum())
+        made = []
+        for rows in (self.inputs, self.targets):
+            out = np.full((many, stop - start), END, np.int64)
+            for k in range(many):
+                part = rows[k][start:stop]
+                out[k, : len(part)] = part
+            made.append(np.ascontiguousarray(out.T))
+        return (*made, np.arange(start, stop)[:, None] < self.sizes[:many])
 
 
 def train_shard(net: Gru, docs: list[np.ndarray], rate: float) -> int:
@@ -409,18 +429,18 @@ def train_shard(net: Gru, docs: list[np.ndarray], rate: float) -> int:
     lanes are left; returns the number of tokens."""
     total = sum(map(len, docs))
     lanes = min(LANES, max(8, total >> 13), max(len(docs), 1))
-    inputs, targets, sizes = in_lanes(docs, lanes, total)
+    dealt = Lanes(docs, lanes, total)
     state: dict = {}
     held: dict | None = None
     steps = waiting = 0
     h = np.zeros((lanes, HIDDEN), np.float32)
-    for t in range(0, len(inputs), WINDOW):
-        many, stop = int((sizes > t).sum()), min(t + WINDOW, len(inputs))
-        live = np.arange(t, stop)[:, None] < sizes[:many]
-        grads, h = net.window(inputs[t:stop, :many], targets[t:stop, :many], live, h[:many])
+    for t in range(0, len(dealt), WINDOW):
+        stop = min(t + WINDOW, len(dealt))
+        inputs, targets, live = dealt.window(t, stop)
+        grads, h = net.window(inputs, targets, live, h[: inputs.shape[1]])
         waiting += int(live.sum())
         held = grads if held is None else {k: held[k] + g for k, g in grads.items()}
-        if waiting * 4 < lanes * WINDOW and stop < len(inputs):
+        if waiting * 4 < lanes * WINDOW and stop < len(dealt):
             continue
         steps += 1
         fix = math.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)

@@ -106,20 +106,50 @@ def test_training_carries_the_state_through_long_documents():
     """Windows over lanes of several documents give the gradients of whole documents from a zero state."""
     rng = np.random.default_rng(6)
     docs = [rng.integers(128, 400, n).astype("<u2") for n in (50, 7, 1, 33, 20)]
-    inputs, targets, sizes = gru_lm.in_lanes(docs, 2, 0)
-    assert sizes.sum() == 111 and (inputs == gru_lm.BEFORE).sum() == 5
+    lanes = gru_lm.Lanes(docs, 2, 0)
+    assert lanes.sizes.sum() == 111 and sum((x == gru_lm.BEFORE).sum() for x in lanes.inputs) == 5
     net, h, seen = gru_lm.Gru(2), np.zeros((2, gru_lm.HIDDEN), np.float32), []
-    for t in range(0, len(inputs), gru_lm.WINDOW):
-        stop = min(t + gru_lm.WINDOW, len(inputs))
-        live = np.arange(t, stop)[:, None] < sizes
-        for s in range(t, stop):
+    for t in range(0, len(lanes), gru_lm.WINDOW):
+        inputs, targets, live = lanes.window(t, min(t + gru_lm.WINDOW, len(lanes)))
+        h = h[: inputs.shape[1]]
+        for s in range(len(inputs)):
             h = np.where((inputs[s] == gru_lm.BEFORE)[:, None], 0, h)
             h = net.step(inputs[s], h)[0]
-            seen += [float(x) for x in net.log_targets(h, targets[s])[live[s - t]]]
+            seen += [float(x) for x in net.log_targets(h, targets[s])[live[s]]]
     whole = gru_lm.document_scores(net, np.concatenate(docs), [len(d) for d in docs])
     assert sum(seen) == pytest.approx(whole.sum(), rel=1e-4)
 
 
+def test_windows_hold_every_symbol_once():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(1, 60_000, n).astype("<u2") for n in (130, 1, 1, 64, 65, 5, 200, 3)]
+    for lanes in (1, 3, 8):
+        dealt = gru_lm.Lanes(docs, lanes, 5)
+        columns = [[] for _ in range(lanes)]
+        for t in range(0, len(dealt), 64):
+            inputs, targets, live = dealt.window(t, min(t + 64, len(dealt)))
+            assert inputs.shape == targets.shape == live.shape and (inputs[~live] == gru_lm.END).all()
+            for k in range(inputs.shape[1]):
+                columns[k] += list(zip(inputs[live[:, k], k].tolist(), targets[live[:, k], k].tolist(), strict=True))
+        whole = [d for c in columns for d in "".join("|" if i == gru_lm.BEFORE else chr(i) for i, _ in c).split("|")[1:]]
+        assert sorted(whole) == sorted("".join(map(chr, d[:-1].tolist())) for d in docs)
+        assert sorted(t for c in columns for _, t in c) == sorted(np.concatenate(docs).tolist())
+
+
+def test_a_very_long_text_takes_little_memory():
+    """A text of a million words beside 300 short ones: what is laid out stays near the size of the symbols."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 1000, n).astype("<u2") for n in [1_000_000, *[4_000] * 300]]
+    tracemalloc.start()
+    lanes = gru_lm.Lanes(docs, 244, 7)
+    seen = sum(int(lanes.window(t, min(t + gru_lm.WINDOW, len(lanes)))[2].sum()) for t in range(0, len(lanes), gru_lm.WINDOW))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 2_200_000 and most < 60_000_000
+
+
 def test_shares_sum_to_one():
     counts = {b"aa": 5, b"ab": 3, b"ba": 2, b"c": 1, b"d": 1, b"the": 9}
     vocab = gru_lm.Vocabulary(21, 7, 1, 2, 0.4, {b"the": 128}, {b"aa": 60, b"ab": 60}, np.zeros(gru_lm.BEFORE))
