@@ -128,13 +128,29 @@ def themes(content: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(content.rlike(r"(?i)\b(" + "|".join(ws) + r")\b"), F.lit(name)) for name, ws in THEMES.items()])))
 
 
+#: Macros in either order, and allergens.
+MACRO = r"\b(\d{1,3}(?:\.\d)?)\s*g\s*(Protein|Fat|Carbs|Carbohydrates)\b|\b(Protein|Fat|Carbs|Carbohydrates)[:\s]*(\d{1,3}(?:\.\d)?)\s*g\b"
+ALLERGENS = ["Gluten", "Dairy", "Nuts", "Peanuts", "Soy", "Shellfish", "Eggs"]
+
+
 def macros(content: Column) -> Column:
-    """Grams by macro name; the last match of a name holds; carbohydrates count as carbs."""
-    a = F.transform(_all(content, r"(?i)\b([0-9]{1,3}(?:\.[0-9])?\s*g\s*(?:Protein|Fat|Carbs|Carbohydrates))\b"), lambda x: x)
-    name = lambda x: F.initcap(F.regexp_replace(F.lower(F.regexp_extract(x, r"(?i)(protein|fat|carbs|carbohydrates)", 1)), "carbohydrates", "carbs"))
-    grams = lambda x: F.regexp_extract(x, r"([0-9]{1,3}(?:\.[0-9])?)", 1).cast("double")
+    """Grams by macro name, written in either order; the last match of a name holds; carbohydrates count as carbs."""
+    found = F.regexp_extract_all(content, F.lit("(?iU)" + MACRO), F.lit(0))
+    name = lambda x: F.initcap(F.regexp_replace(F.lower(F.regexp_extract(x, r"(?i)(carbohydrates|protein|fat|carbs)", 1)), "carbohydrates", "carbs"))
+    # Unicode digits count as numbers, as they match
+    digits = lambda x: F.regexp_extract(x, r"(?U)(\d{1,3}(?:\.\d)?)", 1)
+    grams = lambda x: F.translate(digits(x), "".join(map(chr, _DIGITS)), "0123456789" * (len(_DIGITS) // 10)).cast("double")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    return F.aggregate(a, empty, lambda m, x: F.map_from_entries(F.array_append(F.filter(F.map_entries(m), lambda e: e["key"] != name(x)), F.struct(name(x).alias("key"), grams(x).alias("value")))))
+    return F.aggregate(found, empty, lambda m, x: F.map_from_entries(F.array_append(F.filter(F.map_entries(m), lambda e: e["key"] != name(x)), F.struct(name(x).alias("key"), grams(x).alias("value")))))
+
+
+#: All decimal digits but 0-9, in tens.
+_DIGITS = [c for c in range(128, 0x20000) if chr(c).isdecimal()]
+
+
+def allergens(content: Column) -> Column:
+    """Allergens that a text names as words, in the order of the table."""
+    return F.array_compact(F.array(*[F.when(content.rlike(rf"(?iU)\b{a}\b"), F.lit(a)) for a in ALLERGENS]))
 
 
 #: Skills by what stands for them.

@@ -132,10 +132,3 @@ def changed_files(now: DataFrame, manifest: DataFrame) -> DataFrame:
     known = manifest.select("path", F.col("hash").alias("__old"))
     state = F.when(F.col("hash").isNull(), "error").when(F.col("__old").isNull(), "new").when(F.lower("hash") != F.lower("__old"), "modified").otherwise("unchanged")
     return now.join(known, "path", "left").select("path", "hash", state.alias("state"))
-
-
-def hash_chain(log: DataFrame, order: str, payload: str, by: str) -> DataFrame:
-    """Rows with the digest of the one before, per `by`: previous and its link (sha-256 of previous and payload)."""
-    own = F.sha2(F.col(payload), 256)
-    previous = F.coalesce(F.lag(own).over(Window.partitionBy(by).orderBy(order)), F.lit(""))
-    return log.select("*", previous.alias("previous"), F.sha2(F.concat(previous, own), 256).alias("link"))

@@ -113,11 +113,27 @@ def status_and_themes(spark, d):
     return c.select("p_partkey", refiners.status_word(F.col("c")).alias("status"), refiners.themes(F.col("c")).alias("themes"))
 
 
-@query("refine_macros", "SELECT p_partkey, p_size::DOUBLE AS protein, 7.5::DOUBLE AS carbs FROM part")
+MEALS = "(['3 g protein, 9g Carbs, ' || p_size || ' g Protein and 7.5 g carbohydrates', 'Protein: ' || p_size || 'g, Fat: 5.5g, Carbs: 45g. Contains nuts, Soy', 'CARBOHYDRATES ' || p_size || ' g; fat:3 g fat 4g eggs or peanuts', 'Fat 1' || p_size || '0g shellfish, gluten-free'])[p_partkey % 4 + 1]"
+GRAMS = r"regexp_extract(list_last(list_filter(regexp_extract_all(c, '(?i)\b\d{1,3}(?:\.\d)?\s*g\s*(?:Protein|Fat|Carbs|Carbohydrates)\b|\b(?:Protein|Fat|Carbs|Carbohydrates)[:\s]*\d{1,3}(?:\.\d)?\s*g\b'), lambda x: contains(lower(x), '%s'))), '\d{1,3}(?:\.\d)?')"
+
+
+@query(
+    "refine_macros",
+    f"WITH m AS (SELECT p_partkey, {MEALS} AS c FROM part) SELECT p_partkey, "
+    + ", ".join(f"try_cast({GRAMS % word} AS DOUBLE) AS {name}" for name, word in (("protein", "protein"), ("fat", "fat"), ("carbs", "carb")))
+    + r", list_filter(['Gluten', 'Dairy', 'Nuts', 'Peanuts', 'Soy', 'Shellfish', 'Eggs'], lambda a: regexp_matches(c, '(?i)\b' || a || '\b')) AS allergens FROM m",
+)
 def macros(spark, d):
-    c = table(spark, d, "part").select("p_partkey", F.expr("concat('3 g protein, 9g Carbs, ', p_size, ' g Protein and 7.5 g carbohydrates')").alias("c"))
+    meals = [
+        F.expr("concat('3 g protein, 9g Carbs, ', p_size, ' g Protein and 7.5 g carbohydrates')"),
+        F.expr("concat('Protein: ', p_size, 'g, Fat: 5.5g, Carbs: 45g. Contains nuts, Soy')"),
+        F.expr("concat('CARBOHYDRATES ', p_size, ' g; fat:3 g fat 4g eggs or peanuts')"),
+        F.expr("concat('Fat 1', p_size, '0g shellfish, gluten-free')"),
+    ]
+    c = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*meals), (F.col("p_partkey") % 4 + 1).cast("int")).alias("c"))
     m = refiners.macros(F.col("c"))
-    return c.select("p_partkey", F.try_element_at(m, F.lit("Protein")).alias("protein"), F.try_element_at(m, F.lit("Carbs")).alias("carbs"))
+    of = [F.try_element_at(m, F.lit(name)).alias(name.lower()) for name in ("Protein", "Fat", "Carbs")]
+    return c.select("p_partkey", *of, refiners.allergens(F.col("c")).alias("allergens"))
 
 
 @query("html_documents")

@@ -58,9 +58,17 @@ def cloze(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(c).alias("c")).select("p_partkey", "c.question", "c.answer")
 
 
-@query("template_questions", "SELECT p_partkey, ['What is Delta Force?'] AS questions FROM part")
+@query(
+    "template_questions",
+    r"""
+WITH d AS (SELECT doc_id, text || ' Part ' || lang || ' is a test. The ' || source || ' Word was the end; Delta Force are an ' || lang || ' game' AS t FROM documents)
+SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(t, '\b([A-Z][a-z]+(?: [A-Z][a-z]+)*) (?:is|are|was|were) (?:an?|the) ', 1), lambda x: 'What is ' || x || '?'))) AS questions FROM d WHERE t IS NOT NULL""",
+)
 def template_questions(spark, d):
-    return table(spark, d, "part").select("p_partkey", enrich.questions(F.lit("here Delta Force is a game. it was the end")).alias("questions"))
+    """Questions about every document, to whose text a few definitions are added."""
+    more = [F.lit(" Part "), F.col("library"), F.lit(" is a test. The "), F.col("source_file"), F.lit(" Word was the end; Delta Force are an "), F.col("library"), F.lit(" game")]
+    rows = chunks(spark, d).withColumn("content", F.concat("content", *more)).where("content IS NOT NULL")
+    return rows.select("doc_id", F.array_sort(enrich.questions(F.col("content"))).alias("questions"))
 
 
 @query("answer_grounding", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS share FROM part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import audit as audit_logs
 from quillspark.operators import tables, timeline
 from quillspark.schema import chunks, table
 
@@ -185,9 +186,36 @@ def changed(spark, d):
     return tables.changed_files(now, old).select("path", "state")
 
 
-@query("hash_chain", "WITH e AS (SELECT event_id, user_id, sha256(event_type) AS own FROM events), p AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous FROM e) SELECT event_id, sha256(previous || own) AS link FROM p")
+CHAIN = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (
+  SELECT user_id, event_id, n, repeat('0', 64) AS previous_hash, sha256(event_id || '|' || event_type || '|' || repeat('0', 64)) AS entry_hash FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, c.entry_hash, sha256(e.event_id || '|' || e.event_type || '|' || c.entry_hash) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)"""
+
+
+def _chain(spark, d):
+    return audit_logs.hash_chain(table(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", ["event_id"], ["event_id", "event_type"])
+
+
+@query("hash_chain", f"{CHAIN} SELECT event_id, previous_hash, entry_hash FROM c")
 def hash_chain(spark, d):
-    return tables.hash_chain(table(spark, d, "events"), "event_id", "event_type", "user_id").select("event_id", "link")
+    return _chain(spark, d).select("event_id", "previous_hash", "entry_hash")
+
+
+@query(
+    "hash_chain_broken",
+    """
+WITH e AS (SELECT user_id, event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) % 89 = 0, false) AS after_gone FROM events),
+f AS (SELECT user_id, event_id, CASE WHEN after_gone THEN 'link' ELSE 'content' END AS fault FROM e WHERE event_id % 89 <> 0 AND (event_id % 97 = 0 OR after_gone))
+SELECT user_id, min(event_id) AS event_id, min_by(fault, event_id) AS fault FROM f GROUP BY 1""",
+)
+def hash_chain_broken(spark, d):
+    """The first broken entry of each user's log, after every 97th event was changed and every 89th taken out."""
+    kept = _chain(spark, d).where("event_id % 89 <> 0")
+    changed = kept.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type")))
+    found = audit_logs.first_broken(changed, "user_id", ["event_id"], ["event_id", "event_type"])
+    return found.select("user_id", "event_id", "fault")
 
 
 @query("audit_hashes", "SELECT count(*) AS total, count_if(doc_id % 10 <> 0) AS verified, count_if(doc_id % 10 = 0) AS failed FROM documents")

@@ -116,7 +116,13 @@ def test_text_functions(spark):
 def test_refiners(spark):
     row = docs(spark, "CVE-2020-1111 and cve-2019-22222").select(*refiners.domain(F.col("content"), "cyber")).first()
     assert row["cyber_all_cves"] == ["CVE-2019-22222", "CVE-2020-1111"] and row["cyber_cvss_score"] is None
-    assert docs(spark, "5 g fat, 6g Fat").select(refiners.macros(F.col("content"))).first()[0] == {"Fat": 6.0}
+    macros = lambda t: docs(spark, t).select(refiners.macros(F.col("content"))).first()[0]
+    assert macros("5 g fat, 6g Fat") == {"Fat": 6.0}
+    assert macros("Protein: 12g, Fat: 5.5g, Carbs: 45g") == {"Protein": 12.0, "Fat": 5.5, "Carbs": 45.0}
+    assert macros("Protein: 12 g and Fat 3g; 4 g protein; carbohydrates:\t7g") == {"Protein": 4.0, "Fat": 3.0, "Carbs": 7.0}
+    assert macros("fat 1234 g, 5.25 g fat, ٣ g Fat, 7 grams fat") == {"Fat": 3.0} and macros("") == {}
+    allergens = lambda t: docs(spark, t).select(refiners.allergens(F.col("content"))).first()[0]
+    assert allergens("Contains NUTS, soy-milk and eggs; peanutsé") == ["Nuts", "Soy", "Eggs"] and allergens("coconuts") == []
 
 
 def test_validation_and_upsert(spark):
