@@ -16,6 +16,19 @@ CASES = [
     ("urban", "zone R 4B", {"urban_zoning_code": "R 4B"}),
     ("bio", "Experiment ID: ab-12 with NaCl", {"bio_exp_id": "AB-12", "bio_formulas": ["ID", "NaCl"], "bio_protocol": None}),
     ("cyber", "", {"cyber_cve_id": None, "cyber_all_cves": []}),
+    ("cyber", "see cve-٢٠٢١-1234, CVE-2020-123; score ٩.٨\nSoftware: a, b ,,c", {"cyber_cve_id": "CVE-٢٠٢١-1234", "cyber_all_cves": ["CVE-٢٠٢١-1234"], "cyber_cvss_score": 9.8, "cyber_affected_sw": ["a", "b", "c"]}),
+    ("auto", "1HGCM82633A004352 part ref: ab-1 P/N #ÄB REF XY", {"auto_vin": "1HGCM82633A004352", "auto_part_numbers": ["AB-1", "XY"]}),
+    ("grant", "Opportunity: abc-123-x, $ 1,250.50 or $٣,٠٠٠\ndue: May ٣, 2021", {"grant_id": "abc-123-x", "grant_amount": 1250.5, "grant_deadline": "May ٣, 2021"}),
+    ("grant", "$٣٠٠", {"grant_amount": 300.0, "grant_id": None}),
+    ("mfg", "Ref: ab-12345 service:\nevery  ١٠ Days. fault ab-12 Code: x-1", {"mfg_part_number": "AB-12345", "mfg_maintenance_cycle": "every  ١٠ Days", "mfg_error_codes": ["AB-12"]}),
+    ("edu", "Grade: k Subject: Él Arte-2\nngss-1.A", {"edu_grade_level": "K", "edu_subject": "Él Arte-2\nngss-1", "edu_standards": ["NGSS-1.A"]}),
+    ("edu", "level  ١٢", {"edu_grade_level": "١٢"}),
+    ("gaming", "v 1.٢.3b of Hero: Ana Bell. Agent: x", {"gaming_patch_version": "1.٢.3b", "gaming_characters": ["Ana Bell"]}),
+    ("wellness", "٢٥٠ KCAL", {"wellness_calories": 250.0}),
+    ("urban", "floor area ratio: ٢.٥; target is 9 units/acre.", {"urban_far_ratio": 2.5, "urban_density_target": "9 units/acre"}),
+    ("disaster", "١٢.٣٤٥٦, -7.12345", {"disaster_coordinates": "١٢.٣٤٥٦, -7.12345"}),
+    ("museum", "accession number #1987.12.3 MATERIAL: oil, wood\n", {"museum_accession_id": "1987.12.3", "museum_medium": "oil, wood"}),
+    ("ai", "LLM: Orca-2 7. with 1.5 t", {"ai_model_name": "Orca-2 7", "ai_param_count": "1.5 T"}),
 ]
 
 
