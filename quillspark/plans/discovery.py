@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import crawl, dependencies, layout, resolve, terms
+from quillspark.operators import crawl, dependencies, layout, reading, resolve, terms
 from quillspark.schema import chunks, table
-from quillspark.sources import html_tables
+from quillspark.sources import hocr, html_tables
 
 from .base import query
 
@@ -223,3 +223,38 @@ def linked_regions(spark, d):
     size = F.col("p_size")
     entities = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_partkey").alias("place"), F.col("p_type").alias("label"), F.array(F.concat_ws(" ", F.lit("CLICK"), size), F.concat_ws(" ", F.lit("Error"), size + 1)).alias("variations"))
     return layout.linked_boxes(boxes, entities)
+
+
+LINES = "SELECT l_orderkey AS doc_id, l_partkey, l_quantity::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem"
+
+
+def scanned_orders(spark, d):
+    """Every order as a scanned page: its lines are blocks in two columns, and rows of cells below each other."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey", F.col("l_quantity").cast("int").alias("q"), (F.row_number().over(w) - 1).alias("i"))
+    box = lambda x1, y1, x2, y2: F.concat(F.lit(" title='bbox "), F.concat_ws(" ", x1, y1, x2, y2), F.lit("; x_wconf 90'>"))
+    left, top = 60 + 500 * (F.col("i") % 2), 40 * (F.col("i") * 7 % 50)
+    block = F.concat(F.lit("<div class='ocr_carea'"), box(left, top, left + 300, top + 30), F.col("l_partkey"), F.lit("</div>"))
+    across, down, high = F.col("i") % 8, 40 * F.col("i") + F.col("i") % 5, F.when(F.col("i") == 0, 10).otherwise(30)
+    cell = lambda x, t: F.concat(F.lit("<span class='ocrx_word'"), box(x + across, down, x + across + 50, down + high), t, F.lit("</span>"))
+    row = F.concat(cell(F.lit(10), F.col("i")), cell(F.lit(200), F.col("l_partkey")), cell(F.lit(400), F.col("q")))
+    pages = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", block.alias("block"), row.alias("row")))).alias("l"))
+    part = lambda c: F.array_join(F.transform("l", lambda x: x[c]), "\n")
+    page = lambda body: F.concat(F.lit("<div class='ocr_page' title='bbox 0 0 1000 2100'>"), body, F.lit("</div>"))
+    return pages.select("doc_id", F.concat(page(part("block")), page(part("row"))).alias("content"))
+
+
+@query("hocr_elements", f"WITH l AS ({LINES}) SELECT doc_id, kind, count(*) AS n, min(y1)::INTEGER AS top, max(x2)::INTEGER AS right_edge, max(text) AS text FROM (SELECT doc_id, 'block' AS kind, 40 * (i * 7 % 50) AS y1, 360 + 500 * (i % 2) AS x2, l_partkey::VARCHAR AS text FROM l UNION ALL SELECT doc_id, 'word', 40 * i + i % 5, unnest([60, 250, 450]) + i % 8, unnest([i::VARCHAR, l_partkey::VARCHAR, q::VARCHAR]) FROM l) GROUP BY 1, 2")
+def hocr_elements(spark, d):
+    found = hocr.hocr_elements(scanned_orders(spark, d))
+    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("y1").alias("top"), F.max("x2").alias("right_edge"), F.max("text").alias("text"))
+
+
+@query("reading_order", f"WITH l AS ({LINES}) SELECT doc_id, i::INTEGER AS no, (row_number() OVER (PARTITION BY doc_id ORDER BY i % 2, i * 7 % 50) - 1)::INTEGER AS place, (i % 2)::INTEGER AS \"column\", CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN 'two_column' ELSE 'single_column' END AS layout FROM l")
+def reading_order(spark, d):
+    return reading.reading_order(hocr.hocr_elements(scanned_orders(spark, d)).where("kind = 'block'"), ["doc_id"])
+
+
+@query("scanned_tables", f"WITH l AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({LINES})) SELECT doc_id, i::INTEGER AS row, unnest([0, 1, 2]) AS col, unnest([i::VARCHAR, l_partkey::VARCHAR, q::VARCHAR]) AS text, i = 0 AS is_header FROM l WHERE n > 1")
+def scanned_tables(spark, d):
+    return reading.grid_tables(hocr.hocr_elements(scanned_orders(spark, d)).where("kind = 'word'"), ["doc_id"])
