@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import crawl, dependencies, layout, reading, resolve, terms
 from quillspark.schema import chunks, table
-from quillspark.sources import hocr, html_tables
+from quillspark.sources import hocr, html_tables, migration, scratch
 
 from .base import query
 
@@ -258,3 +258,20 @@ def reading_order(spark, d):
 @query("scanned_tables", f"WITH l AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({LINES})) SELECT doc_id, i::INTEGER AS row, unnest([0, 1, 2]) AS col, unnest([i::VARCHAR, l_partkey::VARCHAR, q::VARCHAR]) AS text, i = 0 AS is_header FROM l WHERE n > 1")
 def scanned_tables(spark, d):
     return reading.grid_tables(hocr.hocr_elements(scanned_orders(spark, d)).where("kind = 'word'"), ["doc_id"])
+
+
+@query(
+    "migration_check",
+    """
+SELECT doc_id, CASE WHEN doc_id % 51 = 50 THEN 0 ELSE 1 END AS target_n,
+       CASE WHEN doc_id % 51 = 50 THEN 'missing' WHEN doc_id % 50 = 0 AND coalesce(lang, '') <> 'xx' THEN 'content' ELSE 'ok' END AS status
+FROM documents""",
+)
+def migration_check(spark, d):
+    """All documents copied in batches; then some of the copy are taken out or changed, and the check names them."""
+    docs = table(spark, d, "documents")
+    path = scratch.scratch(spark, "migration")
+    migration.migrate(docs, path, batches=4, key="doc_id")
+    copy = migration.migrated(spark, path, docs).where("doc_id % 51 <> 50")
+    changed = copy.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "xx").otherwise(F.col("lang")))
+    return migration.verify_documents(docs, changed, "doc_id").select("doc_id", "target_n", "status")
