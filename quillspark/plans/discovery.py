@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import crawl, dependencies, layout, reading, resolve, terms
+from quillspark.operators import coherence, crawl, dependencies, layout, reading, resolve, terms
 from quillspark.schema import chunks, table
 from quillspark.sources import hocr, html_tables, migration, scratch
 
@@ -275,3 +275,9 @@ def migration_check(spark, d):
     copy = migration.migrated(spark, path, docs).where("doc_id % 51 <> 50")
     changed = copy.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "xx").otherwise(F.col("lang")))
     return migration.verify_documents(docs, changed, "doc_id").select("doc_id", "target_n", "status")
+
+
+@query("semantic_runs")
+def semantic_runs(spark, d):
+    """Runs of like vectors in each label of the embeddings, in the order of their ids."""
+    return coherence.semantic_runs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.7)
