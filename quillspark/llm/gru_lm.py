@@ -423,6 +423,14 @@ class Lanes:
             made.append(np.ascontiguousarray(out.T))
         return (*made, np.arange(start, stop)[:, None] < self.sizes[:many])
 
+    def windows(self, at_once: int = 16):
+        """(stop, inputs, targets, live) of all windows in order, cut from rectangles of at_once windows."""
+        for first in range(0, len(self), at_once * WINDOW):
+            laid = self.window(first, min(first + at_once * WINDOW, len(self)))
+            for t in range(first, first + len(laid[0]), WINDOW):
+                stop, many = min(t + WINDOW, len(self)), int((self.sizes > t).sum())
+                yield (stop, *(x[t - first : stop - first, :many] for x in laid))
+
 
 def train_shard(net: Gru, docs: list[np.ndarray], rate: float) -> int:
     """One pass over the documents by Adam, a step for each window of all lanes, or for several where few
@@ -434,9 +442,7 @@ def train_shard(net: Gru, docs: list[np.ndarray], rate: float) -> int:
     held: dict | None = None
     steps = waiting = 0
     h = np.zeros((lanes, HIDDEN), np.float32)
-    for t in range(0, len(dealt), WINDOW):
-        stop = min(t + WINDOW, len(dealt))
-        inputs, targets, live = dealt.window(t, stop)
+    for stop, inputs, targets, live in dealt.windows():
         grads, h = net.window(inputs, targets, live, h[: inputs.shape[1]])
         waiting += int(live.sum())
         held = grads if held is None else {k: held[k] + g for k, g in grads.items()}

@@ -129,8 +129,13 @@ def test_windows_hold_every_symbol_once():
         for t in range(0, len(dealt), 64):
             inputs, targets, live = dealt.window(t, min(t + 64, len(dealt)))
             assert inputs.shape == targets.shape == live.shape and (inputs[~live] == gru_lm.END).all()
+            assert inputs.shape[1] == (dealt.sizes > t).sum()
             for k in range(inputs.shape[1]):
                 columns[k] += list(zip(inputs[live[:, k], k].tolist(), targets[live[:, k], k].tolist(), strict=True))
+        for i, (stop, *parts) in enumerate(dealt.windows(2)):
+            alone = dealt.window(i * gru_lm.WINDOW, stop)
+            assert all((a == b).all() and a.shape == b.shape for a, b in zip(parts, alone, strict=True))
+        assert stop == len(dealt)
         whole = [d for c in columns for d in "".join("|" if i == gru_lm.BEFORE else chr(i) for i, _ in c).split("|")[1:]]
         assert sorted(whole) == sorted("".join(map(chr, d[:-1].tolist())) for d in docs)
         assert sorted(t for c in columns for _, t in c) == sorted(np.concatenate(docs).tolist())
