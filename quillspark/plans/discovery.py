@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import coherence, crawl, dependencies, layout, reading, resolve, terms
+from quillspark.operators import coherence, crawl, dependencies, layout, reading, resolve, terms, units
 from quillspark.schema import chunks, table
 from quillspark.sources import hocr, html_tables, migration, scratch
 
@@ -281,3 +281,68 @@ def migration_check(spark, d):
 def semantic_runs(spark, d):
     """Runs of like vectors in each label of the embeddings, in the order of their ids."""
     return coherence.semantic_runs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.7)
+
+
+def contracts(spark, d):
+    """An agreement for each order: a preamble, articles, a clause for each line, closing clauses in other forms."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+    clauses = F.transform("l", lambda x, i: F.concat(F.lit("1."), i + 1, F.lit(" Part "), x["l_partkey"], F.lit("\n  by supplier "), x["l_suppkey"], F.lit("\n")))
+    head = F.concat(F.lit("Agreement "), F.col("doc_id"), F.lit("\n\nArticle I Goods\n1. Lines\nAll of them:\n"))
+    tail = F.concat(F.lit("ARTICLE II - Price\nSection 1."), F.size("l"), F.lit(": Rest\n(a) all of it\n§2.1 Terms"))
+    return lines.select("doc_id", F.concat(head, F.array_join(clauses, ""), tail).alias("content"))
+
+
+@query(
+    "legal_sections",
+    """
+WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
+n AS (SELECT k, max(i) AS n FROM l GROUP BY k),
+c AS (
+  SELECT k, 0 AS section_no, '' AS number, '' AS title, 0 AS level, '' AS parents, 0 AS line_start, 1 AS line_end, 'Agreement ' || k AS content FROM n
+  UNION ALL SELECT k, 1, 'Article I', 'Goods', 1, '', 2, 2, 'Article I Goods' FROM n
+  UNION ALL SELECT k, 2, '1', 'Lines', 1, '', 3, 4, '1. Lines' || chr(10) || 'All of them:' FROM n
+  UNION ALL SELECT k, 2 + i, '1.' || i, 'Part ' || p, 2, '1', 3 + 2 * i, 4 + 2 * i, '1.' || i || ' Part ' || p || chr(10) || '  by supplier ' || s FROM l
+  UNION ALL SELECT k, 3 + n, 'Article II', 'Price', 1, '', 5 + 2 * n, 5 + 2 * n, 'ARTICLE II - Price' FROM n
+  UNION ALL SELECT k, 4 + n, '1.' || n, 'Rest', 2, '1', 6 + 2 * n, 6 + 2 * n, 'Section 1.' || n || ': Rest' FROM n
+  UNION ALL SELECT k, 5 + n, '(a)', 'all of it', 3, '', 7 + 2 * n, 7 + 2 * n, '(a) all of it' FROM n
+  UNION ALL SELECT k, 6 + n, '§2.1', 'Terms', 2, '', 8 + 2 * n, 8 + 2 * n, '§2.1 Terms' FROM n)
+SELECT k::VARCHAR AS document_id, k || '_legal_' || lpad(section_no::VARCHAR, 4, '0') || '_00_' || left(md5(content), 8) AS chunk_id, section_no::INTEGER AS section_no,
+  number, title, level::INTEGER AS level, parents, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, content FROM c""",
+)
+def legal_sections(spark, d):
+    got = units.legal_sections(contracts(spark, d), preamble=True)
+    return got.select("document_id", "chunk_id", "section_no", "number", "title", "level", F.array_join("hierarchy", "/").alias("parents"), "line_start", "line_end", "content")
+
+
+def part_sources(spark, d):
+    """A source file for each part: Python, JavaScript or Go by its key; classes of large parts have long docstrings."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    doc = F.when(F.col("p_size") > 25, F.repeat(F.lit("x"), 4000)).otherwise(F.lit("x"))
+    python = F.concat(F.lit("import os\nfrom a import b\n\n\n@wrap\ndef make_"), k, F.lit("(x):\n    return x\n\n\nclass P"), k, F.lit(':\n    """'), doc, F.lit('"""\n\n    @wrap\n    def size(self):\n        return '), size, F.lit("\n"))
+    script = F.concat(F.lit("// part "), k, F.lit("\n\nclass P"), k, F.lit(" {\n  size() { return "), size, F.lit("; }\n}\n\nconst make"), k, F.lit(' = (x) => {\n  return "{";\n};\n'))
+    go = F.concat(F.lit("package p\n\ntype P"), k, F.lit(" struct {\n  n int\n}\n\nfunc (p P"), k, F.lit(") Size() int {\n  return "), size, F.lit("\n}"))
+    kind = F.col("p_partkey") % 3
+    file = F.concat(F.lit("src/p"), k, F.when(kind == 0, ".py").when(kind == 1, ".js").otherwise(".go"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), file.alias("source_file"), F.when(kind == 0, python).when(kind == 1, script).otherwise(go).alias("content"))
+
+
+@query(
+    "code_units",
+    """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS m, p_size AS size, CASE WHEN p_size > 25 THEN repeat('x', 4000) ELSE 'x' END AS doc FROM part),
+u AS (
+  SELECT k, 0 AS i, 'imports' AS kind, 'imports' AS name, NULL AS parent, 'imports' AS section_title, 1 AS line_start, 2 AS line_end, 'import os' || chr(10) || 'from a import b' AS content FROM p WHERE m = 0
+  UNION ALL SELECT k, 1, 'function', 'make_' || k, NULL, 'make_' || k || '()', 5, 7, '@wrap' || chr(10) || 'def make_' || k || '(x):' || chr(10) || '    return x' FROM p WHERE m = 0
+  UNION ALL SELECT k, 2, 'class', 'P' || k, NULL, 'class P' || k, 10, 15, concat_ws(chr(10), 'class P' || k || ':', '    ""\"' || doc || '""\"', '', '    @wrap', '    def size(self):', '        return ' || size) FROM p WHERE m = 0 AND size <= 25
+  UNION ALL SELECT k, 2, 'class_header', 'P' || k || ' (header)', NULL, 'P' || k || ' (header)', 10, 12, 'class P' || k || ':' || chr(10) || '    ""\"' || doc || '""\"' || chr(10) FROM p WHERE m = 0 AND size > 25
+  UNION ALL SELECT k, 3, 'method', 'size', 'P' || k, 'P' || k || '.size()', 13, 15, concat_ws(chr(10), '    @wrap', '    def size(self):', '        return ' || size) FROM p WHERE m = 0 AND size > 25
+  UNION ALL SELECT k, 0, 'imports', 'header', NULL, 'header', 1, 2, '// part ' || k FROM p WHERE m = 1
+  UNION ALL SELECT k, 1, 'class', 'P' || k, NULL, 'class P' || k, 3, 6, concat_ws(chr(10), 'class P' || k || ' {', '  size() { return ' || size || '; }', '}') FROM p WHERE m = 1
+  UNION ALL SELECT k, 2, 'function', 'make' || k, NULL, 'make' || k || '()', 7, 10, concat_ws(chr(10), 'const make' || k || ' = (x) => {', '  return "{";', '};') FROM p WHERE m = 1
+  UNION ALL SELECT k, 0, 'imports', 'header', NULL, 'header', 1, 2, 'package p' FROM p WHERE m = 2
+  UNION ALL SELECT k, 1, 'class', 'P' || k, NULL, 'class P' || k, 3, 6, concat_ws(chr(10), 'type P' || k || ' struct {', '  n int', '}') FROM p WHERE m = 2
+  UNION ALL SELECT k, 2, 'function', 'Size', NULL, 'Size()', 7, 9, concat_ws(chr(10), 'func (p P' || k || ') Size() int {', '  return ' || size, '}') FROM p WHERE m = 2)
+SELECT k::VARCHAR AS document_id, k || '_code_' || lpad(i::VARCHAR, 4, '0') || '_' || left(md5(content), 8) AS chunk_id, i::INTEGER AS chunk_index, kind, name, parent, section_title, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, content FROM u""",
+)
+def code_units(spark, d):
+    return units.code_units(part_sources(spark, d))
