@@ -92,7 +92,7 @@ def fuzzy_merge(rows: DataFrame, threshold: float, id_col: str = "doc_id", conte
     Texts without words are no copies of anything. Returns id and kept_id (its own for kept rows).
     """
     sets = rows.select(F.col(id_col).alias("id"), F.array_distinct(text.blank_split(F.lower(F.coalesce(content, F.lit(""))))).alias("items"))
-    return dedup.greedy_groups(dedup.similar_pairs(sets, threshold), sets.select("id"))
+    return dedup.greedy_classes(sets, threshold)
 
 
 def entity_index(mentions: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def similar_shingles(spark, d):
 @query("dedup_near_greedy")
 def near_greedy(spark, d):
     rows = chunks(spark, d).select(F.col("doc_id").alias("id"), text.shingles(F.col("content")).alias("items"))
-    return dedup.greedy_groups(dedup.similar_pairs(rows, 0.85), rows.select("id"))
+    return dedup.greedy_classes(rows, 0.85)
 
 
 @query("similar_vectors", "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT * FROM p WHERE similarity >= 0.35")

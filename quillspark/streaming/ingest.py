@@ -19,9 +19,21 @@ def run_once(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out
     query.awaitTermination()
 
 
-def new_contents(stream: DataFrame, content: str = "content") -> DataFrame:
-    """Rows whose content hash wasn't met before (keyed state)."""
-    return stream.withColumn("content_hash", F.sha2(F.col(content), 256)).dropDuplicates(["content_hash"])
+def new_contents(stream: DataFrame, content: str = "content", time: str | None = None, forget: str | None = None) -> DataFrame:
+    """Rows whose content hash wasn't met before (keyed state).
+
+    Without `forget` every hash is kept for ever. With it (an interval such as "30 days", and `time`, the row's
+    timestamp) a hash is forgotten that long after the time of the row that brought it, as soon as the stream's watermark
+    is past that, so state holds the hashes of one interval; a content that comes after that counts as new. Rows
+    older than the watermark, the latest time so far less `forget`, are dropped. A null content is a content of its own;
+    a row without a time is never late, and its hash is forgotten after its batch.
+    """
+    if (time is None) != (forget is None):
+        raise ValueError("time and forget go together")
+    hashed = stream.withColumn("content_hash", F.sha2(F.col(content), 256))
+    if forget is None:
+        return hashed.dropDuplicates(["content_hash"])
+    return hashed.withWatermark(time, forget).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import refiners, text
@@ -72,6 +74,25 @@ def test_greedy_groups_are_seed_anchored(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_greedy_classes_equal_the_quadratic_pass(spark, few):
+    import random
+
+    rng = random.Random(2)
+    sets = {i: {str(rng.randrange(12)) for _ in range(rng.randrange(0, 9))} for i in range(80)}
+    sets |= {100 + i: {"a", "b", "c"} for i in range(400)} | {3: {"a", "b", "c", "d"}, 90: set(), 91: set()}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<string>").union(spark.sql("SELECT 600L, CAST(null AS array<string>)"))
+    want, kept = {600: 600}, []
+    for i in sorted(sets):
+        seed = next((k for k in kept if sets[i] and len(sets[i] & sets[k]) >= 0.6 * len(sets[i] | sets[k])), i)
+        want[i] = seed
+        if seed == i:
+            kept.append(i)
+    assert {r["id"]: r["kept_id"] for r in dedup.greedy_classes(rows, 0.6, few=few).collect()} == want and want[499] == 3
+    pairs, members = dedup.similar_classes(rows, 0.6)
+    assert pairs.where("b >= 100").count() < 80 and members.where("class_id = 100").count() == 400 and members.count() == len(want)
+
+
 def test_pagerank_and_hits(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 1), (4, 3)], "src long, dst long")
     ranks = {1: 0.25, 2: 0.25, 3: 0.25, 4: 0.25}
