@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,3 +25,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 def query_vector(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
+
+
+@F.pandas_udf(T.BinaryType())
+def packed_half(vectors: pd.Series) -> pd.Series:
+    """Vectors as bytes, two (half precision, little-endian, ties to even) a component: half the room of floats. Null
+    components are NaN, beyond 65504 they are infinite; a null vector stays null, an empty one has no bytes."""
+    with np.errstate(over="ignore"):
+        return vectors.map(lambda v: np.asarray(v, dtype="float64").astype("float32").astype("<f2").tobytes(), na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def unpacked_half(packed: pd.Series) -> pd.Series:
+    """Vectors of floats from packed_half."""
+    return packed.map(lambda b: np.frombuffer(b, dtype="<f2").astype("float32"), na_action="ignore")

@@ -1,6 +1,6 @@
-"""Numbered sections of legal texts, and definitions of source files, as chunks with their lines.
+"""Numbered sections of legal texts, and definitions of source files, as chunks with their lines; markers of chapters; broken lines.
 
-Both are folds over the lines of one text with a state (numbers met so far, open scopes), so each text is read
+All are folds over the lines of one text with a state (numbers met so far, open scopes), so each text is read
 once where it lies: no shuffle, and rows leave in bounded batches however many a text gives.
 """
 
@@ -12,8 +12,10 @@ import re
 import warnings
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Forms of section headings, in the order in which they are tried.
 HEADINGS = [
@@ -50,7 +52,22 @@ CLASSES = {
     "go": [r"^type\s+(\w+)\s+struct", r"^type\s+(\w+)\s+interface"],
     "rust": [r"^(?:pub\s+)?struct\s+(\w+)", r"^(?:pub\s+)?enum\s+(\w+)", r"^(?:pub\s+)?trait\s+(\w+)", r"^impl(?:<[^>]*>)?\s+(?:\w+\s+for\s+)?(\w+)"],
 }
+# Forms of chapter markers with their level (None: the number of #), in the order in which they are tried.
+ROMAN = r"(?:I{1,3}|IV|V|VI{0,3}|IX|X{1,3}|XL|L|LX{0,3}|XC|C{1,3})"
+ORDINAL = rf"(?:\d+|{ROMAN}|(?:One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten))\b[^\n]*"
+MARKERS = [
+    (1, rf"(?im)^(?:Chapter|CHAPTER|Ch\.?)\s+{ORDINAL}"),
+    (1, rf"(?im)^(?:Part|PART)\s+{ORDINAL}"),
+    (2, r"(?im)^(?:Section|SECTION|Sec\.?)\s+[\d.]+\b[^\n]*"),
+    (2, r"(?m)^(\d+\.\d+(?:\.\d+)?)\s+[A-Z][^\n]{3,60}$"),
+    (2, r"(?m)^(\d+)\.\s+[A-Z][^\n]{3,60}$"),
+    (None, r"(?m)^(#{1,6})\s+(.+)$"),
+]
+# Line ends that close a sentence, and words that begin a continuing line.
+CLOSING = (".", "!", "?", ":", ";", '"', "'", ")")
+CONTINUING = ("and", "or", "but", "so", "yet", "nor", "for")
 
+MARKER = "document_id string, position int, level int, title string"
 SECTION = "document_id string, chunk_id string, chunk_index int, section_no int, part_no int, number string, title string, level int, hierarchy array<string>, line_start int, line_end int, content string"
 UNIT = "document_id string, chunk_id string, chunk_index int, kind string, name string, parent string, section_title string, line_start int, line_end int, content string"
 ROWS_A_BATCH, CHARS_A_BATCH = 2000, 8 << 20
@@ -82,12 +99,25 @@ def code_units(files: DataFrame, most: int = 3000, rest: bool = False, id_col: s
     return _spread(files.select(F.col(id_col).cast("string").alias("id"), F.col(file_col).alias("file"), F.col(content).alias("text")), UNIT, lambda key, file, text: _unit_rows(key, file, text, most, rest))
 
 
+def chapter_markers(docs: DataFrame, least: int = 3, most: int = 100, id_col: str = "doc_id", content: str = "content") -> DataFrame:
+    """Headings of chapters, parts, sections, numbers, # signs, and lines in capitals: position (in code points from 0),
+    level, title, of `least` to `most` characters. Of markers at one place the one with the lowest level stays, then the first
+    form. Null and blank texts give no row.
+    """
+    return _spread(docs.select(F.col(id_col).cast("string").alias("id"), F.lit("").alias("file"), F.col(content).alias("text")), MARKER, lambda key, _, text: ((key, *m) for m in _markers(text, least, most)))
+
+
+@F.pandas_udf(T.StringType())
+def joined_lines(texts: pd.Series) -> pd.Series:
+    """Texts with broken lines joined: a line that doesn't end a sentence takes the lines that go on in lower case or with
+    a continuing word, five lines at most in one. Null stays null."""
+    return texts.map(_joined, na_action="ignore")
+
+
 def _spread(texts: DataFrame, schema: str, rows_of: Callable[[str, str, str], Iterable[tuple]]) -> DataFrame:
     """The rows of every text that isn't blank, in batches bounded by rows and characters."""
 
     def run(batches):
-        import pandas as pd
-
         names = [c.split()[0] for c in schema.split(", ")]
         held, chars = [], 0
         for batch in batches:
@@ -281,3 +311,51 @@ def _without_quotes(text: str, language: str) -> str:
     """The text with strings and comments blanked, its lines kept; a quote that isn't closed stays."""
     single = r"'(?:\\.|[^'\\\n])*'" if language in ("javascript", "typescript") else r"'(?:\\.|[^'\\\n])'"
     return re.sub(rf'"(?:\\.|[^"\\\n])*"|{single}|`[^`]*`|//[^\n]*|/\*.*?\*/', lambda m: "\n" * m[0].count("\n"), text, flags=re.S)
+
+
+def _markers(text: str, least: int, most: int) -> Iterator[tuple[int, int, str]]:
+    best: dict[int, tuple[int, str]] = {}
+
+    def offer(position: int, level: int, title: str) -> None:
+        if least <= len(title) <= most and (position not in best or level < best[position][0]):
+            best[position] = (level, title)
+
+    for level, pattern in MARKERS:
+        for m in re.finditer(pattern, text):
+            offer(m.start(), level or len(m[1]), (m[0] if level else m[2]).strip())
+    position = 0
+    for line in text.split("\n"):
+        title = line.strip()
+        if least <= len(title) <= most and _in_capitals(title):
+            offer(position + len(line) - len(line.lstrip()), 2, title)
+        position += len(line) + 1
+    for position in sorted(best):
+        yield position, *best[position]
+
+
+def _in_capitals(line: str) -> bool:
+    """Nine of ten letters are capitals; no list item, no single word of up to five characters."""
+    letters = [c for c in line if c.isalpha()]
+    if not letters or sum(c.isupper() for c in letters) / len(letters) < 0.9:
+        return False
+    words = line.split()
+    return not (len(words) == 1 and len(words[0]) <= 5) and not line.endswith(".?!") and not line.startswith(("-", "*", "•", "·"))
+
+
+def _joined(text: str, short: int = 50, most_lines: int = 5) -> str:
+    lines = text.split("\n")
+    bare = [line.strip() for line in lines]
+    goes_on = lambda line: line[:1].islower() or line.split()[:1] and line.split()[0].lower() in CONTINUING
+    out, i = [], 0
+    while i < len(lines):
+        after = bare[i + 1] if i + 1 < len(lines) else ""
+        if not bare[i] or not after or bare[i].endswith(CLOSING) or not (after[0].islower() or after[0].isupper() and len(bare[i]) < short):
+            out.append(lines[i])
+            i += 1
+            continue
+        end = i + 1
+        while end < len(lines) and end - i < most_lines and goes_on(bare[end]):
+            end += 1
+        out.append(" ".join(bare[i:end]))
+        i = end
+    return "\n".join(out)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import entities, refiners, text
+from quillspark.functions import entities, refiners, text, vectors
 from quillspark.operators import curation, query_lang, search, search_index
 from quillspark.schema import chunks, table
+from quillspark.sources import scratch
 
 from .base import query
 from .retrieval import _vector, keyword_index
@@ -176,6 +177,14 @@ def half_vectors(spark, d):
     return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+@query("packed_vectors", "SELECT vec_id, 2 * len(embedding) AS n_bytes, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END)), 6) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def packed_vectors(spark, d):
+    """Vectors stored in half precision, two bytes a component, and read back."""
+    packed = scratch.saved(table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", vectors.packed_half("embedding").alias("packed")), "packed")
+    v = packed.select("vec_id", F.length("packed").alias("n_bytes"), vectors.unpacked_half("packed").alias("v"))
+    return v.select("vec_id", "n_bytes", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 @query("search_multi_vector", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
  s AS (SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, q),
  c AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE id % 2 = 0 QUALIFY r <= 20),

@@ -346,3 +346,23 @@ SELECT k::VARCHAR AS document_id, k || '_code_' || lpad(i::VARCHAR, 4, '0') || '
 )
 def code_units(spark, d):
     return units.code_units(part_sources(spark, d))
+
+
+@query(
+    "chapter_markers",
+    """
+WITH t AS (SELECT p_partkey AS k, ['Chapter ' || p_partkey || ' Start', '## Size ' || p_size, '1.2 Brand new words', 'ALL CAPS HEADER', 'Part Two'] AS h,
+  concat_ws(chr(10), 'Chapter ' || p_partkey || ' Start', 'Body of it. NASA', '## Size ' || p_size, '1.2 Brand new words', '  ALL CAPS HEADER', '- NO ITEM HERE', 'Part Two') AS c FROM part)
+SELECT k::VARCHAR AS document_id, (strpos(c, h[i]) - 1)::INTEGER AS position, ([1, 2, 2, 2, 1])[i]::INTEGER AS level, CASE WHEN i = 2 THEN h[i][4:] ELSE h[i] END AS title FROM t, unnest([1, 2, 3, 4, 5]) AS u(i)""",
+)
+def chapter_markers(spark, d):
+    """Markers in a text about each part."""
+    lines = [F.concat(F.lit("Chapter "), "p_partkey", F.lit(" Start")), F.lit("Body of it. NASA"), F.concat(F.lit("## Size "), "p_size"), F.lit("1.2 Brand new words"), F.lit("  ALL CAPS HEADER"), F.lit("- NO ITEM HERE"), F.lit("Part Two")]
+    return units.chapter_markers(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("content")))
+
+
+@query("joined_lines", "SELECT p_partkey, 'The part ' || p_partkey || ' is of size ' || p_size || ' and big.' || chr(10) || 'Next line' || chr(10) || 'Short' || chr(10) || chr(10) || p_name AS content FROM part")
+def joined_lines(spark, d):
+    """Lines of a text about each part, broken inside its sentence."""
+    lines = [F.concat(F.lit("The part "), "p_partkey"), F.concat(F.lit("is of size "), "p_size"), F.lit("and big."), F.lit("Next line"), F.lit("Short"), F.lit(""), F.col("p_name")]
+    return table(spark, d, "part").select("p_partkey", units.joined_lines(F.concat_ws("\n", *lines)).alias("content"))

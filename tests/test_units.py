@@ -1,5 +1,8 @@
 """Legal sections and code units on hand-worked texts, and spans that hold every line once."""
 
+import math
+
+from quillspark.functions import vectors
 from quillspark.operators import units
 
 CONTRACT = """Between A and B.
@@ -137,3 +140,36 @@ def test_scopes_of_other_languages(spark):
     assert [by(i) for i in range(2, 6)] == [[("module", "module", None, 1, n)] for n in (1, 2, 1, 1)] and not by(6) and not by(7)
     spans = [i for r in by(0) for i in range(r[3], r[4] + 1)]
     assert spans == list(range(1, JAVA.count("\n") + 2))
+
+
+def test_chapter_markers(spark):
+    text = "\n\nCHAPTER 1\n\nIntroduction\nch. iv: Sea\nPart of it\nSection 2.1 x\n3. Title here\n### Deep\n# A\nNASA\nRESULTS\n- LIST ITEM\n\t LOUD WORDS 12\n" + "X" * 101
+    docs = spark.createDataFrame([(1, text, 9), (2, None, 9), (3, "", 9), (4, "none here", 9)], "doc_id long, content string, level int")
+    got = [(r["document_id"], r["position"], r["level"], r["title"]) for r in units.chapter_markers(docs).orderBy("position").collect()]
+    want = [("CHAPTER 1", 1, "CHAPTER 1"), ("ch. iv", 1, "ch. iv: Sea"), ("Section", 2, "Section 2.1 x"), ("3. T", 2, "3. Title here"), ("###", 3, "Deep"), ("# A", 2, "# A"), ("RESULTS", 2, "RESULTS"), ("LOUD", 2, "LOUD WORDS 12")]
+    assert got == [("1", text.index(at), level, title) for at, level, title in want]
+
+
+def test_joined_lines(spark):
+    long = "x" * 60
+    cases = [
+        ("a b\nc d\nE f", "a b c d\nE f"),
+        ("Ends here.\nlower", "Ends here.\nlower"),
+        (f"{long}\nAnd more", f"{long}\nAnd more"),
+        ("  short\nAnd more\nBut no", "short And more But no"),
+        ("  short \nNext", "short\nNext"),
+        ("a\nb\nc\nd\ne\nf\ng", "a b c d e\nf g"),
+        ("a\n\nb", "a\n\nb"),
+        ("a\n1b", "a\n1b"),
+        ("", ""),
+        (None, None),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(units.joined_lines("t")).collect()] == [w for _, w in cases]
+
+
+def test_packed_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, -2.5, 1e-8, 70000.0, None]), (2, None), (3, []), (4, [0.1, 2049.0])], "i int, v array<float>")
+    got = {r["i"]: (r["p"], r["u"]) for r in rows.select("i", vectors.packed_half("v").alias("p")).select("i", "p", vectors.unpacked_half("p").alias("u")).collect()}
+    assert len(got[1][0]) == 10 and got[1][1][:4] == [1.0, -2.5, 0.0, math.inf] and math.isnan(got[1][1][4])
+    assert got[2] == (None, None) and got[3] == (b"", []) and got[4][1] == [0.0999755859375, 2048.0]
