@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from . import worker_cache
 
 #: What a character may stand for. An asterisk masks any letter.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
-MASK, SEPARATORS, LETTERS = "*", "-._~^'`", "abcdefghijklmnopqrstuvwxyz"
+MASK, SEPARATORS, LETTERS = "*", "-._~^'`’", "abcdefghijklmnopqrstuvwxyz"
 #: Natural-log costs of the channel.
 LEET_COST, MASK_COST, DROP_COST, FOLD_COST, GAP_COST = -0.5, -2.0, -0.7, -0.3, -0.7
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -35,7 +36,10 @@ OUTER = "".join(c for c in PUNCTUATION.decode() if c not in "@$!|+*") + "“”
 EDGE = "@$!|+"
 INNER_LEET = re.compile(r"[a-z][0-9@$!|+*(€£._~^-]+[a-z]|^[0-9@$!|+*(€£]+[a-z]|[a-z][0-9@$!|+*€£]+$")
 REPEATED = re.compile(r"([a-z])\1\1|(?:([a-z])\2.?){3}")
-SPACED = re.compile(rb"(?:(?<=\s)|^)(?:[a-z0-9@$!|+*](?:[ \t]+|$|(?=\n))){4,}")
+SPACED = re.compile(rb"(?:(?<=\s)|^)(?:[a-z0-9@$!|+*](?:[ \t]+|$|(?=\n))){3,}")
+#: What plain words have as well: an apostrophe between letters, one doubled letter.
+BROKEN = re.compile(r"[a-z]['`’][a-z]|([a-z])\1")
+UNBROKEN, DOUBLES = str.maketrans("", "", "'`’"), re.compile(r"(.)\1+")
 PREFIXES = (4, 5, 6)
 #: A feature with this share of toxic documents, in the sample, marks a document alone.
 SURE = 0.94
@@ -187,11 +191,42 @@ def restore(model: CharModel, token: str, spaced: bool = False) -> list[str]:
     return [w for w in "".join(reversed(out)).split("_") if w]
 
 
-def readings(token: str) -> list[str]:
+def shape(word: str) -> str:
+    """A word without apostrophes and with every run of a character as one: all that folding and joining can tell apart is gone."""
+    return DOUBLES.sub(r"\1", word.translate(UNBROKEN))
+
+
+class Marks:
+    """Which plain-looking tokens may hide a marked word behind an apostrophe or a doubled letter.
+
+    Every such token has a lattice of several paths, and nearly all are plain words (don't, letter). Only those whose
+    shape is that of a marked word, or begins as the longest marked beginnings do, are restored, and of these no word
+    that clean documents use (he'll).
+    """
+
+    def __init__(self, features, known=()):
+        self.words = {shape(f) for f in features if not f.endswith("*")}
+        self.beginnings = {shape(f[:-1]) for f in features if len(f) > PREFIXES[-1] and f.endswith("*")}
+        self.lengths, self.known = sorted({len(b) for b in self.beginnings}), frozenset(known)
+
+    def show(self, plain: str) -> bool:
+        if not BROKEN.search(plain) or plain in self.known:
+            return False
+        form = shape(plain)
+        return form in self.words or any(form[:n] in self.beginnings for n in self.lengths)
+
+    def spaced(self, letters: str) -> bool:
+        """Runs of three single characters are mostly lists: read only where they can spell a marked word, with one mask at most."""
+        if len(letters) > 3:
+            return True
+        return letters.count(MASK) < 2 and any(shape("".join(p)) in self.words for p in product(*(LETTERS if c == MASK else LEET.get(c, "") + c for c in letters)))
+
+
+def readings(token: str, marks: Marks | None = None) -> list[str]:
     """The forms of a suspicious token that are restored: without all its outer punctuation, and with the
     outer characters that may stand for a letter. A bracket at either end is a bracket. Plain tokens have none."""
     plain, trimmed = token.strip(PUNCTUATION.decode()), token.strip(OUTER)
-    inner = INNER_LEET.search(plain) or REPEATED.search(plain)
+    inner = INNER_LEET.search(plain) or REPEATED.search(plain) or (marks and marks.show(plain))
     if not (inner or INNER_LEET.search(token) or INNER_LEET.search(trimmed)):
         return []
     return sorted({plain, trimmed}) if inner else [trimmed]
@@ -202,6 +237,7 @@ class ToxicityModel:
     weights: dict[str, float]
     bias: float
     chars: CharModel
+    marks: Marks = field(default_factory=lambda: Marks(()))
     most: int = 300_000
     cache: dict = field(default_factory=dict)
 
@@ -213,7 +249,7 @@ class ToxicityModel:
                 self.cache.clear()
             plain = token.strip(PUNCTUATION).decode("utf-8", "replace")
             names = word_features(plain)
-            for candidate in readings(token.decode("utf-8", "replace")):
+            for candidate in readings(token.decode("utf-8", "replace"), self.marks):
                 for word in restore(self.chars, candidate):
                     names += word_features(word)
             self.cache[token] = found = tuple({n for n in names if n in self.weights})
@@ -228,14 +264,19 @@ class ToxicityModel:
         worker_cache.hold("toxicity", self.cache.clear)
         return self
 
+    def joined(self, run: bytes) -> list[str]:
+        """The words of a run of single characters; none of a run that is left as it is."""
+        letters = run.decode().replace(" ", "").replace("\t", "")
+        return restore(self.chars, letters, True) if self.marks.spaced(letters) else []
+
     def restored(self, text: str) -> str:
         """The text with suspicious tokens replaced by what they are read as."""
         low = text.encode().lower()
-        joined = SPACED.sub(lambda m: (" " + " ".join(restore(self.chars, m[0].decode().replace(" ", "").replace("\t", ""), True)) + " ").encode(), low)
+        joined = SPACED.sub(lambda m: (" " + " ".join(words) + " ").encode() if (words := self.joined(m[0])) else m[0], low)
         out = []
         for token in joined.decode("utf-8", "replace").split():
             plain = token.strip(PUNCTUATION.decode())
-            read = {form: restore(self.chars, form) for form in readings(token)}
+            read = {form: restore(self.chars, form) for form in readings(token, self.marks)}
             marked = [r for r in read.values() if any(n in self.weights for word in r for n in word_features(word))]
             out += marked[0] if marked else read.get(plain, [token])
         return " ".join(out)
@@ -246,7 +287,7 @@ class ToxicityModel:
             if names := self.features(token):
                 found.update(names)
         for run in SPACED.findall(low):
-            for word in restore(self.chars, run.decode().replace(" ", "").replace("\t", ""), True):
+            for word in self.joined(run):
                 found.update(n for n in word_features(word) if n in self.weights)
         z = self.bias + sum(self.weights[n] for n in found)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -373,18 +414,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features:
     chosen = counts.where("feature <> ''").select("feature", "bad", "good", g2.alias("g2")).where(lift >= 5).orderBy(F.desc("g2"), "feature").limit(most_features).collect()
     names = [r["feature"] for r in chosen if r["g2"] >= 2 * math.log(max(tried, 2)) + 2] or [r["feature"] for r in chosen[:10]]
     index = {name: i for i, name in enumerate(names)}
+    marks = Marks(names)
 
     def hits(batches):
         for batch in batches:
-            toxic, found = [], []
+            toxic, found, like = [], [], []
             for y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = {index[f] for token in words(text) for f in word_features(token.strip(PUNCTUATION).decode("utf-8", "replace")) if f in index}
+                plain = {token.strip(PUNCTUATION).decode("utf-8", "replace") for token in words(text)}
                 toxic.append(y)
-                found.append(sorted(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
+                found.append(sorted({index[f] for word in plain for f in word_features(word) if f in index}))
+                like.append(sorted(word for word in plain if marks.show(word)))
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(like, pa.list_(pa.string()))], names=["toxic", "found", "like"])
 
     # equal rows are counted, so that clean documents without a feature come as one
-    rows = trained.mapInArrow(hits, "toxic int, found array<int>").groupBy("toxic", "found").count().collect()
+    rows = trained.mapInArrow(hits, "toxic int, found array<int>, like array<string>").groupBy("toxic", "found", "like").count().collect()
+    use = Counter()
+    for r in rows:
+        for word in r["like"]:
+            use[word] += -r["count"] if r["toxic"] > 0 else r["count"]
     y, n = np.array([r["toxic"] > 0 for r in rows], float), np.array([r["count"] for r in rows], float)
     at = np.repeat(np.arange(len(rows)), [len(r["found"]) for r in rows])
     col = np.array([i for r in rows for i in r["found"]], np.int64)
@@ -395,7 +442,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features:
             w[index[name]] = max(w[index[name]], math.log(sure / (1 - sure)) - b)
     lexicon = {r["feature"]: float(r["bad"]) for r in chosen if r["feature"] in index and not r["feature"].endswith("*") and w[index[r["feature"]]] > 0}
     chars = CharModel(corpus_trigrams(docs.where(~held_out(F.col("doc_id")))), lexicon)
-    return ToxicityModel({name: float(w[i]) for name, i in index.items()}, float(b), chars)
+    # a word that more clean documents of the sample use than toxic ones is itself
+    marks = Marks([name for name, i in index.items() if w[i] > 0], [word for word, n in use.items() if n > 0])
+    return ToxicityModel({name: float(w[i]) for name, i in index.items()}, float(b), chars, marks)
 
 
 def _precision(counts: dict[str, tuple[int, int]], weight: float = 20.0) -> dict[str, float]:

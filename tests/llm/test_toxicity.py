@@ -47,6 +47,52 @@ def test_replaced_at_either_end(model, token):
     assert "idiot" in bare.restored(token) or "moron" in bare.restored(token)
 
 
+def without_beginnings(model):
+    """Only whole words mark, so that a token is found by what it is read as."""
+    weights = {n: w for n, w in model.weights.items() if not n.endswith("*")}
+    return toxicity.ToxicityModel(weights, model.bias, model.chars, toxicity.Marks(weights, model.marks.known))
+
+
+@pytest.mark.parametrize("separator", toxicity.SEPARATORS)
+def test_every_separator(model, separator):
+    bare = without_beginnings(model)
+    for word in INSULTS:
+        for token in (separator.join(word), word[:2] + separator + word[2:], f"({word[:3]}{separator}{word[3:]})!"):
+            assert bare.score(f"you {token} there".encode()) >= 0.7, token
+            assert word in bare.restored(token), token
+
+
+@pytest.mark.parametrize("word", INSULTS)
+def test_one_doubled_letter(model, word):
+    bare = without_beginnings(model)
+    for i in range(len(word)):
+        token = word[: i + 1] + word[i:]
+        assert bare.score(f"you {token}, there".encode()) >= 0.7 and word in bare.restored(token), token
+
+
+def test_words_of_like_shape(spark):
+    """A plain word that differs from an insult by a doubled letter or an apostrophe stays what it is."""
+    rows = corpus() + [(1000 + i, f"night market number {i} has looser rules and l'oser comes", 0) for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, y, 0.0) for i, _, y in rows], LABELS))
+    assert model.marks.known == {"looser", "l'oser"}
+    assert model.score(b"looser rules l'oser") < 0.7 and model.score(b"llooser rules") >= 0.7
+    for plain in ("don't", "letter", "he'll", "l'eau", "aa", "o'clock", "i'd", "book's"):
+        assert toxicity.readings(plain, model.marks) == []
+
+
+def test_runs_of_three(model):
+    """They are read where they can spell a marked word, with one mask at most; other lists are left alone."""
+    weights = model.weights | {"ass": 9.0}
+    chars = toxicity.CharModel(model.chars.tri, {"ass": 50.0, "idiot": 50.0})
+    short = toxicity.ToxicityModel(weights, model.bias, chars, toxicity.Marks(weights))
+    for run in ("a s s", "A S S", "a $ $", "@ s 5", "a * s", "x\na s s\ny"):
+        assert short.score(f"you {run}".encode()) >= 0.7, run
+    for run in ("a b c", "1 2 3", "* * *", "a * *", "a s", "s s a"):
+        assert short.score(f"you {run}".encode()) < 0.7, run
+        assert short.restored(f"You {run}") == f"you {run}".lower()
+
+
 @pytest.mark.parametrize("text", ["the river!", "**quiet** mill*", "(the) 'train'", "week+ late!!", "5 $9 *** !!! ++", "“quiet” mill…"])
 def test_plain_punctuation(model, text):
     assert model.score(text.encode()) < 0.7
