@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, curation, discovery, documents, enrichment, language, records, retrieval
+from . import context, corpus, curation, discovery, documents, enrichment, language, records, retrieval
 from .base import ORACLES, QUERIES
 
-MODULES = (corpus, curation, discovery, documents, enrichment, language, records, retrieval)
+MODULES = (context, corpus, curation, discovery, documents, enrichment, language, records, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
