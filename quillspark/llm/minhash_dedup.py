@@ -41,6 +41,12 @@ class _WordHashes(dict):
 _word_hashes = _WordHashes()
 
 
+def enter() -> None:
+    """Called in a task that makes shingles: other operators' tables go, and the word hashes go when another enters."""
+    worker_cache.enter("minhash")
+    worker_cache.hold("minhash", _word_hashes.clear)
+
+
 def shingles(text: bytes, size: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's shingles. Words: runs of bytes other than space and
     \\x09 to \\x0D, A-Z lower-cased. Fewer words than `size`: the whole sequence as one; none: empty."""
@@ -124,8 +130,7 @@ def signed(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     def run(batches):
         import xxhash
 
-        worker_cache.enter("minhash")
-        worker_cache.hold("minhash", _word_hashes.clear)
+        enter()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out = {name: [] for name in arrow.names}
@@ -225,6 +230,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     """rep and its full set: the sorted 64-bit hashes of its shingles."""
 
     def run(batches):
+        enter()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

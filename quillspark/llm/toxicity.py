@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import product
@@ -240,6 +241,8 @@ class ToxicityModel:
     marks: Marks = field(default_factory=lambda: Marks(()))
     most: int = 300_000
     cache: dict = field(default_factory=dict)
+    #: Names this model's tables in a worker; it travels with the model.
+    name: str = field(default_factory=lambda: f"toxicity-{uuid.uuid4().hex}")
 
     def features(self, token: bytes) -> tuple[str, ...]:
         """The model's features that a token shows, as written or restored."""
@@ -259,9 +262,10 @@ class ToxicityModel:
         return self.__dict__ | {"cache": {}}
 
     def enter(self) -> ToxicityModel:
-        """Called in a task: other operators' tables go."""
-        worker_cache.enter("toxicity")
-        worker_cache.hold("toxicity", self.cache.clear)
+        """Called in a task: the tables of other operators and of other models go."""
+        worker_cache.enter(self.name)
+        worker_cache.hold(self.name, self.cache.clear)
+        worker_cache.hold(self.name, self.chars.known.clear)
         return self
 
     def joined(self, run: bytes) -> list[str]:
@@ -297,6 +301,13 @@ def _texts(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
 
 
+def _slices(batches, rows: int = 500):
+    """Arrow batches in parts, so that a task makes Python objects of a few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def corpus_trigrams(docs: DataFrame) -> dict[str, int]:
     """Counts of character trigrams over a-z, word boundary (_) and other letters (?), over all rows given.
 
@@ -310,7 +321,7 @@ def corpus_trigrams(docs: DataFrame) -> dict[str, int]:
 
     def count(batches):
         total = np.zeros(28**3, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 c = table[np.frombuffer(b" " + text + b" ", np.uint8)]
                 total += np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3) if len(text) > 2000 else 0
@@ -334,7 +345,8 @@ def _without_copies(sample: DataFrame, hashes: int = 64, bands: int = 16, bar: f
     from . import minhash_dedup
 
     def run(batches):
-        for batch in batches:
+        minhash_dedup.enter()
+        for batch in _slices(batches):
             found = []
             for text in batch.column(2).to_pylist():
                 s = minhash_dedup.shingles(text, 3)
@@ -383,7 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features:
             return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["feature", "bad", "good"])
 
         docs_seen = [0, 0]
-        for batch in batches:
+        for batch in _slices(batches):
             for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = set()
                 for token in words(text):
@@ -417,7 +429,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, most_features:
     marks = Marks(names)
 
     def hits(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             toxic, found, like = [], [], []
             for y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 plain = {token.strip(PUNCTUATION).decode("utf-8", "replace") for token in words(text)}
@@ -479,7 +491,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
     def score(batches):
         model = shared.value.enter()
-        for batch in batches:
+        for batch in _slices(batches):
             scores = [model.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -489,12 +501,15 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """docs without those of a score >= threshold; columns unchanged. A map without shuffle."""
+    """docs without those of a score >= threshold; columns unchanged. A map without shuffle.
+
+    The function takes texts row by row: an Arrow batch would hold up to 10,000 whole texts outside the heap, as
+    Python strings and, with all other columns, in the queue of rows that await their score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        model = shared.value.enter()
-        return texts.map(lambda t: model.score((t or "").encode()))
+    @F.udf("double", useArrow=False)
+    def score(text):
+        return shared.value.enter().score((text or "").encode())
 
     return docs.where(score(F.col("text")) < threshold)

@@ -18,5 +18,6 @@ def enter(name: str) -> None:
 
 
 def hold(name: str, clear: Callable[[], None]) -> None:
-    """clear() empties something that operator `name` keeps."""
-    _kept.setdefault(name, []).append(clear)
+    """clear() empties something that operator `name` keeps; every task may say so again."""
+    if clear not in (held := _kept.setdefault(name, [])):
+        held.append(clear)

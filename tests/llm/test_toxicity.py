@@ -1,6 +1,8 @@
+import pickle
+
 import pytest
 
-from quillspark.llm import toxicity
+from quillspark.llm import minhash_dedup, toxicity, worker_cache
 
 INSULTS = ["idiot", "moron", "clown", "loser"]
 LABELS = "doc_id long, quality int, toxic int, score double"
@@ -189,3 +191,25 @@ def test_clashing_columns_and_repeated_rows(spark, model):
     assert set(again.weights) == set(model.weights)
     assert toxicity.drop_toxic(docs.limit(0), again).count() == 0
     assert toxicity.fit(docs.limit(0), labels).score(b"idiot") <= 1
+
+
+def test_few_texts_are_held_at_once(spark, model):
+    """Scored row by row: whole texts pile up in no Arrow batch beside the rows that await their score."""
+    docs = spark.createDataFrame([(0, "the river runs", "x"), (1, "you 1d10t", "y"), (2, None, "z")], "doc_id long, text string, lang string")
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.collect() == docs.where("doc_id <> 1").collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
+def test_tables_of_earlier_models_go(model):
+    """A worker keeps the tables of one model, registered once however many tasks it runs."""
+    first, second = pickle.loads(pickle.dumps(model)), without_beginnings(model)
+    minhash_dedup.enter()
+    minhash_dedup.shingles(b"a b c", 2)
+    for _ in range(3):
+        first.enter().score(b"you 1d10t")
+    assert not minhash_dedup._word_hashes and first.cache and first.chars.known
+    assert sum(map(len, worker_cache._kept.values())) == 2
+    second.enter()
+    assert not first.cache and not first.chars.known
