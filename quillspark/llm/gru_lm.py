@@ -22,9 +22,11 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,15 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words() each text has, and all of them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    found, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)])
+    real = pc.greater(pc.binary_length(found), 0)  # blanks at the ends of a text give empty ones
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return np.diff(before[ends]), found.filter(real).view(pa.binary())
+
+
 @dataclass
 class Vocabulary:
     """What training and scoring need of the corpus's counts: at most CLASSES + WORDS rows."""
@@ -83,18 +94,16 @@ def word_table(chunks: DataFrame) -> DataFrame:
     """One row for each part: part, words, counts (of the words met in training documents), and their sums."""
 
     def run(batches):
-        held, now = {}, None
+        held, now = [], None
 
         def out():
-            seen = sorted(w for w, c in held.items() if c)
-            counts = np.array([held[w] for w in seen], np.int64)
-            first: dict[bytes, int] = {}
-            for w, c in zip(seen, counts.tolist(), strict=True):
-                if c > 1:
-                    first[w[:2]] = first.get(w[:2], 0) + c
-            top = sorted(range(len(seen)), key=lambda i: (-counts[i], seen[i]))[:WORDS]
+            met = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).filter(pc.field("n_sum") > 0).sort_by("word")
+            seen, counts = pa.concat_arrays([pa.array([], pa.binary()), *met["word"].chunks]), met["n_sum"].to_numpy()
+            often = pa.table({"word": pc.binary_slice(seen, 0, 2), "n": counts}).filter(pa.array(counts > 1))
+            first = often.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            top = np.lexsort([np.arange(len(seen)), -counts])[:WORDS]
             return pa.RecordBatch.from_pylist(
-                [{"part": now, "words": word_chunks.join_words(seen), "counts": word_chunks.squeeze(counts.astype("<i8").tobytes()), "tokens": int(counts.sum()), "distinct": len(seen), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "top": [{"word": seen[i], "n": int(counts[i])} for i in top], "first": [{"word": k, "n": v} for k, v in first.items()]}],
+                [{"part": now, "words": word_chunks.join_array(seen), "counts": word_chunks.squeeze(counts.astype("<i8").tobytes()), "tokens": int(counts.sum()), "distinct": len(seen), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "top": [{"word": seen[i].as_py(), "n": int(counts[i])} for i in top.tolist()], "first": first.to_pylist()}],
                 schema,
             )
 
@@ -104,8 +113,9 @@ def word_table(chunks: DataFrame) -> DataFrame:
                     yield out()
                     held.clear()
                 now = part
-                for w, c in zip(word_chunks.split_words(data), np.frombuffer(word_chunks.stretch(counts), "<u4").tolist(), strict=True):
-                    held[w] = held.get(w, 0) + c
+                held.append(pa.table({"word": word_chunks.split_array(data), "n": np.frombuffer(word_chunks.stretch(counts), "<u4").astype(np.int64)}))
+                if len(held) == 64:  # bounded by the part's distinct words
+                    held[:] = [pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])]
         if now is not None:
             yield out()
 
@@ -135,17 +145,19 @@ def _classed(chunks: DataFrame, table: DataFrame, vocab: Vocabulary) -> DataFram
     rows = entries.unionByName(known).repartition(n, "part").sortWithinPartitions("part", "kind")
 
     def run(batches):
-        held: dict[bytes, int] = {}
+        held, kinds, counts, now = pa.array([], pa.binary()), np.array([RARE], "<u2"), np.zeros(1, "<i8"), None
         for batch in batches:
             out = []
-            for part, kind, chunk, data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = word_chunks.split_words(data)
+            for part, kind, chunk, data, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = word_chunks.split_array(data)
+                if part != now:
+                    held, kinds, counts, now = found[:0], np.array([RARE], "<u2"), np.zeros(1, "<i8"), part
                 if kind == 0:
-                    held = dict(zip(found, np.frombuffer(word_chunks.stretch(counts), "<i8").tolist(), strict=True))
+                    held, counts = found, np.append(np.frombuffer(word_chunks.stretch(met), "<i8"), 0)
+                    kinds = np.fromiter(map(vocab.symbol_of, chain(found.to_pylist(), [b""]), counts.tolist()), "<u2", len(counts))
                     continue
-                c = [held.get(w, 0) for w in found]
-                kinds = np.fromiter(map(vocab.symbol_of, found, c), "<u2", len(c))
-                out.append((chunk, part, word_chunks.squeeze(kinds.tobytes() + np.array(c, "<i8").tobytes())))
+                at = pc.fill_null(pc.index_in(found, held), len(held)).to_numpy()  # the last place is that of words not met in training
+                out.append((chunk, part, word_chunks.squeeze(kinds[at].tobytes() + counts[at].tobytes())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "part", "data"])
 
@@ -206,155 +218,213 @@ def sequences(chunks: DataFrame, replies: DataFrame, vocab: Vocabulary) -> DataF
 
 
 class Gru:
-    """Inputs: BEFORE + 1 symbols; state: HIDDEN; outputs: CLASSES, and MEMBERS words in each class of frequent words."""
+    """Inputs: BEFORE + 1 symbols; state: HIDDEN; outputs: CLASSES, and MEMBERS words in each class of frequent words.
 
-    NAMES = ("e", "u", "w", "b", "v", "c")
+    All weights lie in one vector, `weights`, of which e, u, w, b, v and c are views. The recurrence works on
+    [features, texts], so that each gate lies in one piece; the outputs on [texts, features].
+    """
+
+    SHAPES = {"e": (BEFORE + 1, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "w": (HIDDEN, CLASSES), "b": (CLASSES,), "v": (FREQUENT, MEMBERS, HIDDEN), "c": (FREQUENT, MEMBERS)}
+    ROWS = 256  # of class logits at once: 131 kB, which a core's cache holds beside the rest
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        near = lambda *shape: (rng.normal(size=shape) * 0.2).astype(np.float32)
-        self.e, self.u, self.w, self.b = near(BEFORE + 1, 3 * HIDDEN), near(HIDDEN, 3 * HIDDEN), near(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32)
-        self.v, self.c = near(FREQUENT, MEMBERS, HIDDEN), np.zeros((FREQUENT, MEMBERS), np.float32)
+        self.weights = np.zeros(sum(math.prod(x) for x in self.SHAPES.values()), np.float32)
+        self.__dict__ |= self.named(self.weights)
+        self._kept: dict[str, np.ndarray] = {}
+        for name in ("e", "u", "w", "v"):
+            getattr(self, name)[...] = rng.normal(size=self.SHAPES[name]) * 0.2
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array without contents, in memory that is kept from one window to the next."""
+        size = math.prod(shape)
+        if name not in self._kept or self._kept[name].size < size:
+            self._kept[name] = np.empty(size, np.float32)
+        return self._kept[name][:size].reshape(shape)
+
+    @classmethod
+    def named(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of a vector of all weights, as views."""
+        ends = np.cumsum([math.prod(x) for x in cls.SHAPES.values()]).tolist()
+        return {name: flat[end - math.prod(shape) : end].reshape(shape) for end, (name, shape) in zip(ends, cls.SHAPES.items(), strict=True)}
 
     def start_from(self, mass: np.ndarray) -> Gru:
         """Biases from counts; places of words that don't exist get next to nothing."""
         total = np.bincount(CLASS_OF, mass, CLASSES)
-        self.b = np.log((total + 1) / (total + 1).sum()).astype(np.float32)
+        self.b[...] = np.log((total + 1) / (total + 1).sum())
         words = mass[CLASSES:].reshape(FREQUENT, MEMBERS)
-        self.c = np.where(words > 0, np.log(np.maximum(words, 1) / np.maximum(words.sum(axis=1, keepdims=True), 1)), np.where(words.sum(axis=1, keepdims=True) > 0, -40.0, 0.0)).astype(np.float32)
+        self.c[...] = np.where(words > 0, np.log(np.maximum(words, 1) / np.maximum(words.sum(axis=1, keepdims=True), 1)), np.where(words.sum(axis=1, keepdims=True) > 0, -40.0, 0.0))
         return self
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+        return self.weights.copy()
 
     def load(self, flat: np.ndarray) -> Gru:
-        at = 0
-        for n in self.NAMES:
-            old = getattr(self, n)
-            setattr(self, n, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
+        self.weights[...] = flat
         return self
 
-    def step(self, before: np.ndarray, h: np.ndarray):
-        """One step; gates by tanh of half the argument."""
-        x, a = self.e[before], h @ self.u
-        rz = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
-        rz *= np.float32(0.5)
-        np.tanh(rz, out=rz)
-        rz += 1
-        rz *= np.float32(0.5)
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = r * a[:, 2 * HIDDEN :]
-        n += x[:, 2 * HIDDEN :]
+    def _input_weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """e, and u with features first, halved for the gates, which take tanh of half their argument."""
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
+        return self.e * half, np.ascontiguousarray((self.u * half).T)
+
+    @staticmethod
+    def _step(x: np.ndarray, a: np.ndarray, h: np.ndarray, gates: np.ndarray, n: np.ndarray, after: np.ndarray) -> None:
+        """One step of [features, texts]: x from the symbols, a from the states h. Fills gates (r, z), n and after."""
+        np.add(x[: 2 * HIDDEN], a[: 2 * HIDDEN], out=gates)
+        np.tanh(gates, out=gates)
+        gates += np.float32(1)
+        gates *= np.float32(0.5)
+        np.multiply(gates[:HIDDEN], a[2 * HIDDEN :], out=n)
+        n += x[2 * HIDDEN :]
         np.tanh(n, out=n)
-        after = h - n
-        after *= z
+        np.subtract(h, n, out=after)
+        after *= gates[HIDDEN:]
         after += n
-        return after, r, z, n, a[:, 2 * HIDDEN :]
+
+    def step(self, before: np.ndarray, h: np.ndarray):
+        """One step of [texts, HIDDEN]: the states after it, and the gates."""
+        e, u = self._input_weights()
+        h = np.ascontiguousarray(h.T, np.float32)
+        a, gates, n, after = u @ h, np.empty((2 * HIDDEN, h.shape[1]), np.float32), np.empty_like(h), np.empty_like(h)
+        self._step(e.take(before, axis=0).T, a, h, gates, n, after)
+        return after.T, gates[:HIDDEN].T, gates[HIDDEN:].T, n.T, a[2 * HIDDEN :].T
 
     @staticmethod
-    def _bounded(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Logits that exp can take. States lie between -1 and 1, so weights (the bias in the last row) bound
-        them; only where the bound is too large for single precision is each row's largest taken off."""
-        if np.abs(weights).sum(axis=-2).max() >= 80:
-            logits -= logits.max(axis=1, keepdims=True)
-        return logits
+    def _unbounded(weights: np.ndarray) -> bool:
+        """Whether logits may be too large for exp in single precision. States lie between -1 and 1, so weights
+        (the bias in the last row) bound them; only beyond that bound is each row's largest taken off."""
+        return np.abs(weights).sum(axis=-2).max() >= 80
 
-    def _class_logits(self, h1: np.ndarray) -> np.ndarray:
-        """h1: states with a column of ones."""
+    def _class_logits(self, h1: np.ndarray):
+        """(where, logits) of all rows of h1, states with a column of ones, ROWS texts at a time."""
         weights = np.concatenate([self.w, self.b[None]])
-        return self._bounded(h1 @ weights, weights)
+        room, shift = self._room("classes", min(self.ROWS, len(h1)), CLASSES), self._unbounded(weights)
+        for i in range(0, len(h1), self.ROWS):
+            here = slice(i, min(i + self.ROWS, len(h1)))
+            logits = np.matmul(h1[here], weights, out=room[: here.stop - i])
+            if shift:
+                logits -= logits.max(axis=1, keepdims=True)
+            yield here, logits
 
     def _word_logits(self, h1: np.ndarray, symbols: np.ndarray):
-        """Of the frequent words among the symbols, by class: places, members, the classes' cuts, states, logits of all members."""
+        """Of the frequent words among the symbols, by class: places, members, the classes with their slices, states, logits of all members."""
         at = np.flatnonzero(symbols >= CLASSES)
         rank = symbols[at] - CLASSES
         order = np.argsort((rank // MEMBERS).astype(np.uint8), kind="stable")
         at, rank = at[order], rank[order]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(rank // MEMBERS, minlength=FREQUENT))])
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(rank // MEMBERS, minlength=FREQUENT))]).tolist()
+        met = [(k, slice(cuts[k], cuts[k + 1])) for k in range(FREQUENT) if cuts[k] < cuts[k + 1]]
         weights = np.concatenate([self.v, self.c[..., None]], axis=2).transpose(0, 2, 1)
-        states, logits, cuts = h1[at], np.empty((len(at), MEMBERS), np.float32), cuts.tolist()
-        for k in range(FREQUENT):
-            if cuts[k] < cuts[k + 1]:
-                np.matmul(states[cuts[k] : cuts[k + 1]], weights[k], out=logits[cuts[k] : cuts[k + 1]])
-        return at, rank % MEMBERS, cuts, states, self._bounded(logits, weights)
+        states, logits = h1.take(at, axis=0, out=self._room("own", len(at), HIDDEN + 1), mode="clip"), self._room("words", len(at), MEMBERS)
+        for k, here in met:
+            np.matmul(states[here], weights[k], out=logits[here])
+        if len(at) and self._unbounded(weights):
+            logits -= logits.max(axis=1, keepdims=True)
+        return at, rank % MEMBERS, met, states, logits
 
-    def log_targets(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """log P(class | state), and for frequent words + log P(word | class, state)."""
-        h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
-        logits = self._class_logits(h1)
-        out = logits[np.arange(len(h)), CLASS_OF[symbols]]
-        out -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, np.float32))
+    def _log_targets(self, h1: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        out, classes, rows = np.empty(len(symbols), np.float32), CLASS_OF[symbols], np.arange(len(symbols))
+        for here, logits in self._class_logits(h1):
+            own = logits[rows[: len(logits)], classes[here]]
+            out[here] = own - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, np.float32))
         at, member, _, _, logits = self._word_logits(h1, symbols)
         if len(at):
-            own = logits[np.arange(len(at)), member]
+            own = logits[rows[: len(at)], member]
             out[at] += own - np.log(np.exp(logits, out=logits) @ np.ones(MEMBERS, np.float32))
         return out
 
+    def log_targets(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """log P(class | state), and for frequent words + log P(word | class, state); h: [texts, HIDDEN]."""
+        return self._log_targets(np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1), symbols)
+
     def window(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray):
-        """Gradients over a window [time, lanes] and the state after it. The state is zero wherever a text begins."""
-        steps, kept, start, full = len(inputs), [], h, bool(live.all())
-        begins = inputs == BEFORE
-        some = begins.any(axis=1)
-        states = np.ones((steps, len(h), HIDDEN + 1), np.float32)
+        """Gradients, by name, over a window [time, lanes] and the state after it, [lanes, HIDDEN]."""
+        grads = np.zeros_like(self.weights)
+        return self.named(grads), self.add_gradient(inputs, targets, live, h, grads)
+
+    def add_gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray, grads: np.ndarray) -> np.ndarray:
+        """Adds a window's gradients to grads, laid out as weights; the state after it. The state is zero wherever a text begins."""
+        steps, lanes = inputs.shape
+        g, full, begins = self.named(grads), bool(live.all()), inputs == BEFORE
+        some = begins.any(axis=1).tolist()
+        e, u = self._input_weights()
+        h = np.ascontiguousarray(h.T, np.float32)
+        before, gates, n, a = (self._room(name, steps, k * HIDDEN, lanes) for name, k in (("before", 1), ("gates", 2), ("n", 1), ("a", 3)))
+        states, x, after = self._room("states", steps, lanes, HIDDEN + 1), self._room("x", 3 * HIDDEN, lanes), np.empty_like(h)
+        states[:, :, HIDDEN] = 1
         for t in range(steps):
-            if some[t]:
-                h = np.where(begins[t][:, None], np.float32(0), h)
-            after, *gates = self.step(inputs[t], h)
-            kept.append((h, *gates))
-            h = after if full else np.where(live[t][:, None], after, h)
-            states[t, :, :HIDDEN] = h
-        states, symbols = states.reshape(-1, HIDDEN + 1), np.where(live, targets, END).ravel()
-        p = self._class_logits(states)
-        np.exp(p, out=p)
-        p *= 1 / (p @ np.ones((CLASSES, 1), np.float32))
-        p[np.arange(len(p)), CLASS_OF[symbols]] -= 1
-        if not full:
-            p *= live.reshape(-1, 1)
-        both = states.T @ p
-        grads = {"w": both[:HIDDEN], "b": both[HIDDEN], "e": np.zeros_like(self.e), "u": np.zeros_like(self.u), "v": np.zeros_like(self.v), "c": np.zeros_like(self.c)}
-        back = p @ self.w.T
-        at, member, cuts, own, q = self._word_logits(states, symbols)
-        if len(at):
-            np.exp(q, out=q)
-            q *= 1 / (q @ np.ones((MEMBERS, 1), np.float32))
-            q[np.arange(len(q)), member] -= 1
-            more = np.empty((len(at), HIDDEN), np.float32)
-            for k in range(FREQUENT):
-                here = slice(cuts[k], cuts[k + 1])
-                if cuts[k] < cuts[k + 1]:
-                    both = q[here].T @ own[here]
-                    grads["v"][k], grads["c"][k] = both[:, :HIDDEN], both[:, HIDDEN]
-                    np.matmul(q[here], self.v[k], out=more[here])
-            back[at] += more
-        back = back.reshape(steps, -1, HIDDEN)
-        carry = np.zeros_like(start)
-        slopes = np.empty((steps, len(start), 3 * HIDDEN), np.float32)
+            before[t] = np.where(begins[t], np.float32(0), h) if some[t] else h
+            np.matmul(u, before[t], out=a[t])
+            x[...] = e.take(inputs[t], axis=0).T
+            self._step(x, a[t], before[t], gates[t], n[t], after)
+            h = after if full else np.where(live[t], after, before[t])
+            states[t, :, :HIDDEN] = h.T
+        back = self._output_gradient(states.reshape(-1, HIDDEN + 1), np.where(live, targets, END).ravel(), None if full else live.ravel(), g).reshape(steps, lanes, HIDDEN)
+        # slopes of the new state in what each gate takes: (1 - z)(1 - nn), (before - n) z (1 - z), a r (1 - r)
+        r, z, to_r = gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, 2 * HIDDEN :]
+        to_n, to_z = np.subtract(1, z, out=self._room("to_n", *z.shape)), np.subtract(before, n, out=self._room("to_z", *z.shape))
+        to_z *= z
+        to_z *= to_n
+        np.multiply(n, n, out=n)
+        to_n *= np.subtract(1, n, out=n)
+        to_r *= r
+        to_r *= np.subtract(1, r, out=n)
+        slopes, slope = self._room("slopes", steps, lanes, 3 * HIDDEN), self._room("slope", 3 * HIDDEN, lanes)
+        dr, dz, dn = (slope[k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        carry, d = np.zeros_like(after), np.empty_like(after)
         for t in reversed(range(steps)):
-            before, r, z, n, inner = kept[t]
-            on = live[t][:, None]
-            d = carry + back[t]
-            dn, dz = d * (1 - z), d * (before - n)
-            dn *= 1 - n * n
-            slope = slopes[t]
-            slope[:, :HIDDEN] = dn * inner * r * (1 - r)
-            slope[:, HIDDEN : 2 * HIDDEN] = dz * z * (1 - z)
-            slope[:, 2 * HIDDEN :] = dn
-            if not full:
-                slope *= on
-            hidden = slope.copy()
-            hidden[:, 2 * HIDDEN :] *= r
-            grads["u"] += before.T @ hidden
-            carry = d * z + hidden @ self.u.T
+            np.add(carry, back[t].T, out=d)
+            np.multiply(d, to_n[t], out=dn)
+            np.multiply(d, to_z[t], out=dz)
+            np.multiply(dn, to_r[t], out=dr)
             if not full:
-                carry = np.where(on, carry, d)
+                slope *= live[t]
+            slopes[t] = slope.T
+            dn *= r[t]
+            g["u"] += before[t] @ slope.T
+            carry = self.u @ slope
+            if full:
+                d *= z[t]
+                carry += d
+            else:
+                carry = np.where(live[t], d * z[t] + carry, d)
             if some[t]:
-                carry = np.where(begins[t][:, None], np.float32(0), carry)
-        flat, symbols = slopes.reshape(-1, 3 * HIDDEN), inputs.ravel()
-        order = np.argsort(symbols, kind="stable")
+                carry[:, begins[t]] = 0
+        symbols = inputs.ravel()
+        order = np.argsort(symbols.astype(np.uint16), kind="stable")
         cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-        grads["e"][symbols[order][cuts]] = np.add.reduceat(flat[order], cuts, axis=0)
-        return grads, h
+        slopes = slopes.reshape(-1, 3 * HIDDEN).take(order, axis=0, out=self._room("sorted", len(order), 3 * HIDDEN), mode="clip")
+        g["e"][symbols[order[cuts]]] += np.add.reduceat(slopes, cuts, axis=0)
+        return h.T.copy()
+
+    def _output_gradient(self, h1: np.ndarray, symbols: np.ndarray, live: np.ndarray | None, g: dict[str, np.ndarray]) -> np.ndarray:
+        """Adds to g of the outputs and returns the slopes of the states. h1: states with a column of ones."""
+        back, rows, classes = self._room("back", len(symbols), HIDDEN), np.arange(len(symbols)), CLASS_OF[symbols]
+        for here, p in self._class_logits(h1):
+            # p stays unnormalised: each row's sum divides the narrow factor of each product
+            total = np.exp(p, out=p) @ np.ones(CLASSES, np.float32)
+            p[rows[: len(p)], classes[here]] -= total
+            each = 1 / total if live is None else live[here] / total
+            g["w"] += np.multiply(h1[here, :HIDDEN].T, each, order="C") @ p
+            g["b"] += each @ p
+            np.matmul(p, self.w.T, out=back[here])
+            back[here] *= each[:, None]
+        at, member, met, own, q = self._word_logits(h1, symbols)
+        if len(at):
+            total = np.exp(q, out=q) @ np.ones(MEMBERS, np.float32)
+            q[rows[: len(at)], member] -= total
+            each = (1 / total)[:, None]
+            own *= each
+            more = self._room("more", len(at), HIDDEN)
+            for k, here in met:
+                both = q[here].T @ own[here]
+                g["v"][k] += both[:, :HIDDEN]
+                g["c"][k] += both[:, HIDDEN]
+                np.matmul(q[here], self.v[k], out=more[here])
+            more *= each
+            back[at] += more
+        return back
 
 
 def training_rows(data: DataFrame) -> DataFrame:
@@ -438,28 +508,29 @@ def train_shard(net: Gru, docs: list[np.ndarray], rate: float) -> int:
     total = sum(map(len, docs))
     lanes = min(LANES, max(8, total >> 13), max(len(docs), 1))
     dealt = Lanes(docs, lanes, total)
-    state: dict = {}
-    held: dict | None = None
     steps = waiting = 0
     h = np.zeros((lanes, HIDDEN), np.float32)
+    m, v, grads, change = (np.zeros_like(net.weights) for _ in range(4))
     for stop, inputs, targets, live in dealt.windows():
-        grads, h = net.window(inputs, targets, live, h[: inputs.shape[1]])
+        h = net.add_gradient(inputs, targets, live, h[: inputs.shape[1]], grads)
         waiting += int(live.sum())
-        held = grads if held is None else {k: held[k] + g for k, g in grads.items()}
         if waiting * 4 < lanes * WINDOW and stop < len(dealt):
             continue
         steps += 1
         fix = math.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-        for name, g in held.items():
-            g *= np.float32(1 / max(waiting, 1))
-            m, v = state.setdefault(name, [np.zeros_like(g), np.zeros_like(g)])
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            v *= np.float32(0.999)
-            g *= g
-            v += np.float32(0.001) * g
-            setattr(net, name, getattr(net, name) - np.float32(rate * fix) * m / (np.sqrt(v) + np.float32(1e-8)))
-        held, waiting = None, 0
+        grads *= np.float32(1 / max(waiting, 1))
+        m *= np.float32(0.9)
+        m += np.multiply(grads, np.float32(0.1), out=change)
+        v *= np.float32(0.999)
+        grads *= grads
+        grads *= np.float32(0.001)
+        v += grads
+        np.sqrt(v, out=grads)
+        grads += np.float32(1e-8)
+        np.multiply(m, np.float32(rate * fix), out=change)
+        change /= grads
+        net.weights -= change
+        grads[...] = waiting = 0
     return total
 
 
@@ -524,24 +595,29 @@ def document_scores(net: Gru, kinds: np.ndarray, sizes: list[int], width: int =
     sizes = np.asarray(sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out, order = np.zeros(len(sizes)), np.argsort(-sizes, kind="stable")
+    e, u = net._input_weights()
+    room = 4_096 + width
+    states, targets, who = np.ones((room, HIDDEN + 1), np.float32), np.zeros(room, np.int64), np.zeros(room, np.int64)
     for i in range(0, len(order), width):
         group = order[i : i + width]
-        size, longest = sizes[group], int(sizes[group[0]])
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        before = np.full(len(group), BEFORE)
-        states, targets, who, held = [], [], [], 0
-        for t in range(longest):
-            many = int(np.searchsorted(-size, -t, side="left"))  # documents longer than t
-            h = net.step(before[:many], h[:many])[0]
-            before = kinds[starts[group[:many]] + t].astype(np.int64)
-            states.append(h)
-            targets.append(before)
-            who.append(group[:many])
+        size, begin, longest = sizes[group], starts[group], int(sizes[group[0]])
+        there = np.searchsorted(-size, -np.arange(longest), side="left").tolist()  # documents longer than t
+        h, before, held, last = np.zeros((HIDDEN, len(group)), np.float32), np.full(len(group), BEFORE), 0, 0
+        for t, many in enumerate(there):
+            if many != last:
+                h, last = h[:, :many], many
+                gates, n, after = (np.empty((k * HIDDEN, many), np.float32) for k in (2, 1, 1))
+            net._step(np.ascontiguousarray(e.take(before[:many], axis=0).T), u @ h, h, gates, n, after)
+            h, after = after, np.empty_like(after)
+            here = slice(held, held + many)
+            states[here, :HIDDEN] = h.T
+            targets[here] = before = kinds[begin[:many] + t]
+            who[here] = group[:many]
             held += many
-            if held >= 6_000 or t == longest - 1:
-                logs = net.log_targets(np.concatenate(states), np.concatenate(targets))
-                out += np.bincount(np.concatenate(who), logs.astype(np.float64), len(sizes))
-                states, targets, who, held = [], [], [], 0
+            if held >= 4_096 or t == longest - 1:
+                logs = net._log_targets(states[:held], targets[:held])
+                out += np.bincount(who[:held], logs.astype(np.float64), len(sizes))
+                held = 0
     return out
 
 
@@ -571,7 +647,7 @@ def score_documents(docs: DataFrame, held_out=is_held_out, id_col: str = "doc_id
     training rows every probability is that of the unseen symbol and of the untrained net. Repeated rows count
     each. Scores don't depend on how docs is partitioned, but for rounding.
     """
-    chunks = word_chunks.chunked(docs, words, extra=F.when(held_out(F.col(id_col)), 0).otherwise(1), id_col=id_col, text_col=text_col)
+    chunks = word_chunks.chunked(docs, words, extra=F.when(held_out(F.col(id_col)), 0).otherwise(1), id_col=id_col, text_col=text_col, split_arrays=words_of)
     training = chunks.select(F.coalesce(F.sum(F.size(F.filter("extra", lambda x: x > 0))), F.lit(0))).first()[0]
     table = word_table(chunks)
     vocab = vocabulary(table, training)

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,23 @@ def split_words(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
+def join_array(words: pa.Array) -> bytes:
+    """join_words of a binary array, from its memory."""
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1]
+    data = words.buffers()[2]
+    return squeeze(n.to_bytes(4, "little") + np.diff(ends).astype("<u4").tobytes() + (data[int(ends[0]) : int(ends[-1])].to_pybytes() if data else b""))
+
+
+def split_array(data: bytes) -> pa.Array:
+    """What split_words gives, as a binary array over the stretched bytes."""
+    data = stretch(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.zeros(n + 1, np.int32)
+    np.cumsum(np.frombuffer(data, "<u4", n, 4), out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)[4 + 4 * n :]])
+
+
 class _Codes(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
@@ -99,10 +117,39 @@ def _chunk(number: int, docs: list, extra: list, sizes: list, coded: list, words
     return {"chunk": number, "doc_ids": docs, "extra": extra, "sizes": sizes, "codes": pack_codes(rank[codes].astype(np.int64)), "order": order, "parts": made}
 
 
-def chunked(docs: DataFrame, split: Callable[[bytes], Iterable], extra=None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12_000_000, chunk_words: int = 300_000) -> DataFrame:
+def _array_chunk(number: int, docs: list, extra: list, sizes: list, found: list[pa.Array], parts: int) -> dict:
+    """As _chunk, of arrays of all words in order: coded, dealt into parts and sorted as arrays."""
+    coded = pa.concat_arrays(found).dictionary_encode()
+    codes, names = coded.indices.to_numpy(), coded.dictionary
+    counts = np.bincount(codes, minlength=len(names))
+    flagged = np.bincount(codes, np.repeat(np.asarray(extra) > 0, sizes), minlength=len(names)).astype("<u4")
+    rank = np.empty(len(names), np.int32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(names), dtype=np.int32)
+    starts, data = np.frombuffer(names.buffers()[1], np.int32)[names.offset :].tolist(), memoryview(names.buffers()[2] or b"")
+    part = np.fromiter((zlib.crc32(data[starts[i] : starts[i + 1]]) for i in range(len(names))), np.int64, len(names)) % parts
+    mine = pc.sort_indices(names).to_numpy()
+    mine = mine[np.argsort(part[mine], kind="stable")]
+    ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
+    names, flagged = names.take(pa.array(mine)), flagged[mine]
+    made = [{"part": k, "words": join_array(names[a:b]), "counts": squeeze(flagged[a:b].tobytes())} for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+    return {"chunk": number, "doc_ids": docs, "extra": extra, "sizes": sizes, "codes": pack_codes(rank[codes]), "order": rank[mine].astype("<u4").tobytes(), "parts": made}
+
+
+def _pieces(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows: one ends with the row that takes its texts to size bytes."""
+    ends, first = np.cumsum([len(t.as_buffer()) for t in batch.column(2)]), 0
+    while first < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size)) + 1
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
+def chunked(docs: DataFrame, split: Callable[[bytes], Iterable], extra=None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12_000_000, chunk_words: int = 300_000, split_arrays: Callable[[pa.Array], tuple[np.ndarray, pa.Array]] | None = None) -> DataFrame:
     """The chunk table of docs, written and read back. split(text as UTF-8 bytes) gives its words, as str or bytes.
 
-    extra: an int Column that stays with each document. Null text counts as empty.
+    extra: an int Column that stays with each document. Null text counts as empty. split_arrays: instead of
+    split, a function of an array of texts that gives the number of words of each and all words, binary; words
+    are no Python objects then, so bytes alone bound a chunk.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -128,9 +175,27 @@ def chunked(docs: DataFrame, split: Callable[[bytes], Iterable], extra=None, id_
         if ids:
             yield pa.RecordBatch.from_pylist([_chunk(first + number, ids, extras, sizes, coded, words, parts)], ARROW)
 
+    def run_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number = TaskContext.get().partitionId() << 24, 0
+        ids, extras, sizes, found, size = [], [], [], [], 0
+        for batch in batches:
+            for piece in _pieces(batch, chunk_bytes // 8):
+                many, now = split_arrays(piece.column(2))
+                ids += piece.column(0).to_pylist()
+                extras += piece.column(1).to_pylist()
+                sizes += many.tolist()
+                found.append(now)
+                size += sum(len(t.as_buffer()) for t in piece.column(2))
+                if size >= chunk_bytes:
+                    yield pa.RecordBatch.from_pylist([_array_chunk(first + number, ids, extras, sizes, found, parts)], ARROW)
+                    number += 1
+                    ids, extras, sizes, found, size = [], [], [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_pylist([_array_chunk(first + number, ids, extras, sizes, found, parts)], ARROW)
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(0) if extra is None else extra).cast("int").alias("extra"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     name = f"quillspark_chunks_{uuid.uuid4().hex}"
-    made = rows.mapInArrow(run, CHUNKS)
+    made = rows.mapInArrow(run_arrays if split_arrays else run, CHUNKS)
     made.write.format("parquet").option("compression", "zstd").option("path", workspace.stage_path(spark, "chunks")).bucketBy(n, "chunk").saveAsTable(name)
     chunks = spark.table(name)
     # buckets need a table to be written; once resolved, the rows are read by their files alone

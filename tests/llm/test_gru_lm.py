@@ -3,9 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillspark.llm import gru_lm
+from quillspark.llm import gru_lm, word_chunks
 
 SCHEMA = "doc_id long, text string, score double, kinds string"
 
@@ -188,3 +189,61 @@ def test_learns(spark):
     assert np.mean([r["score"] > r["base_score"] for r in rows]) > 0.9
     per_token = sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows)
     print("log10 per token", per_token, sum(r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows))
+
+
+ODD_TEXTS = [b"", b" ", b" a", b"a ", b"\n\n a\tB\x0bc\x0cd\re  ", "\u00c9 \u00e9 A\x1c\x1d\x85 x\u00a0y  z\x00".encode(), b"x" * 50_000, b"the the The a"]
+
+
+def test_words_as_arrays():
+    """Arrays give the words and, coded, the chunk that Python words give."""
+    many, found = gru_lm.words_of(pa.array(ODD_TEXTS, pa.binary()))
+    by_text = [gru_lm.words(t) for t in ODD_TEXTS]
+    assert many.tolist() == [len(w) for w in by_text] and found.to_pylist() == [w for ws in by_text for w in ws]
+    codes = word_chunks._Codes()
+    coded = [np.fromiter(map(codes.__getitem__, ws), np.int32, len(ws)) for ws in by_text]
+    ids, extra = list(range(len(ODD_TEXTS))), [k % 2 for k in range(len(ODD_TEXTS))]
+    pieces = [gru_lm.words_of(pa.array(ODD_TEXTS, pa.binary()).slice(k, 2))[1] for k in range(0, len(ODD_TEXTS), 2)]
+    for parts in (1, 5, 50):
+        assert word_chunks._array_chunk(3, ids, extra, many.tolist(), pieces, parts) == word_chunks._chunk(3, ids, extra, many.tolist(), coded, codes, parts)
+    empty = word_chunks._array_chunk(0, [1], [1], [0], [found[:0]], 5)
+    assert empty["codes"] == empty["order"] == b"" and empty["parts"] == []
+    for part in word_chunks._array_chunk(0, ids, extra, many.tolist(), pieces, 5)["parts"]:
+        assert word_chunks.split_array(part["words"]).to_pylist() == word_chunks.split_words(part["words"])
+
+
+def test_counts_of_many_chunks(spark):
+    """More chunks than word_table holds at once: counts and symbols as by hand."""
+    rng = np.random.default_rng(8)
+    rows = [(d, " ".join(f"w{k}" for k in rng.zipf(1.5, 30) if k < 500)) for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    chunks = word_chunks.chunked(docs, gru_lm.words, extra=gru_lm.F.lit(1), chunk_bytes=16, split_arrays=gru_lm.words_of)
+    assert chunks.count() == 300
+    counts = Counter(w for _, t in rows for w in gru_lm.words(t.encode()))
+    table = gru_lm.word_table(chunks)
+    got = {}
+    for r in table.collect():
+        got |= dict(zip(word_chunks.split_words(r["words"]), np.frombuffer(word_chunks.stretch(r["counts"]), "<i8").tolist(), strict=True))
+        mine = Counter({w: c for w, c in got.items() if zlib.crc32(w) % int(spark.conf.get("spark.sql.shuffle.partitions")) == r["part"]})
+        assert r["tokens"] == sum(mine.values()) and r["distinct"] == len(mine)
+        assert [(bytes(x["word"]), x["n"]) for x in r["top"]] == sorted(mine.items(), key=lambda x: (-x[1], x[0]))[: gru_lm.WORDS]
+    assert got == counts
+    vocab = gru_lm.vocabulary(table, 300)
+    vocab.mass = gru_lm._symbol_mass(table, vocab)
+    data = gru_lm.sequences(chunks, gru_lm._classed(chunks, table, vocab), vocab).collect()
+    kinds = {r["doc_ids"][0]: np.frombuffer(r["kinds"], "<u2").tolist() for r in data}
+    assert kinds == {d: [*(vocab.symbol_of(w, counts[w]) for w in gru_lm.words(t.encode())), gru_lm.END] for d, t in rows}
+
+
+def test_windows_reuse_their_memory():
+    """After the first window of a shard the next take no new arrays of its size; before, each took megabytes."""
+    import tracemalloc
+
+    net, rng = gru_lm.Gru(1), np.random.default_rng(2)
+    inputs, targets = rng.integers(128, 1152, (2, gru_lm.WINDOW, 256))
+    live, h = np.ones(inputs.shape, bool), np.zeros((256, gru_lm.HIDDEN), np.float32)
+    _, h = net.window(inputs, targets, live, h)
+    tracemalloc.start()
+    net.window(inputs, targets, live, h)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2_000_000, most
