@@ -1,12 +1,13 @@
 """Hand-made cases for operators whose results have no plain SQL form."""
 
 import math
+import random
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import refiners, text
+from quillspark.functions import refiners, text, vectors
 from quillspark.operators import analytics, chunking, dedup, graph, search, tables, timeline
 from quillspark.sources import pages
 from quillspark.streaming import ingest
@@ -220,3 +221,22 @@ def test_summary(spark):
 
     got = enrich.extract(docs(spark, "Cats eat fish. Birds sing. Cats like fish and cats sleep."), 1).first()
     assert got["summary"] == "Cats eat fish."
+
+
+def test_vector_pairs_by_blocks(spark):
+    rng = random.Random(9)
+    unit = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), unit()) for i in range(130)]
+    rows += [(200, 1, [0.0] * 6), (201, 1, [None, *unit()[:5]]), (202, 1, None), (203, 1, []), (204, 1, unit()[:5]), (205, 1, [float("nan")] * 6), (206, 1, rows[0][2]), (None, 1, unit())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3)
+    a, b = df.alias("a"), df.alias("b")
+    joined = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    every = joined.select("a.vec_id", F.col("b.vec_id").alias("b"), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("s")).collect()
+    assert any(r.s != r.s for r in every)
+    for threshold in (0.6, -0.5):
+        want = sorted((*r[:2], str(r.s)) for r in every if not r.s < threshold)
+        for size in (7, 2000):
+            found = dedup.vector_pairs(df, threshold, per_block=size)
+            assert sorted((r.a, r.b, str(r.similarity)) for r in found.collect()) == want
+            # two rows of a label do not meet in a join of the label with itself
+            assert threshold < 0 or "id#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
