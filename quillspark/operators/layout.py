@@ -7,10 +7,16 @@ no more than lies there, however many elements the page has.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a task holds before it hands them on.
+ROWS_AT_ONCE = 100_000
+
 
 def _cells(low: Column, high: Column, cell: int) -> Column:
     """Cells that [low, high) touches; none of an empty one."""
@@ -46,36 +52,77 @@ def overlapping_boxes(a: DataFrame, b: DataFrame, page: str = "page", cell: int
     return met.where((x1 < x2) & (y1 < y2) & first).select(page, "a", "b", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
 
-def located(elements: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """key, id, low, high: where each element stands in the text of its key, in code points.
+def _starts(text: str, elements: list[str]) -> Iterator[tuple[int, int]]:
+    """(number, start) of the elements that are found, one after the other."""
+    at = 0
+    for i, e in enumerate(elements):
+        start = text.find(e, at) if e else -1
+        if start >= 0:
+            yield i, start
+            at = start + 1
+
+
+def _sorted_lists(elements: DataFrame, key: str) -> DataFrame:
+    return elements.where("length(text) > 0").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("no", "id", "text"))).alias("elements"))
+
 
-    elements: key, id, no (their order), text; texts: key, text. Elements are looked for in their order, each from one
-    character behind the place of the one before; empty ones and those not found from there are left out and move nothing.
-    An element list belongs to one text, so it is no larger than a document.
+def in_ranges(lists: DataFrame, key: str) -> DataFrame:
+    """(key, range, element) of all elements that share a character with a range of their text.
+
+    lists: key, text, elements (array of no, id, text in order), ranges (array of id, low, high). Elements are looked for in
+    their order, each from one character behind the place of the one before; empty ones and those not found from there
+    are left out and move nothing. Ranges that are empty or have a null end hold nothing. Rows of a document stay in its
+    task; documents are taken one by one, not a batch of them at once.
     """
-    lists = elements.where("length(text) > 0").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("no", "id", "text"))).alias("elements"))
-    kinds = dict(elements.dtypes)
+    kind = lists.schema
+    inner = lambda c: kind[c].dataType.elementType["id"].dataType.simpleString()
 
     def look(batches):
-        for pdf in batches:
-            rows = []
-            for k, text, found in zip(pdf[key], pdf["text"], pdf["elements"], strict=True):
-                at = 0
-                for e in found:
-                    start = text.find(e["text"], at)
-                    if start >= 0:
-                        rows.append((k, e["id"], start, start + len(e["text"])))
-                        at = start + 1
-            yield pd.DataFrame(rows, columns=[key, "id", "low", "high"])
-
-    joined = texts.where("text IS NOT NULL").select(key, "text").join(lists, key)
-    return joined.mapInPandas(look, f"`{key}` {kinds[key]}, id {kinds['id']}, low long, high long")
+        for batch in batches:
+            texts, lists, ranges = (batch.column(c) for c in ("text", "elements", "ranges"))
+            element_ids, words = lists.values.field("id"), lists.values.field("text")
+            range_ids, lows, highs = (ranges.values.field(c) for c in ("id", "low", "high"))
+            found: list[tuple[np.ndarray, ...]] = []
+            rows = 0
+
+            def made():
+                row, r, e = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(key).take(row), range_ids.take(r), element_ids.take(e)], names=[key, "range", "element"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                if not (texts[i].is_valid and lists[i].is_valid and ranges[i].is_valid):
+                    continue
+                first, last = lists.offsets[i].as_py(), lists.offsets[i + 1].as_py()
+                mine = words.slice(first, last - first).to_pylist()
+                places = np.array([*_starts(texts[i].as_py(), mine)], dtype="int64").reshape(-1, 2)
+                starts, long = places[:, 1], np.array([len(mine[n]) for n in places[:, 0]], dtype="int64")
+                longest = long.max(initial=0)
+                for r in range(ranges.offsets[i].as_py(), ranges.offsets[i + 1].as_py()):
+                    low, high = lows[r].as_py(), highs[r].as_py()
+                    if low is None or high is None or low >= high:
+                        continue
+                    a, b = np.searchsorted(starts, [low - longest + 1, high])
+                    hits = np.flatnonzero(starts[a:b] + long[a:b] > low) + a
+                    if len(hits):
+                        found.append((np.full(len(hits), i), np.full(len(hits), r), places[hits, 0] + first))
+                        rows += len(hits)
+                        if rows >= ROWS_AT_ONCE:
+                            yield made()
+                            found, rows = [], 0
+            if found:
+                yield made()
+
+    few = lists.select(key, "text", "elements", "ranges")
+    return few.mapInArrow(look, f"`{key}` {kind[key].dataType.simpleString()}, range {inner('ranges')}, element {inner('elements')}")
 
 
 def elements_in_ranges(elements: DataFrame, texts: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """(key, range, element) of all elements that share a character with a range (key, id, low, high) of their text."""
-    found = overlapping(located(elements, texts, key), ranges, key)
-    return found.select(key, F.col("b").alias("range"), F.col("a").alias("element"))
+    """(key, range, element) by in_ranges, of elements (key, id, no, text), texts (key, text) and ranges (key, id, low, high).
+
+    Elements and ranges belong to one text, so their lists are no larger than a document.
+    """
+    of = ranges.where("low < high").groupBy(key).agg(F.collect_list(F.struct("id", "low", "high")).alias("ranges"))
+    return in_ranges(texts.where("text IS NOT NULL").select(key, "text").join(_sorted_lists(elements, key), key).join(of, key), key)
 
 
 def enclosing_boxes(elements: DataFrame, by: list[str]) -> DataFrame:

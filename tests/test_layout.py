@@ -68,3 +68,17 @@ def test_linked(spark):
     got = layout.linked_boxes(boxes, entities)
     assert got.columns == ["id", "label", "place", "entity"]
     assert {(r.id, r.entity) for r in got.collect()} == {(1, "e1"), (2, "e1"), (6, "e2")}
+
+
+def test_ranges_in_a_row(spark):
+    """Lists that lie beside their text: nulls and empty ranges, and the query moves no word between tasks."""
+    from quillspark.plans import registry
+
+    text = "a bb a ccc é𝒳 bb"
+    words = [(n, 10 + n, w) for n, w in enumerate(["a", "bb", "", None, "zz", "ccc", "a", "bb"])]
+    rows = [(1, text, words, [(0, 0, 3), (1, 3, 9), (2, 5, 5), (3, None, 4), (4, 2, 99)]), (2, None, words, [(0, 0, 9)]), (3, "x", None, [(0, 0, 9)]), (4, "x", words, None), (5, "", [], [(0, 0, 9)])]
+    df = spark.createDataFrame(rows, "doc long, text string, elements array<struct<no:int,id:int,text:string>>, ranges array<struct<id:long,low:long,high:long>>")
+    want = [(1, r, 10 + n) for r, x, y in [(0, 0, 3), (1, 3, 9), (4, 2, 99)] for n in one_text([(n, w) for n, _, w in words], text, x, y)]
+    assert sorted(tuple(r) for r in layout.in_ranges(df.coalesce(1), "doc").collect()) == want and len(want) == 7
+    plan = registry.queries()["elements_in_ranges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "MapInPandas" not in plan
