@@ -240,3 +240,21 @@ def test_vector_pairs_by_blocks(spark):
             assert sorted((r.a, r.b, str(r.similarity)) for r in found.collect()) == want
             # two rows of a label do not meet in a join of the label with itself
             assert threshold < 0 or "id#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_sets_move_only_where_they_are_near(spark):
+    """Sets that share their rarest items but are far apart are told apart before a set is moved, whatever order items have."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(i, rng.sample(base, 60) + [f"own{i}_{k}" for k in range(rng.choice([0, 5, 60]))]) for i in range(60)]
+    rows += [(100 + i, rows[i][1][::-1]) for i in range(5)] + [(200 + i, rows[i][1][:-3] + ["x", "y"]) for i in range(5)] + [(300, []), (301, None)]
+    df = spark.createDataFrame(rows, "id long, items array<string>").repartition(4)
+    for threshold in (0.8, 0.55):
+        sets = {i: set(x) for i, x in rows if x}
+        want = {(i, j): round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 9) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-12}
+        found = dedup.similar_pairs(df, threshold)
+        assert {(r.a, r.b): round(r.similarity, 9) for r in found.collect()} == want and len(want) >= 10 and found.count() == len(want)
+    pairs, _ = dedup.similar_classes(df, 0.8)
+    moved = [f for f in pairs.inputFiles() if "/near-" in f]
+    near = spark.read.parquet(*moved).count()
+    assert len([1 for p in want if p[0] < p[1]]) > near >= 1
