@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 COLUMN_GAP, ALIGNMENT, LEAST_CELLS = 50, 15, 4
 #: Larger boxes are paragraphs, not cells.
 WIDEST_CELL, HIGHEST_CELL = 500, 100
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 LAYOUTS = {0: "single_column", 1: "single_column", 2: "two_column", 3: "three_column"}
 
 
@@ -57,15 +58,22 @@ def _by_page(elements: DataFrame, keys: list[str], fields: list[str], make: Call
     kinds = dict(elements.dtypes)
     pages = elements.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("elements"))
     names = [*keys, *(c.split()[0] for c in columns.split(", "))]
+    kind = [ARROW.get(c.split()[1]) for c in columns.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, found in zip(pdf[keys].itertuples(index=False, name=None), pdf["elements"], strict=True):
-                rows += [(*key, *r) for r in make([tuple(e[f] for f in fields) for e in found])]
-            yield pd.DataFrame(rows, columns=names)
-
-    return pages.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + columns)
+        for batch in batches:
+            lists = batch.column("elements")
+            cuts = lists.offsets.to_pylist()
+            every = [*zip(*(lists.values.field(f).slice(cuts[0], cuts[-1] - cuts[0]).to_pylist() for f in fields), strict=True)]
+            rows, page = [], []
+            for i in range(batch.num_rows):
+                made = make(every[cuts[i] - cuts[0] : cuts[i + 1] - cuts[0]])
+                rows += made
+                page += [i] * len(made)
+            out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kind), kind, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(page, pa.int64())) for k in keys), *out], names=names)
+
+    return pages.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + columns)
 
 
 def reading_order(elements: DataFrame, keys: list[str], gap: int = COLUMN_GAP) -> DataFrame:

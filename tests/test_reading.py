@@ -92,3 +92,24 @@ def test_grids(spark):
     df = spark.createDataFrame([("p", *c) for c in cells] + [("q", *c) for c in cells[:2]] + [("p", 9, None, 1, 1, 1, "z")], "page string, no int, x1 int, y1 int, x2 int, y2 int, text string")
     got = {(r.page, r.row, r.col): (r.text, r.is_header) for r in reading.grid_tables(df, ["page"]).collect()}
     assert len(got) == 9 and got["p", 1, 1] == ("41", False) and got["p", 0, 0] == ("Name", True)
+
+
+def test_plain_files_are_read_alike(monkeypatch):
+    """Files of plain tags never reach the general parser, and nothing else is read without it."""
+    rng = random.Random(5)
+    pieces = ["<div class='ocr_page' title='bbox 0 0 9 9'>", "<div class=\"ocr_carea\" title='bbox 1 1 2 2'>", "<span class='ocrx_word' id='w' title=\"bbox 1 2 3 4; x_wconf 9\">", "</div>", "</span>", "</p>", "<p>", " a b ", "é > x", "\n"]
+    odd = ["&amp;", "<br>", "<DIV>", "<!-- x -->", "< 3", "<p hidden>", "<span class=ocrx_word>", "</div >", "<", "<script>", "</p class='x'>", "<p title='a\nb'>", "&"]
+
+    def general(content):
+        parser = hocr._Elements()
+        parser.feed(content)
+        parser.close()
+        return [{**r, "text": " ".join(r["text"])} for r in parser.rows]
+
+    plain = [pieces[0] + "".join(rng.choices(pieces[1:], k=rng.randint(0, 25))) for _ in range(300)]
+    mixed = [pieces[0] + "".join(rng.choices(pieces + odd, k=rng.randint(0, 25))) for _ in range(600)]
+    for content in [*plain, *mixed, PAGE]:
+        assert hocr.parse_hocr(content) == general(content)
+    want = [hocr.parse_hocr(p) for p in plain]
+    monkeypatch.setattr(hocr._Elements, "feed", None)
+    assert [hocr.parse_hocr(p) for p in plain] == want and any(want)
