@@ -258,3 +258,23 @@ def test_sets_move_only_where_they_are_near(spark):
     moved = [f for f in pairs.inputFiles() if "/near-" in f]
     near = spark.read.parquet(*moved).count()
     assert len([1 for p in want if p[0] < p[1]]) > near >= 1
+
+
+def test_windows_meet_on_rare_words(spark):
+    """All matches by brute force, texts of frequent words too; what is shuffled are matches, not shared words."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60) for _ in range(1 + 60 // (i + 1))]
+    texts = {i: rng.choices(words, k=rng.choice([0, 3, 12, 40, 90])) for i in range(80)}
+    items = {i: rng.choices(words, k=rng.choice([0, 4, 8, 25])) for i in range(25)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] + [(99, None)], "doc_id long, content string").repartition(3)
+    corpus = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(99, None)], "item_id long, text string")
+    for threshold, least in ((0.3, 5), (0.5, 2)):
+        want = set()
+        for i, w in texts.items():
+            for s in range(0, max(len(w) - 1, 0) + 1, 10):
+                win = set(w[s : s + 20])
+                hits = [(j, len(win & set(x)), round(len(win & set(x)) / len(win | set(x)), 6)) for j, x in items.items() if len(w[s : s + 20]) >= 5 and len(win & set(x)) >= least]
+                want |= {(i, s // 10, *h) for h in sorted((h for h in hits if h[2] >= threshold), key=lambda h: (-h[2], h[0]))[:3]}
+        found = dedup.window_matches(docs, corpus, 20, 10, threshold, least)
+        assert {tuple(r) for r in found.collect()} == want and len(want) > 5
+        assert "count(1)" not in found._jdf.queryExecution().optimizedPlan().toString()
